@@ -8,6 +8,7 @@ import uuid
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -59,16 +60,17 @@ def tasks_for(spark: SparkSession, n: int, rows: int = ROWS_PER_TASK) -> int:
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n // rows))
 
 
-def ranked(df: DataFrame, groups: list[str], order: list[Column], n: int, out: str) -> DataFrame:
+def ranked(df: DataFrame, groups: list[str], order: list[Column], n: int, out: str, deal: list[Column] | None = None) -> DataFrame:
     """Gapless rank from 0 inside each group without one task per group.
 
-    Rows are dealt by a hash of group and order columns into cells of bounded
-    size; cells are ranked alone, then shifted by the number of rows in the
-    group's earlier cells. The rank is a permutation fixed by the order
-    columns, not a global sort by them.
+    Rows are dealt by a hash of `deal` (the order columns, if not given) into
+    cells of about bounded size; cells are ranked alone, then shifted by the
+    number of rows in the group's earlier cells. The rank is a permutation
+    fixed by these columns, not a global sort by them; rows equal in `deal`
+    get ranks close together.
     """
     cells = max(1, -(-n // ROWS_PER_TASK)) * 8
-    cell = F.pmod(F.xxhash64(*order), F.lit(cells)).cast("int")
+    cell = F.pmod(F.xxhash64(*(deal or order)), F.lit(cells)).cast("int")
     dealt = df.withColumn("__dl_cell", cell)
     keys = [*groups, "__dl_cell"]
     counts = dealt.groupBy(*keys).agg(F.count(F.lit(1)).alias("__dl_n"))
@@ -87,7 +89,7 @@ def slices(batches: Iterable[pa.RecordBatch], column: str, limit: int = 4 << 20)
     """Cut Arrow batches so that a slice's texts hold about `limit` bytes or are one row."""
     for batch in batches:
         at = batch.schema.get_field_index(column)
-        lengths = pa.compute.fill_null(pa.compute.binary_length(batch.column(at)), 0).to_pylist()
+        lengths = pc.fill_null(pc.binary_length(batch.column(at)), 0).to_pylist()
         start = held = 0
         for i, size in enumerate(lengths):
             if held and held + size > limit:
