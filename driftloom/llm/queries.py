@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, exact_dedup, packing, quality, secret_scan, sharding, simhash, url_filter
+from . import bpe, exact_dedup, language_id, packing, quality, secret_scan, sharding, simhash, toxicity, url_filter
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -44,10 +44,18 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents"))
 
 
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_copies(table(spark, sf_dir, "documents"))
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), ranks_path())
 
@@ -63,7 +71,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_exact_dedup, op2_byte_bpe, op3_quality_rules, op4_secret_scans, op5_sharding, op7_simhash, op9_packing, op10_url_filters, pipeline)}
+    return {f.__name__: f for f in (op1_exact_dedup, op2_byte_bpe, op3_quality_rules, op4_secret_scans, op5_sharding, op6_language_id, op7_simhash, op8_toxicity, op9_packing, op10_url_filters, pipeline)}
 
 
 _SPACE = "[\\x20\\x09-\\x0D]"
