@@ -36,7 +36,8 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         if after[0] == 0 or after == sign:
             break
         sign = after
-        state = rt.materialise(_small(_large(state)), "edges")
+        former, state = state, rt.materialise(_small(_large(state)), "edges")
+        rt.discard(former)
     else:
         raise RuntimeError(f"components did not settle in {rounds} rounds")
     return state.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import os
 import tempfile
 import uuid
@@ -43,8 +44,34 @@ def materialise(df: DataFrame, tag: str) -> DataFrame:
     """Write `df` as Parquet in the shared folder and read it back: lineage ends here."""
     spark = df.sparkSession
     path = f"{scratch_root(spark)}/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.__dict__["_dl_path"] = path
+    for scope in _scopes:
+        scope.append(out)
+    return out
+
+
+_scopes: list[list[DataFrame]] = []
+
+
+def discard(df: DataFrame) -> None:
+    """Delete the table of a `materialise()` whose readers are done."""
+    path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.__dict__["_dl_path"])
+    path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
+@contextlib.contextmanager
+def passing() -> Iterator[list[DataFrame]]:
+    """Delete the tables written inside the block at its end, but for the last one."""
+    tables: list[DataFrame] = []
+    _scopes.append(tables)
+    try:
+        yield tables
+    finally:
+        _scopes.remove(tables)
+        for table in tables[:-1]:
+            discard(table)
 
 
 def with_row_id(df: DataFrame, name: str = "__dl_uid") -> DataFrame:

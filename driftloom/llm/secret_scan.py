@@ -61,7 +61,7 @@ _LEET = str.maketrans("430157@$!|", "aeoistasil")
 _SHIFTED = str.maketrans('~!@#$%^&*()_+{}|:"<>?', "`1234567890-=[]\\;',./")
 
 _PLACE = {c: (r, i + 0.5 * r) for r, row in enumerate(ROWS) for i, c in enumerate(row)}
-_DATE = re.compile(r"(?:19|20)\d\d([-/._]?)(?:0?[1-9]|1[0-2])\1(?:0?[1-9]|[12]\d|3[01])|(?:0?[1-9]|[12]\d|3[01])([-/._]?)(?:0?[1-9]|1[0-2])\2(?:(?:19|20)\d\d|\d\d)|(?:19|20)\d\d")
+_DATE = re.compile(r"(?:19|20)\d\d([-/._]?)(?:1[0-2]|0?[1-9])\1(?:[12]\d|3[01]|0?[1-9])|(?:[12]\d|3[01]|0?[1-9])([-/._]?)(?:1[0-2]|0?[1-9])\2(?:(?:19|20)\d\d|\d\d)|(?:19|20)\d\d")
 _REPEAT = re.compile(r"(.{1,32}?)\1+", re.DOTALL)
 BRUTE = 1.0  # one more character takes ten times the guesses
 SEGMENT = 0.3  # guessing how a value is cut: a factor of two for each part

@@ -70,7 +70,9 @@ def propagate(links: DataFrame, quota: list[int], rounds: int = ROUNDS) -> DataF
         if accepted.isEmpty():
             break
         moved = state.join(accepted, "hub", "left").select("node", "hub", F.coalesce("to", "shard").alias("shard"))
-        state = rt.materialise(moved, "labels")
+        former, state = state, rt.materialise(moved, "labels")
+        rt.discard(former)
+        rt.discard(wanted)
     return state
 
 
