@@ -57,7 +57,8 @@ def tokenizer(path: str, pattern: str):
     by, table = ranks(path), byte_alphabet()
     spelt = lambda raw: "".join(map(table.__getitem__, raw))
     merges = [tuple(map(spelt, merge_of(t, r, by))) for t, r in sorted(by.items(), key=lambda x: x[1]) if len(t) > 1]
-    made = Tokenizer(models.BPE(vocab={spelt(t): r for t, r in by.items()}, merges=merges))
+    # The library's word cache costs more than it saves on texts with many rare words.
+    made = Tokenizer(models.BPE(vocab={spelt(t): r for t, r in by.items()}, merges=merges, cache_capacity=0))
     made.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.Split(Regex(pattern), "isolated"), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
     return made
 
