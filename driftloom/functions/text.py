@@ -45,13 +45,19 @@ def length_utf16(value: Column | str) -> Column:
     return F.char_length(value) + F.regexp_count(value, F.lit(r"[\x{10000}-\x{10FFFF}]"))
 
 
+def bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """`body(value)` with the value computed once, also where lambdas inside use it."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
 def unique_by_whitespace(values: Column | str) -> Column:
     """The values whose key is not blank and new, in order, as they were."""
-    keyed = F.transform(text_column(values), lambda v: F.struct(whitespace_key(v).alias("k"), v.alias("v")))
-    full = F.filter(keyed, lambda x: x["k"] != "")
-    keys = F.transform(full, lambda x: x["k"])
-    first = F.filter(F.transform(full, lambda x, i: F.struct(x["v"].alias("v"), (F.array_position(keys, x["k"]) == i + 1).alias("new"))), lambda x: x["new"])
-    return F.transform(first, lambda x: x["v"])
+    pairs = F.transform(text_column(values), lambda v: F.struct(whitespace_key(v).alias("k"), v.alias("v")))
+
+    def firsts(full: Column) -> Column:
+        return bound(full["k"], lambda keys: F.filter(F.transform(full, lambda x, i: F.when(F.array_position(keys, x["k"]) == i + 1, x["v"])), lambda v: v.isNotNull()))
+
+    return bound(F.filter(pairs, lambda x: x["k"] != ""), firsts)
 
 
 def markdown_links(markdown: Column | str) -> Column:
@@ -77,10 +83,10 @@ def replace_links(markdown: Column | str, replace: Callable[[Column, Column], Co
     """
     markdown = text_column(markdown)
     whole = F.regexp_extract_all(markdown, F.lit(LINK), F.lit(0))
+    paired = F.arrays_zip(markdown_links(markdown).alias("link"), whole.alias("whole"))
+    new = F.transform(paired, lambda x, i: F.coalesce(replace(x["link"], i), x["whole"]))
     gaps = F.split(markdown, LINK, -1)
-    links = markdown_links(markdown)
-    new = F.transform(links, lambda x, i: F.coalesce(replace(x, i), F.get(whole, i)))
-    return F.array_join(F.transform(gaps, lambda g, i: F.concat(F.coalesce(F.get(new, i - 1), F.lit("")), g)), "")
+    return bound(new, lambda done: F.array_join(F.transform(gaps, lambda g, i: F.concat(F.coalesce(F.get(done, i - 1), F.lit("")), g)), ""))
 
 
 def markdown_title(markdown: Column | str, fallback: Column) -> Column:
