@@ -94,7 +94,7 @@ def parse_host(raw: str) -> str:
 
 def _ipv6_text(value: ipaddress.IPv6Address) -> str:
     """Shortest form in hexadecimal groups; the first longest run of two or more zeros is cut."""
-    groups = [f"{int(x, 16):x}" for x in value.exploded.split(":")]
+    groups = [f"{int(value) >> shift & 0xFFFF:x}" for shift in range(112, -1, -16)]
     best, run = (0, 0), 0
     for i, g in enumerate([*groups, "x"]):
         if g == "0":
