@@ -96,7 +96,7 @@ def ranked(df: DataFrame, groups: list[str], order: list[Column], n: int, out: s
     fixed by these columns, not a global sort by them; rows equal in `deal`
     get ranks close together.
     """
-    cells = max(1, -(-n // ROWS_PER_TASK)) * 8
+    cells = max(1, -(-n // ROWS_PER_TASK)) * 64
     cell = F.pmod(F.xxhash64(*(deal or order)), F.lit(cells)).cast("int")
     dealt = df.withColumn("__dl_cell", cell)
     keys = [*groups, "__dl_cell"]

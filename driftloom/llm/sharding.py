@@ -5,8 +5,9 @@ texts). Labels are shards. In each round a hub's documents are drawn to the
 shard where most of them are, among those with room for the others; moves are
 accepted up to each shard's quota of documents, decided by a cumulative count
 over 4,096 hash bins for each shard. Documents without links fill what is left,
-so that counts differ by one at most. A hub beyond a quarter of a shard is cut
-into parts of about that size first.
+so that counts differ by one at most. A hub larger than a shard is cut into
+halves of a shard first; hubs that found no shard with room are cut into
+quarters of themselves and tried again.
 
 Only tables of 16 rows, or 16 by 4,096, are gathered; ranks are taken inside
 bounded cells.
@@ -18,7 +19,7 @@ other columns are ignored.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -26,7 +27,6 @@ from . import runtime as rt
 
 SHARDS = 16
 ROUNDS = 8
-PARTS = 4
 BINS = 4096
 
 
@@ -46,10 +46,13 @@ def _loads(state: DataFrame, shards: int) -> list[int]:
 def propagate(links: DataFrame, quota: list[int], rounds: int = ROUNDS) -> DataFrame:
     """`node`, `hub`, `shard` for the rows (node, hub) of `links`, each node in one hub.
 
-    Starts from a hash of the node and ends when no hub has a move left or after `rounds`.
+    Starts from the column `shard`, or else from a hash of the node, and ends
+    when no hub has a move left or after `rounds`.
     """
     shards = len(quota)
-    state = rt.materialise(links.withColumn("shard", F.pmod(F.xxhash64("node"), F.lit(shards)).cast("int")), "labels")
+    if "shard" not in links.columns:
+        links = links.withColumn("shard", F.pmod(F.xxhash64("node"), F.lit(shards)).cast("int"))
+    state = rt.materialise(links, "labels")
     whole = W.partitionBy("hub")
     for _ in range(rounds):
         room = [q - x for q, x in zip(quota, _loads(state, shards), strict=True)]
@@ -76,6 +79,20 @@ def propagate(links: DataFrame, quota: list[int], rounds: int = ROUNDS) -> DataF
     return state
 
 
+def _part(hub: Column, node: Column, parts: Column) -> Column:
+    return F.concat(hub, F.encode(F.concat(F.lit("/"), F.pmod(F.xxhash64(node), parts).cast("string")), "UTF-8"))
+
+
+def _spread(state: DataFrame, quota: list[int]) -> DataFrame:
+    """The state after a second propagation in which hubs that are still spread are cut in four."""
+    cut = state.groupBy("hub").agg(F.min("shard").alias("low"), F.max("shard").alias("high")).where("low < high").select("hub", F.lit(4).alias("parts"))
+    if cut.isEmpty():
+        return state
+    parted = state.join(cut, "hub", "left")
+    hub = F.when(F.col("parts").isNull(), F.col("hub")).otherwise(_part(F.col("hub"), F.col("node"), F.col("parts")))
+    return propagate(parted.select("node", hub.alias("hub"), "shard"), quota)
+
+
 def _fitted(state: DataFrame, quota: list[int], n: int) -> DataFrame:
     """Drop what a shard holds beyond its quota, whole hubs as far as possible."""
     if all(x <= q for x, q in zip(_loads(state, len(quota)), quota, strict=True)):
@@ -92,11 +109,10 @@ def shard(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     n = rows.count()
     quota = quotas(n, shards)
     groups = rows.groupBy("hub").agg(F.count(F.lit(1)).alias("copies")).where("copies > 1")
-    part = F.ceil(F.col("copies") / F.lit(max(1, n // (shards * PARTS))))
-    linked = rows.join(groups, "hub").select(
-        F.col("__dl_uid").alias("node"), F.concat("hub", F.encode(F.pmod(F.xxhash64("__dl_uid"), part).cast("string"), "UTF-8")).alias("hub")
-    )
-    placed = rt.materialise(_fitted(propagate(linked, quota), quota, n).select(F.col("node").alias("__dl_uid"), "shard"), "placed")
+    share = max(1, n // shards)
+    parts = F.when(F.col("copies") > share, F.ceil(F.col("copies") * 2 / F.lit(share))).otherwise(1)
+    linked = rows.join(groups, "hub").select(F.col("__dl_uid").alias("node"), _part(F.col("hub"), F.col("__dl_uid"), parts).alias("hub"))
+    placed = rt.materialise(_fitted(_spread(propagate(linked, quota), quota), quota, n).select(F.col("node").alias("__dl_uid"), "shard"), "placed")
     left = [q - x for q, x in zip(quota, _loads(placed, shards), strict=True)]
     ends = [sum(left[: i + 1]) for i in range(shards)]
     rest = rows.join(placed, "__dl_uid", "left_anti").select("__dl_uid")
