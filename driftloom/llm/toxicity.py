@@ -113,15 +113,21 @@ def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([batch.column("toxic"), pa.array(raw, pa.binary())], names=["toxic", "hashes"])
 
 
+def _some(ids: DataFrame, n: int, most: int) -> DataFrame:
+    """At most `most` ids, by their hash; about twice as many are ranked, however many there are."""
+    share = min(1.0, 2.0 * most / max(1, n))
+    near = ids.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 32)) < int(share * (1 << 32)))
+    return near.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
+
+
 def learn(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabelled: int = UNLABELLED) -> Classifier:
     """The classifier of the rows (doc_id, text) and (doc_id, toxic)."""
     rt.prepare(docs.sparkSession)
     known = labels.groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     shares = known.agg(F.sum("toxic"), F.count("toxic")).first()
     prior = min(0.5, max(1e-4, shares[0] / shares[1])) if shares[0] else DEFAULT_PRIOR
-    by_hash = [F.xxhash64("doc_id"), F.col("doc_id")]
-    confirmed = known.where("toxic = 1").orderBy(*by_hash).limit(positives).select("doc_id", F.lit(1).alias("toxic"))
-    others = docs.select("doc_id").join(known.where("toxic = 1"), "doc_id", "left_anti").orderBy(*by_hash).limit(unlabelled)
+    confirmed = _some(known.where("toxic = 1").select("doc_id"), shares[0] or 0, positives).select("doc_id", F.lit(1).alias("toxic"))
+    others = _some(docs.select("doc_id").join(known.where("toxic = 1"), "doc_id", "left_anti"), docs.count(), unlabelled)
     wanted = confirmed.unionByName(others.select("doc_id", F.lit(0).alias("toxic"))).distinct()
     # At most POSITIVES + UNLABELLED ids: small enough to broadcast at any input size.
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(wanted), "doc_id")

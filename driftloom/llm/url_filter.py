@@ -10,8 +10,8 @@ p(c|shorter context). A model is a table of character sequences up to ORDER + 1
 long; each row holds how much its longest context changes the log ratio against
 the next shorter one, so the sum over all sequences inside a URL is the log
 ratio with the longest known context at every character. The table keeps the
-MAX_NODES most frequent sequences (every suffix of a kept one is kept too),
-which bounds its broadcast.
+most frequent sequences, MAX_NODES at most, which bounds its broadcast; the cut
+is by grade of frequency, so every suffix of a kept sequence is kept too.
 
 Defined results: a null URL or one without `://` has empty host and path; an
 empty text after `://` scores 0; without URLs of both verdicts everything that
@@ -32,6 +32,8 @@ RULES = (("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/
 
 ORDER = 4
 MAX_NODES = 50_000
+#: Steps of frequency in a doubling, by which sequences are kept or not.
+GRADES = 64
 #: Characters that a text may hold besides those seen.
 ALPHABET = 256
 #: Log ratios are summed as integers of this many parts, so sums do not depend on their order.
@@ -79,9 +81,16 @@ def train(rows: DataFrame, order: int = ORDER, max_nodes: int = MAX_NODES) -> Da
     """`seq` and `gain`: what the sequence adds to the log ratio of accepted to rejected."""
     labelled = rows.where("said is not null").select(F.explode(sequences(F.col("text"), order)).alias("seq"), (F.col("said") == "allow").alias("good"))
     counts = labelled.groupBy("seq").agg(F.count_if("good").alias("a"), F.count_if(~F.col("good")).alias("r"))
-    size = F.char_length("seq")
-    nodes = counts.orderBy(F.desc(F.col("a") + F.col("r")), size, "seq").limit(max_nodes)
-    nodes = rt.materialise(nodes.withColumn("k", size), "sequences")
+    grade = F.floor(F.log2(F.col("a") + F.col("r")) * GRADES).cast("int")
+    counts = rt.materialise(counts.withColumn("grade", grade).withColumn("k", F.char_length("seq")), "sequences")
+    # The least grade of frequency from which all sequences fit; a few thousand grades at most come here.
+    kept, least = 0, 1 << 30
+    for row in sorted(counts.groupBy("grade").count().collect(), reverse=True):
+        kept += row["count"]
+        if kept > max_nodes:
+            break
+        least = row["grade"]
+    nodes = counts.where(F.col("grade") >= least)
     flat = F.lit(1.0 / ALPHABET)
     done, shorter = None, None
     for k in range(1, order + 2):
