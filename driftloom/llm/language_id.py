@@ -21,6 +21,7 @@ import zlib
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -38,7 +39,9 @@ BUCKETS = 1 << 15
 EPOCHS = 6
 BATCH = 128
 #: Words whose emissions a worker remembers at most.
-REMEMBERED = 200_000
+REMEMBERED = 500_000
+#: Messages are scaled to sum 1 at every so many words.
+SCALED = 4
 #: Cells of a padded batch of sequences.
 CELLS = 300_000
 
@@ -47,16 +50,24 @@ _WORD = re.compile(r"[^\W\d_]+")
 
 def words_of(text: str) -> list[str]:
     """Runs of letters in lower case; runs that hold no letter (other numerals) do not count."""
-    return [w for w in _WORD.findall(text.lower()) if w.isalpha() or any(map(str.isalpha, w))]
+    found = _WORD.findall(text.lower())
+    return found if "".join(found).isalpha() else [w for w in found if any(map(str.isalpha, w))]
+
+
+#: Buckets of feature names met before; cleared when full.
+_buckets: dict[str, int] = {}
 
 
 def features(word: str, lexicon: dict[str, int]) -> list[int]:
     """Hash buckets of a word's affixes, n-grams and lexicon entry."""
     edged = f"<{word}>"
-    names = [f"p{word[:k]}" for k in (1, 2, 3)] + [f"s{word[-k:]}" for k in (1, 2, 3, 4)]
-    names += [edged[i : i + k] for k in (2, 3, 4) for i in range(len(edged) - k + 1)]
-    names += [f"l{lexicon[word]}", f"w{word}"] if word in lexicon else ["l-"]
-    return [zlib.crc32(n.encode()) % BUCKETS for n in dict.fromkeys(names)]
+    n = len(edged)
+    names = ["p" + word[:1], "p" + word[:2], "p" + word[:3], "s" + word[-1:], "s" + word[-2:], "s" + word[-3:], "s" + word[-4:]]
+    names += [edged[i : i + 3] for i in range(n - 2)]
+    names += [f"l{lexicon[word]}", "w" + word] if word in lexicon else ["l-"]
+    if len(_buckets) > REMEMBERED:
+        _buckets.clear()
+    return [_buckets.get(x) or _buckets.setdefault(x, zlib.crc32(x.encode()) % BUCKETS) for x in set(names)]
 
 
 @dataclass
@@ -78,7 +89,10 @@ class Field:
         at = [self.memory.get(w, -1) for w in words]
         if -1 not in at:
             return self.table[at]
-        fresh = {w: self.weights[features(w, self.lexicon)].sum(axis=0) for w in {w for w, i in zip(words, at, strict=True) if i < 0}}
+        new = list({w for w, i in zip(words, at, strict=True) if i < 0})
+        lists = [features(w, self.lexicon) for w in new]
+        starts = np.cumsum([0, *map(len, lists[:-1])])
+        fresh = dict(zip(new, np.add.reduceat(self.weights[list(chain.from_iterable(lists))], starts), strict=True))
         out = self.table[at]
         for i, w in enumerate(words):
             if at[i] < 0:
@@ -102,20 +116,20 @@ def marginals(emissions: np.ndarray, lengths: np.ndarray, transitions: np.ndarra
     """
     b, t, n = emissions.shape
     e = np.exp(emissions - emissions.max(axis=2, keepdims=True))
-    step = np.exp(transitions)
+    step, shortest = np.exp(transitions), int(lengths.min())
     forward, backward = np.empty_like(e), np.empty_like(e)
     a = np.exp(start) * e[:, 0]
     forward[:, 0] = a / a.sum(axis=1, keepdims=True)
     for i in range(1, t):
         a = (forward[:, i - 1] @ step) * e[:, i]
-        forward[:, i] = a / a.sum(axis=1, keepdims=True)
+        forward[:, i] = a / a.sum(axis=1, keepdims=True) if i % SCALED == 0 else a
     backward[:, t - 1] = 1.0 / n
     for i in range(t - 2, -1, -1):
         a = (backward[:, i + 1] * e[:, i + 1]) @ step.T
-        a /= a.sum(axis=1, keepdims=True)
-        ended = lengths <= i + 1
-        if ended.any():
-            a[ended] = 1.0 / n
+        if i % SCALED == 0:
+            a /= a.sum(axis=1, keepdims=True)
+        if i + 1 >= shortest:
+            a[lengths <= i + 1] = 1.0 / n
         backward[:, i] = a
     both = forward * backward
     return both / both.sum(axis=2, keepdims=True), forward, backward * e
@@ -198,8 +212,7 @@ def label_texts(model: Field, texts: list[str | None]) -> list[np.ndarray | None
         chosen = order[at:end]
         lengths = np.array([len(bags[i]) for i in chosen])
         emissions = np.zeros((len(chosen), int(lengths.max()), len(model.languages)), np.float32)
-        for r, i in enumerate(chosen):
-            emissions[r, : lengths[r]] = model.emissions(bags[i])
+        emissions[np.arange(emissions.shape[1]) < lengths[:, None]] = model.emissions(list(chain.from_iterable(bags[i] for i in chosen)))
         prob = marginals(emissions, lengths, model.transitions.astype(np.float32), model.start.astype(np.float32))[0]
         prob[np.arange(emissions.shape[1]) >= lengths[:, None]] = 0
         for r, i in enumerate(chosen):
