@@ -4,11 +4,13 @@ A 64-bit fingerprint is cut into 32 segments of two bits; its embedding is the
 vector of the segments' bit counts. The Manhattan distance of two embeddings
 never exceeds the Hamming distance of the fingerprints, so links within four
 bits lie within Manhattan distance four, hence within two on the first or on
-the last 16 coordinates. On that half, both fingerprints reach a common grid
-point by moving one coordinate by at most one step: each fingerprint enters
+the last half of the coordinates. On that half, both fingerprints reach a common
+grid point by moving one coordinate by at most one step: each fingerprint enters
 the grid cells of its two radius-1 balls (about 50) and is compared only with
 the fingerprints of its cells, by exact Hamming distance. No link is missed and
-there is no cap; copies of a fingerprint enter once.
+there is no cap; copies of a fingerprint enter once. Above MANY fingerprints the
+segments are one bit wide (66 cells each): the same argument holds, and cells
+stay small with billions of fingerprints.
 
 Inside a cell a frontier search grows trees: each fingerprint is compared with
 those not reached yet, so a cell of near copies costs about as many steps as it
@@ -34,6 +36,8 @@ from . import runtime as rt
 from .graph import components
 
 SHINGLE, SEED, MAX_BITS = 4, 42, 4
+#: Distinct fingerprints from which segments are one bit wide rather than two.
+MANY = 50_000_000
 #: Longest run of a cell that is compared pair by pair in one vector step.
 SHORT = 8
 
@@ -68,24 +72,24 @@ def fingerprints(texts: list[bytes], width: int = SHINGLE) -> np.ndarray:
 _ODD = np.uint64(0x5555555555555555)
 
 
-def embed(prints: np.ndarray) -> np.ndarray:
-    """The 32 segment counts, each in two bits of one word."""
-    return (prints & _ODD) + ((prints >> np.uint64(1)) & _ODD)
+def embed(prints: np.ndarray, width: int = 2) -> np.ndarray:
+    """The counts of the segments of one or two bits, packed in place of the segments."""
+    return prints if width == 1 else (prints & _ODD) + ((prints >> np.uint64(1)) & _ODD)
 
 
-def cells(prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def cells(prints: np.ndarray, width: int = 2) -> tuple[np.ndarray, np.ndarray]:
     """The radius-1 balls of both halves of the embeddings: cell numbers and the index of their fingerprint."""
-    packed, keys, owners = embed(prints), [], []
+    packed, keys, owners = embed(prints, width), [], []
     everyone = np.arange(len(prints))
     for half in (0, 1):
         own = ((packed >> np.uint64(32 * half)) & np.uint64(0xFFFFFFFF)).astype(np.int64)
         tag = half << 32
         keys.append(own | tag)
         owners.append(everyone)
-        for at in range(0, 32, 2):
-            count = (own >> at) & 3
+        for at in range(0, 32, width):
+            count = (own >> at) & (2 * width - 1)
             for step in (1, -1):
-                able = (count < 2) if step > 0 else (count > 0)
+                able = (count < width) if step > 0 else (count > 0)
                 keys.append((own[able] + step * (1 << at)) | tag)
                 owners.append(everyone[able])
     return np.concatenate(keys), np.concatenate(owners)
@@ -137,12 +141,12 @@ def _prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([batch.column("__dl_uid"), batch.column("doc_id"), pa.array(found)], names=["__dl_uid", "doc_id", "fp"])
 
 
-def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _cells(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         prints = batch.column("fp").to_numpy().view(np.uint64)
         for at in range(0, len(prints), 4096):
             part = prints[at : at + 4096]
-            keys, owners = cells(part)
+            keys, owners = cells(part, width)
             yield pa.record_batch([pa.array(keys), pa.array(part[owners].view(np.int64))], names=["cell", "fp"])
 
 
@@ -178,9 +182,10 @@ def fingerprinted(docs: DataFrame) -> DataFrame:
     return rt.materialise(rows.mapInArrow(_prints, "__dl_uid long, doc_id long, fp long"), "prints")
 
 
-def link_edges(prints: DataFrame) -> DataFrame:
+def link_edges(prints: DataFrame, width: int | None = None) -> DataFrame:
     """Edges (a, b) between distinct fingerprints that span all links within MAX_BITS."""
-    spread = prints.mapInArrow(_cells, "cell long, fp long").repartition("cell").sortWithinPartitions("cell")
+    width = width or (2 if prints.count() <= MANY else 1)
+    spread = prints.mapInArrow(lambda batches: _cells(batches, width), "cell long, fp long").repartition("cell").sortWithinPartitions("cell")
     return spread.mapInArrow(_links, "a long, b long")
 
 

@@ -2,6 +2,7 @@ import hashlib
 import re
 
 import numpy as np
+import pytest
 
 from driftloom.llm import exact_dedup as X
 from driftloom.llm import simhash as S
@@ -105,11 +106,13 @@ def near(rng, n):
     return np.unique(out)
 
 
-def test_embedding_is_a_lower_bound_and_cells_miss_no_link():
+@pytest.mark.parametrize("width", [1, 2])
+def test_embedding_is_a_lower_bound_and_cells_miss_no_link(width):
     prints = near(np.random.default_rng(3), 400)
-    packed = S.embed(prints)
-    counts = np.stack([(packed >> np.uint64(i)) & np.uint64(3) for i in range(0, 64, 2)], 1).astype(int)
-    keys, owners = S.cells(prints)
+    packed = S.embed(prints, width)
+    counts = np.stack([(packed >> np.uint64(i)) & np.uint64(2 * width - 1) for i in range(0, 64, width)], 1).astype(int)
+    assert (counts.sum(1) == np.bitwise_count(prints)).all()
+    keys, owners = S.cells(prints, width)
     held = {}
     for k, o in zip(keys.tolist(), owners.tolist(), strict=True):
         held.setdefault(k, set()).add(o)
@@ -136,10 +139,11 @@ def brute_components(prints):
     return [find(i) for i in range(len(prints))]
 
 
-def test_components_of_links_against_brute_force(spark):
+@pytest.mark.parametrize("width", [1, 2])
+def test_components_of_links_against_brute_force(spark, width):
     prints = near(np.random.default_rng(5), 600)
     frame = spark.createDataFrame([(int(x),) for x in prints.view(np.int64)], "fp long")
-    roots = {r.node: r.root for r in components(S.link_edges(frame)).collect()}
+    roots = {r.node: r.root for r in components(S.link_edges(frame, width)).collect()}
     want = brute_components(prints)
     signed = prints.view(np.int64).tolist()
     mine = [roots.get(x, x) for x in signed]
