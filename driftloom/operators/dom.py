@@ -28,7 +28,6 @@ CLOSES = {
     "option": ({"option"}, {"select"}),
 }
 _SPACE = re.compile(r"\s+")
-_HIDDEN = re.compile(r"<(script|style)[^>]*>.*?</\1>", re.IGNORECASE | re.DOTALL)
 
 
 class Node:
@@ -413,26 +412,27 @@ def nav_hrefs(root: Node) -> list[str]:
 
 def features(html: str) -> dict:
     """What extraction and discovery need of one page."""
-    full = tree(html)
-    root = tree(_HIDDEN.sub("", html))
+    root = tree(html)
+    scripts = [n.attrs.get("src", n.attrs.get("href", "")) for n in root.all("script", "link") if ("src" if n.tag == "script" else "href") in n.attrs]
+    for node in list(root.walk()):
+        node.children = [c for c in node.children if isinstance(c, str) or c.tag not in ("script", "style")]
     title = title_of(root)
     canonical = next((n.attrs.get("href") for n in root.all("link") if n.attrs.get("rel") == "canonical"), None)
     anchors = root.all("a")
-    main = main_content(root)
-    body = full.first("body") or full
-    base = next((n.attrs["href"] for n in full.all("base") if "href" in n.attrs), None)
+    linked = [n for n in anchors if "href" in n.attrs]
+    main, body = main_content(root), root.first("body") or root
     return {
         "title": title,
         "canonical_href": canonical,
-        "base_href": base,
+        "base_href": next((n.attrs["href"] for n in root.all("base") if "href" in n.attrs), None),
         "main_markdown": markdown(main) if main is not None else "",
         "page_text": page_text(root),
         "metadata": metadata_markdown(root, title),
         "outline": outline(root, html, title, len(anchors)),
         "serialised": serialised_text(html, title),
-        "anchors": hrefs([n for n in full.all("a") if "href" in n.attrs]),
-        "nav": nav_hrefs(full),
-        "scripts": [n.attrs.get("src", n.attrs.get("href", "")) for n in full.all("script", "link") if ("src" if n.tag == "script" else "href") in n.attrs],
-        "n_anchors": len([n for n in full.all("a") if "href" in n.attrs]),
-        "body_chars": len(squeeze(body.text(frozenset({"script", "style", "noscript"})))),
+        "anchors": hrefs(linked),
+        "nav": nav_hrefs(root),
+        "scripts": scripts,
+        "n_anchors": len(linked),
+        "body_chars": len(squeeze(body.text(frozenset({"noscript"})))),
     }

@@ -22,7 +22,7 @@ from . import dom
 
 FEATURES = (
     "title string, canonical_href string, base_href string, main_markdown string, page_text string, metadata string, outline string, "
-    "serialised string, anchors array<string>, nav array<string>, scripts array<string>, n_anchors int, body_chars int"
+    "serialised string, anchors array<string>, nav array<string>, scripts array<string>, n_anchors int, body_chars int, fault string"
 )
 _TYPES = pa.struct(
     [(n, pa.list_(pa.string()) if n in ("anchors", "nav", "scripts") else pa.int32() if n in ("n_anchors", "body_chars") else pa.string()) for n in (x.split()[0] for x in FEATURES.split(", "))]
@@ -111,6 +111,16 @@ def text_asset(final_url: Column, body: Column) -> Column:
     return F.concat(F.lit("# "), U.path(final_url), F.lit("\n\n"), fence, U.fence_language(final_url), F.lit("\n"), T.strip(body), F.lit("\n"), fence)
 
 
+def _features(html: str | None) -> dict | None:
+    """The features of a page; one that cannot be read (nested too deep, say) gives its fault, not a failed task."""
+    if html is None:
+        return None
+    try:
+        return dom.features(html)
+    except Exception as fault:  # noqa: BLE001
+        return {"main_markdown": "", "page_text": "", "anchors": [], "nav": [], "scripts": [], "fault": f"{type(fault).__name__}: {fault}"[:300]}
+
+
 def page_features(fetched: DataFrame, body: str = "body", needed: Column | None = None) -> DataFrame:
     """Adds the struct `dom` of FEATURES; null where `needed` does not hold."""
     kept = fetched.columns
@@ -119,7 +129,7 @@ def page_features(fetched: DataFrame, body: str = "body", needed: Column | None
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at = batch.schema.get_field_index("__html")
-            found = [None if x is None else dom.features(x) for x in batch.column(at).to_pylist()]
+            found = [_features(x) for x in batch.column(at).to_pylist()]
             yield pa.record_batch([*(batch.column(i) for i in range(batch.num_columns) if i != at), pa.array(found, _TYPES)], names=[*kept, "dom"])
 
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in fetched.schema), "dom struct<" + FEATURES.replace(" ", ":").replace(",:", ",") + ">"])
@@ -167,6 +177,7 @@ def extract(fetched: DataFrame) -> DataFrame:
     rows = rows.withColumn("canonical_url", resolve_bare(d("canonical_href"), final))
     fails = (
         F.when(~F.col("ok"), F.struct(F.col("error").alias("error"), F.col("failure_kind").alias("kind")))
+        .when(d("fault").isNotNull(), F.struct(d("fault").alias("error"), F.lit("extract").alias("kind")))
         .when(F.col("clean") == "", F.struct(empty_error(body).alias("error"), F.lit("empty").alias("kind")))
         .when(is_challenge(F.col("clean"), F.col("title")), F.struct(F.lit("blocked by client challenge").alias("error"), F.lit("blocked").alias("kind")))
         .when(is_language_selector(final, body), F.struct(F.lit("language selector without article content").alias("error"), F.lit("empty").alias("kind")))

@@ -77,6 +77,12 @@ def test_texts_and_failures(spark):
         assert not r.ok and r.markdown == "" and r.links == [] and r.content_hash == "" and r.extractor == "none" and r.confidence == 0
 
 
+def test_unreadable_pages_fail_alone(spark):
+    deep = "<html><body>" + "<div>" * 5000 + "x"
+    bad, good = fetched(spark, ("https://e.com/a", "text/html", deep), ("https://e.com/b", "text/html", f"<html><main><p>{PROSE}</p></main></html>"))
+    assert (bad.ok, bad.failure_kind) == (False, "extract") and "RecursionError" in bad.error and good.ok
+
+
 def test_page_text_fallback_and_metadata(spark):
     links = "".join(f'<a href="/{i}">L{i}</a>' for i in range(3))
     html = f"<html><body><main>{links}</main><div>{PROSE}</div></body></html>"
