@@ -523,7 +523,16 @@ def nav_links(spark, sf_dir):
     return crawl.page_links(table(spark, sf_dir, "pages"), "nav")
 
 
-@query()
+_SITE = "regexp_extract({0}, '^[^/]+//[^/]*')"
+_STEP = f"""{_SITE.format('e.dst')} = {_SITE.format('seed')} AND NOT regexp_matches(regexp_extract(e.dst, '^[^/]+//[^/]*(.*)$', 1), '(?i){U.IGNORED_FILES}') AND e.dst <> seed"""
+
+
+@query(f"""
+WITH {LINKS}, e AS (SELECT DISTINCT p.origin || p.path AS src, l.dst FROM links l JOIN parts p ON p.url = l.src),
+seeds AS (SELECT arg_min(origin || path, page_id) AS seed FROM parts GROUP BY origin),
+one AS (SELECT DISTINCT seed, e.dst AS url FROM seeds JOIN e ON e.src = seed WHERE {_STEP}),
+two AS (SELECT DISTINCT seed, e.dst AS url FROM one JOIN e ON e.src = one.url WHERE {_STEP})
+SELECT seed, url, 1 AS level FROM one UNION ALL SELECT seed, url, 2 FROM (SELECT seed, url FROM two EXCEPT SELECT seed, url FROM one)""")
 def crawl_levels(spark, sf_dir):
     """Two levels from the first page of each site."""
     pages = table(spark, sf_dir, "pages")
@@ -532,10 +541,23 @@ def crawl_levels(spark, sf_dir):
     return crawl.crawl(seeds, edges, 2)
 
 
-@query()
+_DOMAIN = "scheme || '://' || regexp_extract(place, '[^.]+\\.[^.]+$') || '/'"
+
+
+@query(f"""
+WITH {PARTS}, l AS (SELECT page_id, {_DOMAIN} AS seed, origin, '/docs' || path AS path, ['docs'] || {_SEGMENTS} AS parts_ FROM parts WHERE origin || '/' <> {_DOMAIN}),
+c AS (SELECT seed, origin, count(*) AS n, min(page_id) AS first_, count(*) FILTER (regexp_matches(path, '{scope.CORPUS_FILES}')) AS files, bool_or(path = '/llms.txt') AS indexed FROM l GROUP BY 1, 2),
+b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY seed ORDER BY n DESC, first_) AS place FROM c) WHERE place = 1 AND (indexed OR n >= 5)),
+k AS (SELECT seed, origin, k FROM l JOIN b USING (seed, origin), range(1, 17) t(k) GROUP BY 1, 2, 3 HAVING count(DISTINCT parts_[1:k]) = 1 AND min(len(parts_)) >= k),
+s AS (SELECT b.seed, b.origin, b.n, b.files, b.indexed, coalesce(max(k.k), 0) AS cut FROM b LEFT JOIN k USING (seed, origin) GROUP BY ALL),
+o AS (SELECT seed, origin, any_value(parts_) AS one FROM l GROUP BY 1, 2)
+SELECT seed, origin, CASE WHEN cut = 0 THEN '/' ELSE '/' || array_to_string(one[1:cut], '/') || '/' END AS scope
+FROM s JOIN o USING (seed, origin) WHERE cut > 0 OR files >= 0.8 * n OR indexed""")
 def corpus_targets(spark, sf_dir):
-    links = crawl.regular_links(table(spark, sf_dir, "pages")).select(U.without_query("src").alias("seed"), F.col("pos").alias("ord"), F.col("dst").alias("url"))
-    return scope.corpus_targets(links)
+    """Each domain as a seed that points at all pages of its hosts, as if they lay below /docs."""
+    pages = table(spark, sf_dir, "pages")
+    seed = F.concat(U.scheme("url"), F.lit("://"), F.regexp_extract(U.hostname("url"), r"[^.]+\.[^.]+$", 0), F.lit("/"))
+    return scope.corpus_targets(pages.select(seed.alias("seed"), F.col("page_id").alias("ord"), F.concat(U.origin("url"), F.lit("/docs"), U.path("url")).alias("url")))
 
 
 @query()

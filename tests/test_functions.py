@@ -156,3 +156,12 @@ def test_failure_kinds_agree(spark):
     cases = [(s, e) for s in (0, 200, 401, 404, 410, 429, 500) for e in ("", "HTTP 500", "blocked by client challenge", "response exceeds 5 bytes", "URL must use http or https", "timed out", "reset")]
     for r in spark.createDataFrame(cases, "s int, e string").withColumn("k", classify.failure_kind(F.col("s"), F.col("e"))).collect():
         assert r.k == failure_kind(r.s, r.e)
+
+
+def test_functions_of_sql(spark):
+    from driftloom.functions.register import register
+
+    register(spark)
+    got = spark.sql("""SELECT clean_markdown('a\n\n\n\nb') AS a, normalise_reference('../c?d', 'https://e.com/a/b/') AS b,
+      normalise_references(array('x', 'x', 'mailto:y'), 'https://e.com/') AS c, public_url_error('http://10.0.0.1/') AS d, public_url_error('https://e.com/') AS e""").first()
+    assert (got.a, got.b, got.c, got.e) == ("a\n\nb", "https://e.com/a/c", ["https://e.com/x"], None) and "private" in got.d
