@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 #: White space, inside brackets of a regular expression.
 SPACE = r"\t\n\x0B\f\r \x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}"
+#: The same class for Java: the range in front settles most characters at once. (SQL's engine has no intersections.)
+FAST_SPACE = r"\t-\r [\x{A0}-\x{FEFF}&&[\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]]"
 #: What ends a line for `^`, `$` and `.`.
 LINE_END = r"\n\r\x{2028}\x{2029}"
 LINE_START = rf"(?:^|(?<=[{LINE_END}]))"
@@ -26,17 +28,17 @@ def text_column(value: Column | str) -> Column:
 
 def strip(value: Column | str) -> Column:
     """Without white space at both ends."""
-    return F.regexp_replace(text_column(value), rf"^[{SPACE}]+|[{SPACE}]+\z", "")
+    return F.regexp_replace(text_column(value), rf"^[{FAST_SPACE}]+|[{FAST_SPACE}]+\z", "")
 
 
 def whitespace_key(value: Column | str) -> Column:
     """White space runs become one space; none at the ends."""
-    return F.trim(F.regexp_replace(text_column(value), rf"[{SPACE}]+", " "))
+    return F.trim(F.regexp_replace(text_column(value), rf"[{FAST_SPACE}]+", " "))
 
 
 def word_count(value: Column | str) -> Column:
     """Number of runs of characters that are not white space."""
-    return F.regexp_count(text_column(value), F.lit(rf"[^{SPACE}]+"))
+    return F.regexp_count(text_column(value), F.lit(rf"[^{FAST_SPACE}]++"))
 
 
 def length_utf16(value: Column | str) -> Column:

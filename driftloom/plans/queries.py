@@ -16,7 +16,7 @@ from ..functions import address, classify, quality
 from ..functions import text as T
 from ..functions import urls as U
 from ..operators import crawl, dedup, extract, paths, render, robots, scope, snapshot, summary
-from ..workers import prepare
+from ..workers import prepare, spread
 from . import pipeline as P
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -35,7 +35,7 @@ def query(sql: str | None = None):
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 # Fragments of SQL.
