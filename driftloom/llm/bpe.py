@@ -17,6 +17,7 @@ import base64
 import codecs
 import functools
 import hashlib
+import os
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -52,6 +53,7 @@ def merge_of(token: bytes, rank: int, by: dict[bytes, int]) -> tuple[bytes, byte
 @functools.lru_cache(maxsize=2)
 def tokenizer(path: str, pattern: str):
     """The library's tokenizer for a rank file; each match of the pattern is encoded alone."""
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
     from tokenizers import Regex, Tokenizer, models, pre_tokenizers
 
     by, table = ranks(path), byte_alphabet()
