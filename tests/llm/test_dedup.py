@@ -184,3 +184,34 @@ def test_near_copies_on_table(spark, small):
     for r, w in zip(got, want, strict=True):
         first[w] = min(first.get(w, r.doc_id), r.doc_id)
     assert all(r.component_id == first[w] for r, w in zip(got, want, strict=True))
+
+
+def test_a_third_of_all_rows_in_one_group(spark):
+    rng = np.random.default_rng(11)
+    words = [f"w{i}" for i in range(500)]
+    base = " ".join(rng.choice(words, 300))
+    near = [" ".join([*base.split(), *rng.choice(words, 1)]) for _ in range(300)]
+    rows = [(i, base + " " * (i % 3)) for i in range(2000)] + [(5000 + i, t) for i, t in enumerate(near)] + [(9000 + i, " ".join(rng.choice(words, 50))) for i in range(1500)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(13)
+    got = {r.doc_id: r for r in X.mark_copies(docs).collect()}
+    assert len(got) == len(rows) and all(got[i].group_size == 2000 and got[i].keep_id == 2 for i in range(2000)) and sum(got[i].kept for i in range(2000)) == 1
+    found = S.near_copies(docs).collect()
+    prints = np.array([int(r.fingerprint, 16) for r in found], np.uint64)
+    distinct, where = np.unique(prints, return_inverse=True)
+    label = np.array(brute_components(distinct))[where]
+    first = {}
+    for r, c in zip(found, label, strict=True):
+        first[c] = min(first.get(c, r.doc_id), r.doc_id)
+    assert all(r.component_id == first[c] for r, c in zip(found, label, strict=True))
+
+
+def test_ranks_are_gapless(spark):
+    from pyspark.sql import functions as F
+
+    from driftloom.llm import runtime as rt
+
+    rows = spark.range(5000).select("id", F.when(F.col("id") % 3 < 2, 0).otherwise(F.col("id") % 7).alias("g"))
+    got = rt.ranked(rows, ["g"], [F.col("id")], 5000, "at").groupBy("g").agg(F.sort_array(F.collect_list("at")).alias("at")).collect()
+    assert all(r["at"] == list(range(len(r["at"]))) for r in got) and sum(len(r["at"]) for r in got) == 5000
+    whole = rt.ranked(rows, [], [F.col("id")], 5000, "at").select("at").collect()
+    assert sorted(r["at"] for r in whole) == list(range(5000))
