@@ -16,6 +16,7 @@ from ..operators.scratch import settle
 from ..sources import archive as A
 from ..sources import fetching as R
 from ..sources import sinks
+from ..sources.http import origin_of, run_bounded
 from .discover import Found, discover
 
 BACKFILL = 8
@@ -55,10 +56,11 @@ def run_corpus(fetched: DataFrame, config: Config = Config(), mode: str = "route
     return RunResult(done, facts)
 
 
-def fetched_rows(spark: SparkSession, found: list[Found], first: int, fetch: Callable[[str], R.State]) -> DataFrame:
+def fetched_rows(spark: SparkSession, found: list[Found], first: int, fetch: Callable[[str], R.State], config: Config) -> DataFrame:
+    """The found URLs with their answers: many at once, but few of one origin, in order."""
+    states = run_bounded(found, lambda f: f.fetched or fetch(f.url), lambda f: origin_of(f.url), config.concurrency, config.per_origin)
     rows = []
-    for i, item in enumerate(found, first):
-        s = item.fetched or fetch(item.url)
+    for i, (item, s) in enumerate(zip(found, states, strict=True), first):
         rows.append((i, item.url, s.at, s.status, s.content_type, s.body, 0.0, s.ok, s.error, s.failure_kind, item.source))
     return spark.createDataFrame(rows, _FETCHED)
 
@@ -96,7 +98,7 @@ def run_site(spark: SparkSession, config: Config, fetch: Callable[[str], R.State
     note("discovering")
     found = discover(config, fetch)
     note(f"fetching {len(found)} pages")
-    first = settle(extract.extract(A.reject_non_pages(fetched_rows(spark, found, 0, fetch))))
+    first = settle(extract.extract(A.reject_non_pages(fetched_rows(spark, found, 0, fetch, config))))
     kept = settle(dedup.dedupe(first, "sequential"))
     attempted, deduped = len(found), first.count() - kept.count()
     if needs_backfill(config, kept, len(found)):
@@ -105,7 +107,7 @@ def run_site(spark: SparkSession, config: Config, fetch: Callable[[str], R.State
         table = spark.createDataFrame([(i, f.url) for i, f in enumerate(more)], "ord long, url string")
         fresh = [more[r.ord] for r in backfill_candidates(table, spark.createDataFrame([(f.url,) for f in found], "url string")).collect()]
         if fresh:
-            extra = extract.extract(A.reject_non_pages(fetched_rows(spark, fresh, len(found), fetch)))
+            extra = extract.extract(A.reject_non_pages(fetched_rows(spark, fresh, len(found), fetch, config)))
             both = settle(kept.unionByName(extra))
             kept = settle(dedup.dedupe(both, "sequential"))
             attempted, deduped = attempted + len(fresh), deduped + both.count() - kept.count()

@@ -227,3 +227,12 @@ def test_non_page_finals(spark):
 
 def test_limits_are_kept():
     assert replace(R.State.of("x"), rounds=2).rounds == 2 and R.Limits().max_bytes == 12 << 20
+
+
+def test_http_source_refuses_without_a_request(spark):
+    from driftloom.sources.http import HttpPages
+
+    spark.dataSource.register(HttpPages)
+    rows = spark.read.format("pages_http").option("urls", "http://127.0.0.1/ http://localhost/x").option("partitions", "2").load().collect()
+    assert {(r.url, r.ok, r.failure_kind) for r in rows} == {("http://127.0.0.1/", False, "unsafe_url"), ("http://localhost/x", False, "unsafe_url")}
+    assert spark.read.format("pages_http").load().count() == 0
