@@ -52,9 +52,9 @@ def components(keys: DataFrame, limit: int = 60) -> DataFrame:
         after = settle(
             state.join(nearer, "ord").join(leap, "low", "left").select("ord", F.least("part", "low", "further").alias("part"))
         )
-        changed = after.join(state.withColumnRenamed("part", "before"), "ord").where("part <> before").isEmpty()
+        same = after.join(state.withColumnRenamed("part", "before"), "ord").where("part <> before").isEmpty()
         state = after
-        if changed:
+        if same:
             return state
     raise RuntimeError(f"components did not settle in {limit} rounds")
 
