@@ -5,7 +5,8 @@ ids and long hexadecimal runs. Beyond them, values in looser credential
 contexts ("password is ...", "pwd: ...", "Bearer ...") are reported as `cred`
 where they would cost many guesses: dynamic programming finds the cheapest cut
 of a value into words, dates, repeats, sequences, keyboard walks and brute-force
-spans, in powers of ten of guesses.
+spans, in powers of ten of guesses. Words are frequent passwords and the whole
+words of the public byte-pair vocabulary, by rank, so ordinary words are cheap.
 
 Offsets are code points, ends exclusive. Defined results: null text counts as
 empty and has no spans; texts are scanned whole; repeated rows are scanned
@@ -15,6 +16,8 @@ unchanged by `redact` and ignored by `scan`.
 
 from __future__ import annotations
 
+import base64
+import functools
 import hashlib
 import math
 import re
@@ -53,8 +56,30 @@ WORDS = (
     "google windows linux apple samsung the and you for that with this from have not are was his her they be at "
     "one all there when your can said use each which their will other about out many then them these some would"
 ).split()
-_RANK = {w: i + 1 for i, w in reversed(list(enumerate(WORDS)))}
-_LONGEST = max(map(len, WORDS))
+
+
+@functools.cache
+def ranks() -> dict[str, int]:
+    """Rank of each word: WORDS, then the whole words of the public vocabulary in its order, most frequent first."""
+    import public_tokenizers
+
+    words = list(WORDS)
+    with open(public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb") as f:
+        for line in f:
+            token = base64.b64decode(line.split()[0])
+            if len(token) > 3 and token[:1] == b" " and token[1:].isalpha():
+                words.append(token[1:].decode("ascii").lower())
+    out: dict[str, int] = {}
+    for word in words:
+        out.setdefault(word, len(out) + 1)
+    return out
+
+
+@functools.cache
+def _longest() -> int:
+    return max(map(len, ranks()))
+
+
 # Rows of the common keyboard and substitutions of letters.
 ROWS = ("`1234567890-=", "qwertyuiop[]\\", "asdfghjkl;'", "zxcvbnm,./")
 _LEET = str.maketrans("430157@$!|", "aeoistasil")
@@ -104,12 +129,13 @@ def _spans(value: str, deep: bool) -> Iterator[tuple[int, int, float]]:
     if len(low) != len(value):
         low = "".join(c.lower() if len(c.lower()) == 1 else c for c in value)
     plain = low.translate(_LEET)
+    rank_of, longest = ranks().get, _longest()
     for i in range(len(low)):
-        for j in range(i + 3, min(len(low), i + _LONGEST) + 1):
-            rank = _RANK.get(low[i:j])
-            if rank is None and (rank := _RANK.get(plain[i:j])) is not None:
+        for j in range(i + 3, min(len(low), i + longest) + 1):
+            rank = rank_of(low[i:j])
+            if rank is None and (rank := rank_of(plain[i:j])) is not None:
                 rank *= 4
-            if rank is None and (rank := _RANK.get(low[i:j][::-1])) is not None:
+            if rank is None and (rank := rank_of(low[i:j][::-1])) is not None:
                 rank *= 2
             if rank is not None:
                 yield i, j, math.log10(rank * (2 if value[i:j] != low[i:j] else 1) + 1)

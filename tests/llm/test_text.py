@@ -152,6 +152,18 @@ def test_added_spans():
     assert SECRETS[5][start:end] == value == "Xk9#vLq2!pZ7"[: len(value)]
 
 
+PROSE = """the password is incorrect|your password was compromised|the token is automatically refreshed|the secret is confidential, they said
+passwords: the password is misconfigured.|this token was invalidated yesterday|the credentials are unfortunately unavailable|an access key is regenerated
+the pin is alphanumeric|a password is case-insensitive|the client secret is hardcoded|credentials were lost; credentials are undocumented!|pass: uncomfortable"""
+
+
+def test_clean_prose_has_no_secrets():
+    for text in PROSE.replace("\n", "|").split("|"):
+        assert secret_scan.find(text)[1] == [] and secret_scan.masked(text) == text, text
+    for value in ("Xk9#vLq2!pZ7", "vqzkxwjpfb", "correct-horse-battery-staple", "9f8Zq-77bQx"):
+        assert [x[3] for x in secret_scan.find(f"the password is {value}")[1]] == [value]
+
+
 def brute_cost(value):
     from functools import lru_cache
 
