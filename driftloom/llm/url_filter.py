@@ -9,9 +9,9 @@ Smoothing is Witten-Bell: p(c|context) mixes the context's counts with
 p(c|shorter context). A model is a table of character sequences up to ORDER + 1
 long; each row holds how much its longest context changes the log ratio against
 the next shorter one, so the sum over all sequences inside a URL is the log
-ratio with the longest known context at every character. The table keeps the
-most frequent sequences, MAX_NODES at most, which bounds its broadcast; the cut
-is by grade of frequency, so every suffix of a kept sequence is kept too.
+ratio with the longest known context at every character. The table keeps all
+sequences, so it grows with the input; distinct texts look theirs up in a
+shuffled join.
 
 Defined results: a null URL or one without `://` has empty host and path; an
 empty text after `://` scores 0; without URLs of both verdicts everything that
@@ -31,9 +31,8 @@ from . import runtime as rt
 RULES = (("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/"))
 
 ORDER = 4
-MAX_NODES = 50_000
-#: Steps of frequency in a doubling, by which sequences are kept or not.
-GRADES = 64
+#: Sequences up to this length are spread over so many parts where texts look them up.
+HOT_LENGTH, SALTS = 3, 32
 #: Characters that a text may hold besides those seen.
 ALPHABET = 256
 #: Log ratios are summed as integers of this many parts, so sums do not depend on their order.
@@ -77,24 +76,17 @@ def sequences(text: Column, order: int = ORDER) -> Column:
     return F.concat(*[F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{k}}}))"), F.lit(1)) for k in range(1, order + 2)])
 
 
-def train(rows: DataFrame, order: int = ORDER, max_nodes: int = MAX_NODES) -> DataFrame:
+def train(rows: DataFrame, order: int = ORDER) -> DataFrame:
     """`seq` and `gain`: what the sequence adds to the log ratio of accepted to rejected."""
-    labelled = rows.where("said is not null").select(F.explode(sequences(F.col("text"), order)).alias("seq"), (F.col("said") == "allow").alias("good"))
-    counts = labelled.groupBy("seq").agg(F.count_if("good").alias("a"), F.count_if(~F.col("good")).alias("r"))
-    grade = F.floor(F.log2(F.col("a") + F.col("r")) * GRADES).cast("int")
-    counts = rt.materialise(counts.withColumn("grade", grade).withColumn("k", F.char_length("seq")), "sequences")
-    # The least grade of frequency from which all sequences fit; a few thousand grades at most come here.
-    kept, least = 0, 1 << 30
-    for row in sorted(counts.groupBy("grade").count().collect(), reverse=True):
-        kept += row["count"]
-        if kept > max_nodes:
-            break
-        least = row["grade"]
-    nodes = counts.where(F.col("grade") >= least)
+    texts = rows.where("said is not null").groupBy("text", (F.col("said") == "allow").alias("good")).agg(F.count(F.lit(1)).alias("times"))
+    runs = texts.select(F.explode(sequences(F.col("text"), order)).alias("seq"), "good", "times")
+    times = lambda hit: F.sum(F.when(hit, F.col("times")).otherwise(0))
+    counts = runs.groupBy("seq").agg(times(F.col("good")).alias("a"), times(~F.col("good")).alias("r"))
+    counts = rt.materialise(counts.withColumn("k", F.char_length("seq")), "sequences")
     flat = F.lit(1.0 / ALPHABET)
     done, shorter = None, None
     for k in range(1, order + 2):
-        level = nodes.where(F.col("k") == k).withColumn("context", F.substring("seq", 1, k - 1)).withColumn("suffix", F.substring("seq", 2, k - 1))
+        level = counts.where(F.col("k") == k).withColumn("context", F.substring("seq", 1, k - 1)).withColumn("suffix", F.substring("seq", 2, k - 1))
         inside = W.partitionBy("context")
         for c in "ar":
             level = level.withColumn(f"n{c}", F.sum(c).over(inside)).withColumn(f"t{c}", F.sum((F.col(c) > 0).cast("long")).over(inside))
@@ -106,18 +98,28 @@ def train(rows: DataFrame, order: int = ORDER, max_nodes: int = MAX_NODES) -> Da
             novel = F.greatest(f"t{c}", F.lit(1))
             level = level.withColumn(f"p{c}", (F.col(c) + novel * F.col(f"q{c}")) / (F.col(f"n{c}") + novel))
         gain = F.log(F.col("pa") / F.col("pr")) - F.log(F.col("qa") / F.col("qr"))
-        level = level.select("seq", "pa", "pr", F.round(gain * PARTS).cast("long").alias("gain"))
+        level = rt.materialise(level.select("seq", "pa", "pr", F.round(gain * PARTS).cast("long").alias("gain")), "level")
         shorter = level
         done = level if done is None else done.unionByName(level)
-    return rt.materialise(done.select("seq", "gain"), "gains")
+    return done.select("seq", "gain")
+
+
+def salted(runs: DataFrame, table: DataFrame) -> DataFrame:
+    """`runs` joined with `table` on seq; rows of short sequences, which most texts hold, go to SALTS parts of a key."""
+    parts = F.when(F.char_length("seq") <= HOT_LENGTH, F.lit(SALTS)).otherwise(F.lit(1))
+    left = runs.withColumn("part", F.pmod(F.xxhash64("uid"), parts))
+    right = table.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), (parts - 1).cast("long"))))
+    return left.join(right, ["seq", "part"])
 
 
 def scored(rows: DataFrame, gains: DataFrame, order: int = ORDER) -> DataFrame:
     """The rows with `score`: the log ratio of accepted to rejected for each character."""
-    runs = rows.select("__dl_uid", F.explode(sequences(F.col("text"), order)).alias("seq"))
-    sums = runs.join(F.broadcast(gains), "seq").groupBy("__dl_uid").agg(F.sum("gain").alias("gain"))
+    texts = rt.materialise(rt.with_row_id(rows.select("text").distinct(), "uid"), "texts")
+    runs = texts.select("uid", F.explode(sequences(F.col("text"), order)).alias("seq")).groupBy("uid", "seq").agg(F.count(F.lit(1)).alias("n"))
+    sums = salted(runs, gains).groupBy("uid").agg(F.sum(F.col("n") * F.col("gain")).alias("gain"))
+    sums = texts.join(sums, "uid", "left").select("text", "gain")
     score = F.coalesce(F.col("gain"), F.lit(0)) / PARTS / F.char_length("text")
-    return rows.join(sums, "__dl_uid", "left").withColumn("score", score).drop("gain", "text")
+    return rows.join(sums, "text").withColumn("score", score).drop("gain", "text")
 
 
 def threshold(rows: DataFrame) -> float:

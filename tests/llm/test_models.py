@@ -205,3 +205,14 @@ def test_character_models_against_recursion(spark):
     got = {r.seq: r.gain / url_filter.PARTS for r in url_filter.train(rows, 2).collect()}
     want = brute_gains([(r.text, r.said == "allow") for r in rows.collect()], 2)
     assert got.keys() == want.keys() and all(abs(got[s] - want[s]) < 1e-5 for s in got)
+
+
+def test_all_sequences_are_kept(spark):
+    rng = np.random.default_rng(8)
+    words = ["".join(map(chr, rng.integers(0x4E00, 0x5E00, 40))) for _ in range(400)]
+    frame = spark.createDataFrame([(i, f"http://a.{('org/es/', 'net/de/')[i % 2]}{w}") for i, w in enumerate(words)], "page_id long, url string")
+    rows = url_filter.ruled(frame)
+    texts = [r.text for r in rows.collect()]
+    want = {t[i : i + k] for t in texts for k in range(1, url_filter.ORDER + 2) for i in range(len(t) - k + 1)}
+    got = {r.seq for r in url_filter.train(rows).collect()}
+    assert len(want) > 50_000 and got == want
