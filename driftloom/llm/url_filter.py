@@ -8,8 +8,9 @@ URLs. Everything is DataFrame expressions.
 Smoothing is Witten-Bell: p(c|context) mixes the context's counts with
 p(c|shorter context). A model is a table of character sequences up to ORDER + 1
 long; each row holds how much its longest context changes the log ratio against
-the next shorter one, so the sum over all sequences inside a URL is the log
-ratio with the longest known context at every character. The table keeps all
+the next shorter one, and each known context how much a character never
+seen after it changes it, so the sum over a URL is the log ratio with the longest
+known context at every character. The table keeps all
 sequences, so it grows with the input; distinct texts look theirs up in a
 shuffled join.
 
@@ -76,8 +77,9 @@ def sequences(text: Column, order: int = ORDER) -> Column:
     return F.concat(*[F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{k}}}))"), F.lit(1)) for k in range(1, order + 2)])
 
 
-def train(rows: DataFrame, order: int = ORDER) -> DataFrame:
-    """`seq` and `gain`: what the sequence adds to the log ratio of accepted to rejected."""
+def model(rows: DataFrame, order: int = ORDER) -> DataFrame:
+    """`seq`, `gain` (what the sequence adds to the log ratio of accepted to rejected), `context` (all but its last
+    character) and `back` (what a character never seen after that context adds)."""
     texts = rows.where("said is not null").groupBy("text", (F.col("said") == "allow").alias("good")).agg(F.count(F.lit(1)).alias("times"))
     runs = texts.select(F.explode(sequences(F.col("text"), order)).alias("seq"), "good", "times")
     times = lambda hit: F.sum(F.when(hit, F.col("times")).otherwise(0))
@@ -98,10 +100,29 @@ def train(rows: DataFrame, order: int = ORDER) -> DataFrame:
             novel = F.greatest(f"t{c}", F.lit(1))
             level = level.withColumn(f"p{c}", (F.col(c) + novel * F.col(f"q{c}")) / (F.col(f"n{c}") + novel))
         gain = F.log(F.col("pa") / F.col("pr")) - F.log(F.col("qa") / F.col("qr"))
-        level = rt.materialise(level.select("seq", "pa", "pr", F.round(gain * PARTS).cast("long").alias("gain")), "level")
+        escape = [F.log(F.greatest(f"t{c}", F.lit(1)) / (F.col(f"n{c}") + F.greatest(f"t{c}", F.lit(1)))) for c in "ar"]
+        back = F.round((escape[0] - escape[1]) * PARTS).cast("long").alias("back")
+        level = rt.materialise(level.select("seq", "pa", "pr", F.round(gain * PARTS).cast("long").alias("gain"), "context", back), "level")
         shorter = level
         done = level if done is None else done.unionByName(level)
-    return done.select("seq", "gain")
+    return done.select("seq", "gain", "context", "back")
+
+
+def train(rows: DataFrame, order: int = ORDER) -> DataFrame:
+    """`seq` and `gain` of the model."""
+    return model(rows, order).select("seq", "gain")
+
+
+def lookups(known: DataFrame) -> DataFrame:
+    """`seq`, `gain` where a character completes the sequence, `back` where one follows it.
+
+    A character after a known context adds the context's back-off unless the longer
+    sequence is known, so the back-off counts with the context and a known sequence's
+    gain is lessened by it.
+    """
+    ends = known.select("seq", (F.col("gain") - F.col("back")).alias("gain"), F.lit(0).cast("long").alias("back"))
+    contexts = known.select(F.col("context").alias("seq"), "back").distinct().select("seq", F.lit(0).cast("long").alias("gain"), "back")
+    return ends.unionByName(contexts).groupBy("seq").agg(F.sum("gain").alias("gain"), F.sum("back").alias("back"))
 
 
 def salted(runs: DataFrame, table: DataFrame) -> DataFrame:
@@ -112,11 +133,18 @@ def salted(runs: DataFrame, table: DataFrame) -> DataFrame:
     return left.join(right, ["seq", "part"])
 
 
-def scored(rows: DataFrame, gains: DataFrame, order: int = ORDER) -> DataFrame:
+def scored(rows: DataFrame, known: DataFrame, order: int = ORDER) -> DataFrame:
     """The rows with `score`: the log ratio of accepted to rejected for each character."""
+    table = rt.materialise(lookups(known), "lookups")
     texts = rt.materialise(rt.with_row_id(rows.select("text").distinct(), "uid"), "texts")
-    runs = texts.select("uid", F.explode(sequences(F.col("text"), order)).alias("seq")).groupBy("uid", "seq").agg(F.count(F.lit(1)).alias("n"))
-    sums = salted(runs, gains).groupBy("uid").agg(F.sum(F.col("n") * F.col("gain")).alias("gain"))
+    text, size = F.col("text"), F.char_length("text")
+    # Every sequence ends with a character and is followed by one, but for those at the end of the text; the empty one is followed by each.
+    one, none = F.lit(1), F.lit(0)
+    found = F.transform(sequences(text, order), lambda s: F.struct(s.alias("seq"), one.alias("ends"), one.alias("leads")))
+    last = F.transform(F.sequence(one, F.least(F.lit(order + 1), size)), lambda k: F.struct(F.substring(text, size - k + 1, k).alias("seq"), none.alias("ends"), F.lit(-1).alias("leads")))
+    empty = F.array(F.struct(F.lit("").alias("seq"), none.alias("ends"), size.alias("leads")))
+    runs = texts.select("uid", F.explode(F.concat(found, last, empty)).alias("x")).groupBy("uid", "x.seq").agg(F.sum("x.ends").alias("ends"), F.sum("x.leads").alias("leads"))
+    sums = salted(runs, table).groupBy("uid").agg(F.sum(F.col("ends") * F.col("gain") + F.col("leads") * F.col("back")).alias("gain"))
     sums = texts.join(sums, "uid", "left").select("text", "gain")
     score = F.coalesce(F.col("gain"), F.lit(0)) / PARTS / F.char_length("text")
     return rows.join(sums, "text").withColumn("score", score).drop("gain", "text")
@@ -145,6 +173,6 @@ def threshold(rows: DataFrame) -> float:
 def judge(pages: DataFrame, rules=RULES) -> DataFrame:
     """page_id, host, path, rule, verdict and score of each URL."""
     rows = rt.materialise(ruled(pages, rules), "urls")
-    found = rt.materialise(scored(rows, train(rows)), "scores")
+    found = rt.materialise(scored(rows, model(rows)), "scores")
     verdict = F.coalesce("said", F.when(F.col("score") >= threshold(found), "allow").otherwise("block"))
     return found.select("page_id", "host", "path", "rule", verdict.alias("verdict"), "score")

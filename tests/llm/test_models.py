@@ -216,3 +216,31 @@ def test_all_sequences_are_kept(spark):
     want = {t[i : i + k] for t in texts for k in range(1, url_filter.ORDER + 2) for i in range(len(t) - k + 1)}
     got = {r.seq for r in url_filter.train(rows).collect()}
     assert len(want) > 50_000 and got == want
+
+
+def test_scores_against_recursion(spark):
+    ruled = ["http://example.com/en/71", "http://example.com/en/12", "http://a.net/de/5", "http://b.org/es/a"] + ["http://c.com/en/eee"] * 9
+    urls = [*ruled, "http://x.net/fr/zz", "http://example.com/eq/", "ftp://\u00e9\u00e9e/en/5?x", "none", "", "http://c.com/enx"]
+    frame = spark.createDataFrame([(i, u) for i, u in enumerate(urls)], "page_id long, url string")
+    rows = url_filter.rt.materialise(url_filter.ruled(frame), "urls")
+    texts = {r.page_id: r.text for r in rows.collect()}
+    counts = {}
+    for r in rows.where("said is not null").collect():
+        for k in range(1, url_filter.ORDER + 2):
+            for i in range(len(r.text) - k + 1):
+                counts.setdefault(r.text[i : i + k], [0, 0])[r.said != "allow"] += 1
+
+    def prob(seq, m):
+        if not seq:
+            return 1 / url_filter.ALPHABET
+        same = [v[m] for s, v in counts.items() if len(s) == len(seq) and s[:-1] == seq[:-1]]
+        if not same:
+            return prob(seq[1:], m)
+        novel = max(1, sum(v > 0 for v in same))
+        return (counts.get(seq, [0, 0])[m] + novel * prob(seq[1:], m)) / (sum(same) + novel)
+
+    for r in url_filter.scored(rows, url_filter.model(rows)).collect():
+        text = texts[r.page_id]
+        parts = [text[max(0, i - url_filter.ORDER) : i + 1] for i in range(len(text))]
+        want = sum(np.log(prob(s, 0) / prob(s, 1)) for s in parts) / len(text)
+        assert abs(r.score - want) < 1e-4, text
