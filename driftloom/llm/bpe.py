@@ -130,8 +130,10 @@ def decoded(tokens: DataFrame, path: str) -> DataFrame:
     def back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = token_bytes(path)
         for batch in batches:
-            raw = [decode(x or (), table) for x in batch.column("ids").to_pylist()]
-            yield pa.record_batch([batch.column("doc_id"), pa.array(raw, pa.binary())], names=["doc_id", "raw"])
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                raw = [decode(x or (), table) for x in part.column("ids").to_pylist()]
+                yield pa.record_batch([part.column("doc_id"), pa.array(raw, pa.binary())], names=["doc_id", "raw"])
 
     rows = tokens.select("doc_id", "ids")
     return rows.mapInArrow(back, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, raw binary")

@@ -9,13 +9,13 @@ size from the stored keys. `LiveIndex` keeps such an index as a table that
 accepts further insertions and deletions.
 
 Defined results: null text counts as empty; null doc_id sorts after all others;
-of rows equal in text, length and doc_id exactly one (any) stays; an empty
-table gives an empty result; other columns are ignored.
+of rows equal in text, length and doc_id exactly one (any) stays; texts of any
+length are read whole; an empty table gives an empty result; other columns, of
+any name, are ignored (marking) or handed on unchanged (dropping).
 """
 
 from __future__ import annotations
 
-import hashlib
 import uuid
 from collections.abc import Iterator
 
@@ -154,24 +154,23 @@ def digest_words(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), "<u8").reshape(-1, 4).astype(np.uint64)
 
 
-def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in rt.slices(batches, "text"):
-        text = batch.column("text")
-        raw = rt.texts_as_bytes(text)
-        sums = [hashlib.sha256(x.translate(None, rt.ASCII_SPACE_BYTES)).digest() for x in raw]
-        points = pc.fill_null(pc.cast(pc.utf8_length(text), pa.int64()), 0)
-        yield pa.record_batch(
-            [batch.column("__dl_uid"), batch.column("doc_id"), points, pa.array(sums, pa.binary())],
-            names=["__dl_uid", "doc_id", "n_points", "digest"],
-        )
+def digests(docs: DataFrame, uid: str | None = None) -> DataFrame:
+    """doc_id, n_points (code points of the text) and digest of each row, and its row id `__dl_uid`; written once.
 
-
-def digests(docs: DataFrame) -> DataFrame:
-    """doc_id, n_points (code points of the text) and digest of each row, with a row id; written once."""
-    rt.prepare(docs.sparkSession)
-    source = docs if "__dl_uid" in docs.columns else rt.with_row_id(docs)
-    rows = source.select("__dl_uid", F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rt.materialise(rows.mapInArrow(_digests, "__dl_uid long, doc_id long, n_points long, digest binary"), "digests")
+    `uid` names the column of `docs` that holds the row id; without it, one is made.
+    """
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    bare = F.translate(text, rt.ASCII_SPACE, "")
+    row = F.monotonically_increasing_id() if uid is None else rt.quoted(uid)
+    return rt.materialise(
+        docs.select(
+            row.alias("__dl_uid"),
+            F.col("doc_id").cast("long").alias("doc_id"),
+            F.char_length(text).cast("long").alias("n_points"),
+            F.unhex(F.sha2(bare.cast("binary"), 256)).alias("digest"),
+        ),
+        "digests",
+    )
 
 
 _GROUP = "digest binary, n_points long, doc_id long, uid long, size long"
@@ -180,15 +179,19 @@ _LAST = np.iinfo(np.int64).max
 
 def _fold(best: np.ndarray, at: np.ndarray, rows: np.ndarray) -> None:
     """Merge candidates (size, -points, doc_id, uid) into best[at], several per place allowed."""
+    if not len(at):
+        return
     order = np.lexsort((rows[:, 3], rows[:, 2], rows[:, 1], at))
     at, rows = at[order], rows[order]
-    starts = np.flatnonzero(np.r_[True, at[1:] != at[:-1]]) if len(at) else np.zeros(0, int)
-    sizes = np.add.reduceat(rows[:, 0], starts) if len(starts) else np.zeros(0, np.int64)
-    for place, row, size in zip(at[starts], rows[starts], sizes, strict=True):
-        old = best[place]
-        if old[0] == 0 or tuple(row[1:]) < tuple(old[1:]):
-            best[place, 1:] = row[1:]
-        best[place, 0] += size
+    starts = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
+    places, first, old = at[starts], rows[starts], best[at[starts]]
+    less, same = np.zeros(len(places), bool), np.ones(len(places), bool)
+    for column in (1, 2, 3):
+        less |= same & (first[:, column] < old[:, column])
+        same &= first[:, column] == old[:, column]
+    better = less | (old[:, 0] == 0)
+    best[places[better], 1:] = first[better, 1:]
+    best[places, 0] += np.add.reduceat(rows[:, 0], starts)
 
 
 def _candidates(batch: pa.RecordBatch) -> np.ndarray:
@@ -243,7 +246,7 @@ def _within_batch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 def groups(rows: DataFrame, n: int, least: int = 2) -> DataFrame:
     """Digest, keeper and size of each group of at least `least` rows, found through cuckoo indexes."""
-    spark = rows.sparkSession
+    spark = rt.prepare(rows.sparkSession)
     shaped = rows.select("digest", "n_points", "doc_id", F.col("__dl_uid").alias("uid"), F.lit(1).cast("long").alias("size"))
     dealt = shaped.mapInArrow(_within_batch, _GROUP).repartition(rt.tasks_for(spark, n), F.xxhash64("digest"))
     return dealt.mapInArrow(lambda it: _index(it, least), _GROUP)
@@ -273,9 +276,10 @@ def mark_copies(docs: DataFrame) -> DataFrame:
 
 def drop_copies(docs: DataFrame) -> DataFrame:
     """The rows of `docs` that stay, with their columns."""
-    rows = rt.materialise(rt.with_row_id(docs), "exact")
-    gone = assign(digests(rows)).where(~F.col("kept")).select("__dl_uid")
-    return rows.join(gone, "__dl_uid", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    rows, uid = rt.numbered(docs, "exact")
+    with rt.passing():
+        gone = rt.materialise(assign(digests(rows, uid)).where(~F.col("kept")).select("__dl_uid"), "gone")
+    return rt.without(rows, uid, gone)
 
 
 class LiveIndex:
@@ -316,7 +320,8 @@ class LiveIndex:
         rows = digests(docs)
         asked = rows.groupBy("digest").agg(F.lit(0).cast("long").alias("refs")).withColumn("stored", F.lit(False))
         both = self.state.withColumn("stored", F.lit(True)).unionByName(asked)
-        dealt = both.repartition(F.xxhash64("digest")).sortWithinPartitions(F.desc("stored"))
+        parts = rt.tasks_for(self.spark, both.count())
+        dealt = both.repartition(parts, F.xxhash64("digest")).sortWithinPartitions(F.desc("stored"))
         hits = dealt.mapInArrow(_probed, "digest binary").withColumn("known", F.lit(True))
         return rows.join(hits, "digest", "left").select("doc_id", F.coalesce("known", F.lit(False)).alias("known"))
 

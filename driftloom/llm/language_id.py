@@ -5,13 +5,15 @@ lexicon features give the emissions, and learned transitions let code-switched
 text change language. Forward-backward gives each word's label distribution;
 their mean is the document's language distribution.
 
-The field is fitted on a bounded sample of labelled rows: PER_LANGUAGE
+The field is fitted on a bounded sample of labelled rows: PER_LANGUAGE distinct
 documents of each language, WINDOWS runs of WINDOW words spread over each.
 Training sequences join runs of several languages, as code-switched text does.
 
 Defined results: `und` with score 0 for null texts and texts without a letter;
-texts are labelled whole; repeated rows are labelled each; without labelled
-rows every text is `und`; other columns are ignored.
+texts are labelled whole, in slices of the Arrow batches; of equally likely
+languages the first by name is taken; repeated rows are labelled each and sampled
+once; without labelled rows every text is `und`; an empty table gives an empty
+result; other columns, of any name, are ignored.
 """
 
 from __future__ import annotations
@@ -232,7 +234,7 @@ def label_words(model: Field, text: str) -> list[tuple[str, str]]:
 
 
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in rt.slices(batches, "text"):
         runs = []
         for text in batch.column("text").to_pylist():
             words = words_of(text or "")
@@ -249,10 +251,16 @@ def learn(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Field | None:
     """Field from the rows of `docs` (doc_id, text, lang); at most per_language rows of each language."""
     rt.prepare(docs.sparkSession)
     named = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", F.col("text").cast("string"), F.col("lang").cast("string"))
-    place = F.row_number().over(W.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    # The rank is taken over ids alone; only the chosen rows' texts are read with it.
-    chosen = named.select("doc_id", "lang").withColumn("place", place).where(F.col("place") <= per_language).select("doc_id", "lang")
-    sampled = named.join(F.broadcast(chosen), ["doc_id", "lang"], "left_semi").select("lang", "text")
+    keyed = named.select("lang", F.xxhash64("doc_id", "text").alias("key"), "text")
+    sizes = keyed.groupBy("lang").agg(F.approx_count_distinct("key", 0.02).alias("n")).collect()
+    if not sizes:
+        return None
+    # About twice the rows wanted pass the share, whatever the size of a language; copies of a row fold before they move.
+    shares = F.create_map(*[F.lit(x) for r in sizes for x in (r["lang"], min(1 << 32, int((2.0 * per_language + 200) / r["n"] * (1 << 32))))])
+    near = keyed.where(F.pmod(F.xxhash64("key"), F.lit(1 << 32)) < F.element_at(shares, F.col("lang")))
+    near = near.groupBy("lang", "key").agg(F.min("text").alias("text"))
+    place = F.row_number().over(W.partitionBy("lang").orderBy(F.xxhash64("key"), "key"))
+    sampled = near.withColumn("place", place).where(F.col("place") <= per_language).select("lang", "text")
     samples: dict[str, list[list[str]]] = defaultdict(list)
     for lang, words in sorted(map(tuple, sampled.mapInArrow(_runs, "lang string, words array<string>").collect())):
         samples[lang].append(words)
@@ -283,5 +291,3 @@ def identify(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, lang_pred, score: learned from rows that are not held out, applied to all."""
     model = learn(docs.where(~held_out()))
     return predict(docs, model).select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), "lang_pred", "score")
-
-

@@ -3,22 +3,26 @@
 Rules vote good (+1), bad (-1) or abstain (0) on each document. The votes of
 all documents form a histogram of at most 3^rules patterns; expectation
 maximisation over it estimates how often each rule is right on good and on bad
-documents, and each document gets the posterior probability of being good.
-
-Defined results: null text has no words; repeated rows are judged alike; an
-empty table gives an empty result; input columns of any name are passed over
-(marking) or handed on unchanged (filtering).
+documents, and each document gets the posterior probability of being good. The
+starting beliefs count as a hundredth of the documents: where a class is rarer
+than that, its rates stay near these beliefs.
+
+Defined results: null text has no words; repeated rows are judged alike; a
+posterior of exactly 0.5 is kept; texts are measured whole, in slices of the Arrow
+batches; an empty table gives an empty result; input columns of any name are
+passed over (marking) or handed on unchanged (filtering).
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from . import runtime as rt
 
@@ -65,29 +69,29 @@ def measure(raw: bytes) -> tuple[int, ...]:
 
 
 def _measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        rows = [measure(x) for x in rt.texts_as_bytes(batch.column("__dl_text"))]
-        table = np.array(rows, np.int64).reshape(-1, len(METRICS))
-        at = batch.schema.get_field_index("__dl_text")
-        kept = [i for i in range(batch.num_columns) if i != at]
-        metrics = pa.StructArray.from_arrays([pa.array(c) for c in table.T], names=list(METRICS))
-        yield pa.record_batch([*(batch.column(i) for i in kept), metrics], names=[*(batch.schema.names[i] for i in kept), "__dl_metrics"])
+    for batch in rt.slices(batches, "text"):
+        table = np.array([measure(x) for x in rt.texts_as_bytes(batch.column("text"))], np.int64).reshape(-1, len(METRICS))
+        found = pa.StructArray.from_arrays([pa.array(c) for c in table.T], names=list(METRICS))
+        yield pa.record_batch([*batch.columns[:-1], found], names=[*batch.schema.names[:-1], "metrics"])
 
 
 def measured(docs: DataFrame, columns: list[str]) -> DataFrame:
-    """The named columns and the struct `__dl_metrics` of each row, written once."""
+    """The named columns of each row and, last, the struct of its METRICS; written once."""
     rt.prepare(docs.sparkSession)
-    rows = docs.select(*[F.col(f"`{c}`") for c in columns], F.col("text").cast("string").alias("__dl_text"))
-    fields = [f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in columns]
-    schema = ", ".join([*fields, "__dl_metrics struct<" + ",".join(f"{m}:bigint" for m in METRICS) + ">"])
-    return rt.materialise(rows.mapInArrow(_measured, schema), "metrics")
+    given = docs.select(*[rt.quoted(c).alias(f"c{i}") for i, c in enumerate(columns)], F.col("text").cast("string").alias("text"))
+    struct = StructType([StructField(m, LongType()) for m in METRICS])
+    schema = StructType([*given.schema.fields[:-1], StructField("metrics", struct)])
+    found = rt.materialise(given.mapInArrow(_measured, schema), "metrics")
+    return found.toDF(*columns, rt.free_name(docs, "__dl_metrics"))
 
 
-def _m(name: str) -> Column:
-    return F.col(f"__dl_metrics.{name}")
+def _of(rows: DataFrame) -> Callable[[str], Column]:
+    """The metrics of `measured()` rows by name."""
+    struct = rt.quoted(rows.columns[-1])
+    return lambda name: struct.getField(name)
 
 
-def rules() -> dict[str, tuple[Column, Column]]:
+def rules(_m: Callable[[str], Column]) -> dict[str, tuple[Column, Column]]:
     """Each rule's conditions for a good and for a bad vote; it abstains where neither holds."""
     words, lines = F.greatest(_m("n_words"), F.lit(1)), F.greatest(_m("n_lines"), F.lit(1))
     mean = _m("word_chars") / words
@@ -109,8 +113,8 @@ def rules() -> dict[str, tuple[Column, Column]]:
     }
 
 
-def votes() -> list[Column]:
-    return [F.when(good, 1).when(bad, -1).otherwise(0) for good, bad in rules().values()]
+def votes(_m: Callable[[str], Column]) -> list[Column]:
+    return [F.when(good, 1).when(bad, -1).otherwise(0) for good, bad in rules(_m).values()]
 
 
 @dataclass
@@ -164,33 +168,35 @@ def fit(patterns: np.ndarray, counts: np.ndarray, rounds: int = 200, tolerance:
 
 def learn(rows: DataFrame) -> VoteModel:
     """The model of all rows' votes; at most 3^9 patterns come to the driver."""
-    names = [f"v{i}" for i in range(len(rules()))]
-    table = rows.select(*[v.alias(n) for v, n in zip(votes(), names, strict=True)]).groupBy(*names).count().collect()
+    found = votes(_of(rows))
+    names = [f"v{i}" for i in range(len(found))]
+    table = rows.select(*[v.alias(n) for v, n in zip(found, names, strict=True)]).groupBy(*names).count().collect()
     patterns = np.array([r[:-1] for r in table], np.int64).reshape(-1, len(names))
     return fit(patterns, np.array([r[-1] for r in table], float))
 
 
-def posterior(model: VoteModel) -> Column:
+def posterior(model: VoteModel, _m: Callable[[str], Column]) -> Column:
     up, down = model.weights()
     logit = F.lit(float(np.log(model.prior / (1 - model.prior))))
-    for vote, a, b in zip(votes(), up, down, strict=True):
+    for vote, a, b in zip(votes(_m), up, down, strict=True):
         logit = logit + F.when(vote == 1, float(a)).when(vote == -1, -float(b)).otherwise(0.0)
     return 1 / (1 + F.exp(-logit))
 
 
-def base_failed() -> Column:
+def base_failed(_m: Callable[[str], Column]) -> Column:
     return (_m("n_words") < 20) | (100 * _m("n_repeat_words") > 30 * _m("n_words"))
 
 
 def judge(docs: DataFrame) -> DataFrame:
     """One row per document: metrics, base verdict, posterior quality and `kept`."""
     rows = measured(docs, ["doc_id"])
-    quality = posterior(learn(rows))
+    metric = _of(rows)
+    quality = posterior(learn(rows), metric)
     return rows.select(
         "doc_id",
-        *[_m(m).alias(m) for m in METRICS[:5]],
-        base_failed().alias("base_failed"),
-        (~base_failed() & (quality >= 0.5)).alias("kept"),
+        *[metric(m).alias(m) for m in METRICS[:5]],
+        base_failed(metric).alias("base_failed"),
+        (~base_failed(metric) & (quality >= 0.5)).alias("kept"),
         quality.alias("quality"),
     )
 
@@ -198,5 +204,5 @@ def judge(docs: DataFrame) -> DataFrame:
 def keep_good(docs: DataFrame) -> DataFrame:
     """The rows of `docs` that pass the base rules and are likelier good than bad."""
     rows = measured(docs, docs.columns)
-    kept = ~base_failed() & (posterior(learn(rows)) >= 0.5)
-    return rows.where(kept).select(*[F.col(f"`{c}`") for c in docs.columns])
+    kept = ~base_failed(_of(rows)) & (posterior(learn(rows), _of(rows)) >= 0.5)
+    return rows.where(kept).select(*[rt.quoted(c) for c in docs.columns])

@@ -63,7 +63,7 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return url_filter.judge(spark.read.parquet(f"{sf_dir}/pages.parquet")).drop("score")
+    return url_filter.judge(spark.read.parquet(f"{sf_dir}/pages.parquet")).drop("score", "held")
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:

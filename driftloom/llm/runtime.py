@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import contextlib
+import contextvars
 import os
 import tempfile
 import uuid
@@ -16,7 +18,6 @@ from pyspark.sql import functions as F
 
 #: The characters of the class [\x20\x09-\x0D].
 ASCII_SPACE = "\x20\x09\x0a\x0b\x0c\x0d"
-ASCII_SPACE_BYTES = ASCII_SPACE.encode()
 
 #: Rows that one task ranks or indexes at most, on average.
 ROWS_PER_TASK = 500_000
@@ -32,14 +33,27 @@ def prepare(spark: SparkSession) -> SparkSession:
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder of `spark.checkpoint.dir`; a temporary one only where none is set."""
+    """A folder in `spark.checkpoint.dir` for this application, deleted when it exits.
+
+    Where that is unset, the folder is in the warehouse, which a cluster's
+    machines share; only a local session uses a temporary one.
+    """
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         where = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
-        sc.setCheckpointDir(where or tempfile.mkdtemp(prefix="driftloom-"))
+        if not where and sc.master.startswith("local") and not sc.master.startswith("local-cluster"):
+            where = tempfile.mkdtemp(prefix="driftloom-")
+        sc.setCheckpointDir(where or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/.scratch")
+        atexit.register(_delete, spark, sc.getCheckpointDir())
     return sc.getCheckpointDir()
 
 
+def _delete(spark: SparkSession, where: str) -> None:
+    with contextlib.suppress(Exception):  # at exit the JVM may be gone already
+        path = spark._jvm.org.apache.hadoop.fs.Path(where)
+        path.getFileSystem(spark._jvm.org.apache.hadoop.conf.Configuration()).delete(path, True)
+
+
 def materialise(df: DataFrame, tag: str) -> DataFrame:
     """Write `df` as Parquet in the shared folder and read it back: lineage ends here."""
     spark = df.sparkSession
@@ -47,12 +61,12 @@ def materialise(df: DataFrame, tag: str) -> DataFrame:
     df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.__dict__["_dl_path"] = path
-    for scope in _scopes:
+    for scope in _scopes.get():
         scope.append(out)
     return out
 
 
-_scopes: list[list[DataFrame]] = []
+_scopes: contextvars.ContextVar[tuple[list[DataFrame], ...]] = contextvars.ContextVar("scopes", default=())
 
 
 def discard(df: DataFrame) -> None:
@@ -65,23 +79,47 @@ def discard(df: DataFrame) -> None:
 def passing() -> Iterator[list[DataFrame]]:
     """Delete the tables written inside the block at its end, but for the last one."""
     tables: list[DataFrame] = []
-    _scopes.append(tables)
+    token = _scopes.set((*_scopes.get(), tables))
     try:
         yield tables
     finally:
-        _scopes.remove(tables)
+        _scopes.reset(token)
         for table in tables[:-1]:
             discard(table)
 
 
-def with_row_id(df: DataFrame, name: str = "__dl_uid") -> DataFrame:
-    """Add a number that tells repeated rows apart.
+def quoted(name: str) -> Column:
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def free_name(df: DataFrame, wish: str) -> str:
+    """`wish`, with underscores added until no column of `df` has that name."""
+    taken = {c.lower() for c in df.columns}
+    while wish.lower() in taken:
+        wish += "_"
+    return wish
+
+
+def with_row_id(df: DataFrame, name: str) -> DataFrame:
+    """Add a number that tells repeated rows apart, under a name that `df` does not have.
 
     It is fixed only once the result is written, so callers materialise first.
     """
     return df.withColumn(name, F.monotonically_increasing_id())
 
 
+def numbered(df: DataFrame, tag: str) -> tuple[DataFrame, str]:
+    """`df` with a row id, written, and the name of that column, which no column of `df` has."""
+    name = free_name(df, "__dl_uid")
+    return materialise(with_row_id(df, name), tag), name
+
+
+def without(rows: DataFrame, uid: str, gone: DataFrame) -> DataFrame:
+    """`rows` of `numbered()` without those whose id is in `__dl_uid` of `gone`, and without the id."""
+    left = rows.join(gone.select(F.col("__dl_uid").alias(uid)), uid, "left_anti")
+    return left.select(*[quoted(c) for c in rows.columns if c != uid])
+
+
 def tasks_for(spark: SparkSession, n: int, rows: int = ROWS_PER_TASK) -> int:
     """Partitions for `n` rows: the session's number, more where tasks would grow too large."""
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n // rows))

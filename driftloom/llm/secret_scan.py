@@ -9,8 +9,9 @@ spans, in powers of ten of guesses. Words are frequent passwords and the whole
 words of the public byte-pair vocabulary, by rank, so ordinary words are cheap.
 
 Offsets are code points, ends exclusive. Defined results: null text counts as
-empty and has no spans; texts are scanned whole; repeated rows are scanned
-each; an empty table gives an empty result; other columns are handed on
+empty and has no spans; texts are scanned whole, in slices of the Arrow batches;
+spans that start together are ordered by kind; repeated rows are scanned each; an
+empty table gives an empty result; other columns, of any name, are handed on
 unchanged by `redact` and ignored by `scan`.
 """
 
@@ -209,7 +210,7 @@ _SPAN = "array<struct<kind:string,start:long,end:long,cost:double>>"
 
 def _scanned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     span = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("cost", pa.float64())]))
-    for batch in batches:
+    for batch in rt.slices(batches, "text"):
         every, base_joined = [], []
         for text in batch.column("text").to_pylist():
             base, spans = find(text or "")
@@ -260,13 +261,15 @@ def redact(docs: DataFrame) -> DataFrame:
     """`docs` with the secrets of `text` masked; n_chars, where there is one, follows the new text."""
     rt.prepare(docs.sparkSession)
 
+    place = docs.columns.index("text")
+
     def mask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            at = batch.schema.get_field_index("text")
-            texts = pa.array([masked(x) for x in batch.column(at).to_pylist()], batch.schema.field(at).type)
-            yield pa.record_batch([texts if i == at else c for i, c in enumerate(batch.columns)], schema=batch.schema)
+        for batch in rt.slices(batches, f"c{place}"):
+            texts = pa.array([masked(x) for x in batch.column(place).to_pylist()], batch.schema.field(place).type)
+            yield pa.record_batch([texts if i == place else c for i, c in enumerate(batch.columns)], schema=batch.schema)
 
-    out = docs.mapInArrow(mask, docs.schema)
+    plain = docs.select(*[rt.quoted(c).alias(f"c{i}") for i, c in enumerate(docs.columns)])
+    out = plain.mapInArrow(mask, plain.schema).toDF(*docs.columns)
     if "n_chars" in docs.columns:
         kind = docs.schema["n_chars"].dataType
         out = out.withColumn("n_chars", F.when(F.col("n_chars").isNull(), None).otherwise(F.char_length("text")).cast(kind))

@@ -4,17 +4,22 @@ Documents are nodes; a hub links all documents that share it (here: equal
 texts). Labels are shards. In each round a hub's documents are drawn to the
 shard where most of them are, among those with room for the others; moves are
 accepted up to each shard's quota of documents, decided by a cumulative count
-over 4,096 hash bins for each shard. Documents without links fill what is left,
-so that counts differ by one at most. A hub larger than a shard is cut into
-halves of a shard first; hubs that found no shard with room are cut into
-quarters of themselves and tried again.
-
-Only tables of 16 rows, or 16 by 4,096, are gathered; ranks are taken inside
-bounded cells.
-
-Defined results: null text is an empty text of size 1; null doc_ids and
-repeated rows are placed like others; an empty table gives an empty result;
-other columns are ignored.
+over 4,096 hash bins for each shard. Hubs that found no shard with room are tried
+again with room for SLACK more than the quota, so that groups can gather even
+where all documents are linked, then cut into quarters of themselves. What lies
+beyond the quota at the end, whole hubs as far as possible, and documents
+without links fill what is left, hub by hub, so that counts differ by one at
+most. A hub larger than a shard is cut into halves of a shard first.
+
+Every choice depends on a hash of doc_id, text and copy number (of rows equal in
+both), never on the place of a row in the table, so the result is the same for
+any layout. Only tables of 16 rows, or 16 by 4,096, are gathered; ranks are
+taken inside bounded cells.
+
+Defined results: null text is an empty text of size 1; null doc_ids are placed
+like others; repeated rows are told apart by their copy number; texts are read
+whole; an empty table gives an empty result; other columns, of any name, are
+ignored.
 """
 
 from __future__ import annotations
@@ -28,6 +33,7 @@ from . import runtime as rt
 SHARDS = 16
 ROUNDS = 8
 BINS = 4096
+SLACK = 0.25
 
 
 def quotas(n: int, shards: int = SHARDS) -> list[int]:
@@ -43,19 +49,20 @@ def _loads(state: DataFrame, shards: int) -> list[int]:
     return [got.get(i, 0) for i in range(shards)]
 
 
-def propagate(links: DataFrame, quota: list[int], rounds: int = ROUNDS) -> DataFrame:
-    """`node`, `hub`, `shard` for the rows (node, hub) of `links`, each node in one hub.
+def propagate(links: DataFrame, limit: list[int], rounds: int = ROUNDS) -> DataFrame:
+    """`node`, `key`, `hub`, `shard` for the rows (node, key, hub) of `links`, each node in one hub.
 
-    Starts from the column `shard`, or else from a hash of the node, and ends
-    when no hub has a move left or after `rounds`.
+    `key` is a hash of the node's content. Starts from the column `shard`, or
+    else from `key`, and ends when no hub has a move left within `limit`, or
+    after `rounds`.
     """
-    shards = len(quota)
+    shards = len(limit)
     if "shard" not in links.columns:
-        links = links.withColumn("shard", F.pmod(F.xxhash64("node"), F.lit(shards)).cast("int"))
+        links = links.withColumn("shard", F.pmod(F.xxhash64("key", F.lit("label")), F.lit(shards)).cast("int"))
     state = rt.materialise(links, "labels")
     whole = W.partitionBy("hub")
     for _ in range(rounds):
-        room = [q - x for q, x in zip(quota, _loads(state, shards), strict=True)]
+        room = [q - x for q, x in zip(limit, _loads(state, shards), strict=True)]
         held = state.groupBy("hub", "shard").count().withColumn("size", F.sum("count").over(whole))
         spread = F.count(F.lit(1)).over(whole)
         free = F.get(_longs(room), F.col("shard"))
@@ -69,56 +76,81 @@ def propagate(links: DataFrame, quota: list[int], rounds: int = ROUNDS) -> DataF
         upto = F.sum("come").over(W.partitionBy("to").orderBy("bin").rowsBetween(W.unboundedPreceding, 0))
         edge = bins.withColumn("upto", upto).where(F.col("upto") <= F.get(_longs(room), F.col("to"))).groupBy("to").agg(F.max("bin").alias("edge"))
         edges = {r["to"]: r["edge"] for r in edge.collect()}
-        accepted = wanted.where(F.col("bin") <= F.get(_longs([edges.get(i, -1) for i in range(shards)]), F.col("to"))).select("hub", "to")
-        if accepted.isEmpty():
+        if not edges:
+            rt.discard(wanted)
             break
-        moved = state.join(accepted, "hub", "left").select("node", "hub", F.coalesce("to", "shard").alias("shard"))
+        accepted = wanted.where(F.col("bin") <= F.get(_longs([edges.get(i, -1) for i in range(shards)]), F.col("to"))).select("hub", "to")
+        moved = state.join(accepted, "hub", "left").select("node", "key", "hub", F.coalesce("to", "shard").alias("shard"))
         former, state = state, rt.materialise(moved, "labels")
         rt.discard(former)
         rt.discard(wanted)
     return state
 
 
-def _part(hub: Column, node: Column, parts: Column) -> Column:
-    return F.concat(hub, F.encode(F.concat(F.lit("/"), F.pmod(F.xxhash64(node), parts).cast("string")), "UTF-8"))
+def _part(hub: Column, key: Column, parts: Column) -> Column:
+    return F.concat(hub, F.encode(F.concat(F.lit("/"), F.pmod(F.xxhash64(key, F.lit("part")), parts).cast("string")), "UTF-8"))
 
 
-def _spread(state: DataFrame, quota: list[int]) -> DataFrame:
-    """The state after a second propagation in which hubs that are still spread are cut in four."""
-    cut = state.groupBy("hub").agg(F.min("shard").alias("low"), F.max("shard").alias("high")).where("low < high").select("hub", F.lit(4).alias("parts"))
-    if cut.isEmpty():
-        return state
-    parted = state.join(cut, "hub", "left")
-    hub = F.when(F.col("parts").isNull(), F.col("hub")).otherwise(_part(F.col("hub"), F.col("node"), F.col("parts")))
-    return propagate(parted.select("node", hub.alias("hub"), "shard"), quota)
+def _spread(state: DataFrame, limit: list[int]) -> DataFrame:
+    """The state after further propagation within `limit` while hubs are spread: whole ones, then cut in four."""
+    for parts in (1, 4):
+        cut = state.groupBy("hub").agg(F.min("shard").alias("low"), F.max("shard").alias("high")).where("low < high").select("hub", F.lit(parts).alias("parts"))
+        cut = rt.materialise(cut, "cut")
+        if cut.isEmpty():
+            return state
+        if parts > 1:
+            parted = state.join(cut, "hub", "left")
+            hub = F.when(F.col("parts").isNull(), F.col("hub")).otherwise(_part(F.col("hub"), F.col("key"), F.col("parts")))
+            state = parted.select("node", "key", hub.alias("hub"), "shard")
+        state = propagate(state, limit)
+    return state
 
 
 def _fitted(state: DataFrame, quota: list[int], n: int) -> DataFrame:
     """Drop what a shard holds beyond its quota, whole hubs as far as possible."""
     if all(x <= q for x, q in zip(_loads(state, len(quota)), quota, strict=True)):
         return state
-    order = [F.col("hub"), F.col("node")]
+    order = [F.col("hub"), F.col("key")]
     return rt.ranked(state, ["shard"], order, n, "__dl_rank", deal=[F.col("hub")]).where(F.col("__dl_rank") < F.get(_longs(quota), F.col("shard"))).drop("__dl_rank")
 
 
+def keyed(docs: DataFrame) -> DataFrame:
+    """doc_id, size, text_crc32, `hub` (SHA-256 of the text), a row id `node` and a `key` of doc_id, text and copy number; written once."""
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    raw = text.cast("binary")
+    rows = docs.select("doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(raw).alias("text_crc32"), F.unhex(F.sha2(raw, 256)).alias("hub"))
+    rows = rt.materialise(rt.with_row_id(rows, "node"), "documents")
+    twice = rt.materialise(rows.groupBy("hub", "doc_id").agg(F.count(F.lit(1)).alias("copies")).where("copies > 1"), "twice")
+    if twice.isEmpty():
+        return rows.withColumn("key", F.xxhash64("hub", "doc_id", F.lit(0).cast("long")))
+    # Copies are numbered in cells, so no group of them is ranked in one task.
+    pair = F.xxhash64("hub", "doc_id").alias("pair")
+    again = rows.select("node", pair).join(twice.select(pair).distinct(), "pair", "left_semi")
+    again = rt.ranked(again, ["pair"], [F.col("node")], rows.count(), "copy").select("node", "copy")
+    copy = F.coalesce("copy", F.lit(0).cast("long"))
+    return rt.materialise(rows.join(again, "node", "left").withColumn("key", F.xxhash64("hub", "doc_id", copy)).drop("copy"), "keyed")
+
+
 def shard(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot, grown_shard of each document."""
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    rows = docs.select("doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.unhex(F.sha2(text.cast("binary"), 256)).alias("hub"))
-    rows = rt.materialise(rt.with_row_id(rows), "documents")
+    rows = keyed(docs)
     n = rows.count()
     quota = quotas(n, shards)
-    groups = rows.groupBy("hub").agg(F.count(F.lit(1)).alias("copies")).where("copies > 1")
     share = max(1, n // shards)
-    parts = F.when(F.col("copies") > share, F.ceil(F.col("copies") * 2 / F.lit(share))).otherwise(1)
-    linked = rows.join(groups, "hub").select(F.col("__dl_uid").alias("node"), _part(F.col("hub"), F.col("__dl_uid"), parts).alias("hub"))
-    placed = rt.materialise(_fitted(_spread(propagate(linked, quota), quota), quota, n).select(F.col("node").alias("__dl_uid"), "shard"), "placed")
+    with rt.passing():
+        # Written first, so that the join below can split a hot group.
+        groups = rt.materialise(rows.groupBy("hub").agg(F.count(F.lit(1)).alias("copies")).where("copies > 1"), "groups")
+        parts = F.when(F.col("copies") > share, F.ceil(F.col("copies") * 2 / F.lit(share))).otherwise(1)
+        linked = rows.join(groups, "hub").select("node", "key", _part(F.col("hub"), F.col("key"), parts).alias("hub"))
+        limit = [q + int(SLACK * q) for q in quota]
+        state = _spread(propagate(linked, quota), limit)
+        placed = rt.materialise(_fitted(state, quota, n).select("node", "shard"), "placed")
     left = [q - x for q, x in zip(quota, _loads(placed, shards), strict=True)]
     ends = [sum(left[: i + 1]) for i in range(shards)]
-    rest = rows.join(placed, "__dl_uid", "left_anti").select("__dl_uid")
-    rest = rt.ranked(rest, [], [F.col("__dl_uid")], n, "__dl_rank")
-    rest = rest.select("__dl_uid", F.size(F.filter(_longs(ends), lambda x: x <= F.col("__dl_rank"))).alias("shard"))
-    every = rows.drop("hub").join(placed.unionByName(rest), "__dl_uid")
-    return rt.ranked(every, ["shard"], [F.col("__dl_uid")], n, "slot").select(
+    rest = rows.join(placed, "node", "left_anti").select("node", "hub", "key")
+    rest = rt.ranked(rest, [], [F.col("hub"), F.col("key")], n, "__dl_rank", deal=[F.col("hub"), F.pmod("key", F.lit(64))])
+    rest = rest.select("node", F.size(F.filter(_longs(ends), lambda x: x <= F.col("__dl_rank"))).alias("shard"))
+    every = rows.drop("hub").join(placed.unionByName(rest), "node")
+    return rt.ranked(every, ["shard"], [F.col("key"), F.col("doc_id")], n, "slot").select(
         "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), F.col("shard").cast("int").alias("shard"), "slot", F.lit(None).cast("int").alias("grown_shard")
     )

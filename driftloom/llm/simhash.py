@@ -3,14 +3,14 @@
 A 64-bit fingerprint is cut into 32 segments of two bits; its embedding is the
 vector of the segments' bit counts. The Manhattan distance of two embeddings
 never exceeds the Hamming distance of the fingerprints, so links within four
-bits lie within Manhattan distance four, hence within two on the first or on
-the last half of the coordinates. On that half, both fingerprints reach a common
-grid point by moving one coordinate by at most one step: each fingerprint enters
-the grid cells of its two radius-1 balls (about 50) and is compared only with
-the fingerprints of its cells, by exact Hamming distance. No link is missed and
-there is no cap; copies of a fingerprint enter once. Above MANY fingerprints the
-segments are one bit wide (66 cells each): the same argument holds, and cells
-stay small with billions of fingerprints.
+bits lie within Manhattan distance four. The segments form three blocks of 11,
+11 and 10; each of the three pairs of blocks leaves one block out, so their
+distances add up to eight at most and one pair of blocks lies within two. On
+that pair, both fingerprints reach a common grid point by moving one coordinate
+by at most one step: each fingerprint enters the grid cells of its three
+radius-1 balls (about 100) and is compared only with the fingerprints of its
+cells, by exact Hamming distance. No link is missed and there is no cap; copies
+of a fingerprint enter once.
 
 Inside a cell a frontier search grows trees: each fingerprint is compared with
 those not reached yet, so a cell of near copies costs about as many steps as it
@@ -18,8 +18,10 @@ has members and yields a spanning forest, not all pairs. Components of the
 forests' edges are the components of all links.
 
 Defined results: null text counts as empty; texts without words share the
-fingerprint zero and are linked like others; null doc_ids never become a
-component's id unless it has no other; an empty table gives an empty result.
+fingerprint zero and are linked like others; texts are read whole, in slices of
+the Arrow batches, whatever their length; repeated rows share a fingerprint and a
+component; null doc_ids never become a component's id unless it has no other;
+an empty table gives an empty result; other columns, of any name, are ignored.
 """
 
 from __future__ import annotations
@@ -33,11 +35,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import runtime as rt
-from .graph import components
+from .graph import components, headed
 
 SHINGLE, SEED, MAX_BITS = 4, 42, 4
-#: Distinct fingerprints from which segments are one bit wide rather than two.
-MANY = 50_000_000
+#: Bits of the three blocks of segments: for each pair of blocks, the block left out.
+BLOCKS = ((0, 22), (22, 44), (44, 64))
 #: Longest run of a cell that is compared pair by pair in one vector step.
 SHORT = 8
 
@@ -72,27 +74,29 @@ def fingerprints(texts: list[bytes], width: int = SHINGLE) -> np.ndarray:
 _ODD = np.uint64(0x5555555555555555)
 
 
-def embed(prints: np.ndarray, width: int = 2) -> np.ndarray:
-    """The counts of the segments of one or two bits, packed in place of the segments."""
-    return prints if width == 1 else (prints & _ODD) + ((prints >> np.uint64(1)) & _ODD)
+def embed(prints: np.ndarray) -> np.ndarray:
+    """The counts of the segments of two bits, packed in place of the segments."""
+    return (prints & _ODD) + ((prints >> np.uint64(1)) & _ODD)
 
 
-def cells(prints: np.ndarray, width: int = 2) -> tuple[np.ndarray, np.ndarray]:
-    """The radius-1 balls of both halves of the embeddings: cell numbers and the index of their fingerprint."""
-    packed, keys, owners = embed(prints, width), [], []
+def cells(prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The radius-1 balls of the pairs of blocks of the embeddings: cell numbers and the index of their fingerprint."""
+    packed, keys, owners = embed(prints), [], []
     everyone = np.arange(len(prints))
-    for half in (0, 1):
-        own = ((packed >> np.uint64(32 * half)) & np.uint64(0xFFFFFFFF)).astype(np.int64)
-        tag = half << 32
-        keys.append(own | tag)
+    one, three = np.uint64(1), np.uint64(3)
+    for low, high in BLOCKS:
+        # The counts of the block left out are at most 2 each, so all ones mark it.
+        block = np.uint64(((1 << high) - 1) ^ ((1 << low) - 1))
+        own = packed | block
+        keys.append(own)
         owners.append(everyone)
-        for at in range(0, 32, width):
-            count = (own >> at) & (2 * width - 1)
-            for step in (1, -1):
-                able = (count < width) if step > 0 else (count > 0)
-                keys.append((own[able] + step * (1 << at)) | tag)
+        for at in [*range(0, low, 2), *range(high, 64, 2)]:
+            shift = np.uint64(at)
+            count, step = (own >> shift) & three, one << shift
+            for able, moved in ((count < 2, own + step), (count > 0, own - step)):
+                keys.append(moved[able])
                 owners.append(everyone[able])
-    return np.concatenate(keys), np.concatenate(owners)
+    return np.concatenate(keys).view(np.int64), np.concatenate(owners)
 
 
 def forest(prints: np.ndarray, bits: int = MAX_BITS) -> list[tuple[int, int]]:
@@ -141,12 +145,12 @@ def _prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([batch.column("__dl_uid"), batch.column("doc_id"), pa.array(found)], names=["__dl_uid", "doc_id", "fp"])
 
 
-def _cells(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
+def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         prints = batch.column("fp").to_numpy().view(np.uint64)
         for at in range(0, len(prints), 4096):
             part = prints[at : at + 4096]
-            keys, owners = cells(part, width)
+            keys, owners = cells(part)
             yield pa.record_batch([pa.array(keys), pa.array(part[owners].view(np.int64))], names=["cell", "fp"])
 
 
@@ -177,36 +181,27 @@ def _edges(keys: np.ndarray, prints: np.ndarray) -> Iterator[pa.RecordBatch]:
 def fingerprinted(docs: DataFrame) -> DataFrame:
     """Row id, doc_id and fingerprint `fp` of each row; written once."""
     rt.prepare(docs.sparkSession)
-    source = docs if "__dl_uid" in docs.columns else rt.with_row_id(docs)
-    rows = source.select("__dl_uid", F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rt.materialise(rows.mapInArrow(_prints, "__dl_uid long, doc_id long, fp long"), "prints")
+    rows = rt.with_row_id(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), "__dl_uid")
+    return rt.materialise(rows.select("__dl_uid", "doc_id", "text").mapInArrow(_prints, "__dl_uid long, doc_id long, fp long"), "prints")
 
 
-def link_edges(prints: DataFrame, width: int | None = None) -> DataFrame:
-    """Edges (a, b) between distinct fingerprints that span all links within MAX_BITS."""
-    width = width or (2 if prints.count() <= MANY else 1)
-    spread = prints.mapInArrow(lambda batches: _cells(batches, width), "cell long, fp long").repartition("cell").sortWithinPartitions("cell")
+def link_edges(prints: DataFrame, n: int) -> DataFrame:
+    """Edges (a, b) between the `n` distinct fingerprints that span all links within MAX_BITS."""
+    parts = rt.tasks_for(prints.sparkSession, 100 * n, 4 * rt.ROWS_PER_TASK)
+    spread = prints.mapInArrow(_cells, "cell long, fp long").repartition(parts, "cell").sortWithinPartitions("cell")
     return spread.mapInArrow(_links, "a long, b long")
 
 
 def classed(rows: DataFrame) -> DataFrame:
     """The rows of `fingerprinted()` with component_id and the row id that stands for the component."""
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.col("__dl_uid").alias("uid")))
-    distinct = rt.materialise(rows.groupBy("fp").agg(first.alias("first")), "distinct")
-    roots = components(link_edges(distinct.select("fp"))).select(F.col("node").alias("fp"), "root")
-    rooted = distinct.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    heads = rooted.groupBy("root").agg(F.min("first").alias("head"))
-    owner = rooted.select("fp", "root").join(heads, "root").select("fp", "head")
+    with rt.passing():
+        distinct = rt.materialise(rows.groupBy(F.col("fp").alias("node")).agg(first.alias("first")), "distinct")
+        roots = components(link_edges(distinct.select(F.col("node").alias("fp")), distinct.count()))
+        owner = rt.materialise(headed(distinct, roots).select(F.col("node").alias("fp"), "head"), "owner")
     return rows.join(owner, "fp").select("__dl_uid", "doc_id", "fp", F.col("head.doc_id").alias("component_id"), F.col("head.uid").alias("__dl_head"))
 
 
 def near_copies(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, fingerprint, component_id."""
     return classed(fingerprinted(docs)).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
-
-
-def drop_near_copies(docs: DataFrame) -> DataFrame:
-    """The rows of `docs` without all but the first document of each component."""
-    rows = rt.materialise(rt.with_row_id(docs), "near")
-    gone = classed(fingerprinted(rows)).where("__dl_uid <> __dl_head").select("__dl_uid")
-    return rows.join(gone, "__dl_uid", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])

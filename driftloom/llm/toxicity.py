@@ -10,13 +10,17 @@ with the sigmoid loss l. Where the second part falls below zero, the step
 climbs back instead, so the risk cannot be driven negative by memorising.
 
 The classifier is fitted on a bounded sample: at most POSITIVES and UNLABELLED
-documents, chosen by a hash of their ids. The prior is the share of toxic rows
-among the labelled ones, or DEFAULT_PRIOR without such rows.
+distinct documents, chosen by a hash of their ids and texts. The unlabelled are
+drawn from all training documents, confirmed ones among them, as the risk
+assumes. The prior is the share of toxic rows among the labelled ones, or
+DEFAULT_PRIOR without such rows. Only FEATURES bits of each sampled document
+come to the driver.
 
 Defined results: null and empty texts get the score of a text without words;
-texts are read whole; repeated rows are scored each; without positives every
-score is the prior; an empty table gives an empty result; other columns are
-ignored.
+texts are read whole, in slices of the Arrow batches; repeated rows are scored
+each and sampled once; a document labelled twice is toxic if one label says so;
+equal scores stay equal; without positives every score is the prior; an empty
+table gives an empty result; other columns, of any name, are ignored.
 """
 
 from __future__ import annotations
@@ -41,6 +45,8 @@ FEATURES = 1024
 LEAST_EVIDENCE = 12.0
 #: Of seven settings of these and of LEAST_EVIDENCE, compared on a fifth of the training rows; see the README.
 STEPS, RATE, SHRINK = 1200, 0.05, 2e-5
+#: Largest step of a weight at which the descent ends.
+SETTLED = 2e-4
 
 _WORD = re.compile(r"\w+")
 
@@ -70,37 +76,61 @@ def _evidence(a: np.ndarray, n: int, b: np.ndarray, m: int) -> np.ndarray:
     return 2 * total
 
 
-def fit(positives: list[np.ndarray], unlabelled: list[np.ndarray], prior: float) -> Classifier:
-    """The classifier of least non-negative risk, by Adam over all rows of the sample."""
-    if not positives or not unlabelled:
-        return Classifier({}, float(np.log(prior / (1 - prior))))
-    counts = [np.bincount(np.concatenate([np.zeros(0, np.int32), *rows]), minlength=HASHES) for rows in (positives, unlabelled)]
-    evidence = _evidence(counts[0], len(positives), counts[1], len(unlabelled))
-    chosen = np.flatnonzero(evidence >= LEAST_EVIDENCE)
-    chosen = chosen[np.argsort(-evidence[chosen], kind="stable")][:FEATURES]
-    place = np.full(HASHES, -1, np.int64)
-    place[chosen] = np.arange(len(chosen))
-
-    def table(rows: list[np.ndarray]) -> np.ndarray:
-        out = np.zeros((len(rows), len(chosen) + 1), np.float32)
-        out[:, -1] = 1
-        for r, hashes in enumerate(rows):
-            at = place[hashes]
-            out[r, at[at >= 0]] = 1
-        return out
-
-    x, u = table(positives), table(unlabelled)
-    w, first, second = np.zeros(len(chosen) + 1), 0.0, 0.0
+def risk(w: np.ndarray, x: np.ndarray, u: np.ndarray, prior: float) -> tuple[float, float, np.ndarray, np.ndarray]:
+    """The two parts of the risk and their gradients: prior * E_pos[l(g)], and E_unl[l(-g)] - prior * E_pos[l(-g)]."""
+    small = w.astype(x.dtype)
+    sp, su = (1 / (1 + np.exp(-np.clip(t @ small, -50, 50))) for t in (x, u))
+    # l(g) = 1 - s(g) and l(-g) = s(g); both have the slope s (1 - s).
+    up, uu = (sp * (1 - sp)) @ x / len(x), (su * (1 - su)) @ u / len(u)
+    return prior * float(1 - sp.mean(dtype=float)), float(su.mean(dtype=float) - prior * sp.mean(dtype=float)), -prior * up, uu - prior * up
+
+
+def descend(x: np.ndarray, u: np.ndarray, prior: float) -> np.ndarray:
+    """Weights (the last is the bias) of least non-negative risk, by Adam over all rows, until they settle."""
+    w, first, second = np.zeros(x.shape[1]), 0.0, 0.0
     for turn in range(1, STEPS + 1):
-        sp, su = (1 / (1 + np.exp(-np.clip(t @ w, -50, 50))) for t in (x, u))
-        # l(g) = 1 - s(g) and l(-g) = s(g); both have the slope s (1 - s).
-        up, uu = (sp * (1 - sp)) @ x / len(x), (su * (1 - su)) @ u / len(u)
-        negative = su.mean() - prior * sp.mean()
-        grad = -prior * up + (uu - prior * up) if negative >= 0 else -(uu - prior * up)
+        _, negative, gp, gn = risk(w, x, u, prior)
+        grad = gp + gn if negative >= 0 else -gn
         grad = grad + SHRINK * np.r_[w[:-1], 0]
         first = first + 0.1 * (grad - first)
         second = second + 0.001 * (grad * grad - second)
-        w = w - RATE * (first / (1 - 0.9**turn)) / (np.sqrt(second / (1 - 0.999**turn)) + 1e-8)
+        step = RATE * (first / (1 - 0.9**turn)) / (np.sqrt(second / (1 - 0.999**turn)) + 1e-8)
+        w = w - step
+        if np.abs(step).max() < SETTLED:
+            break
+    return w
+
+
+def chosen_words(counts: list[np.ndarray], sizes: list[int]) -> np.ndarray:
+    """Hashes of at most FEATURES words whose presence tells the classes apart most, by counts of documents of each."""
+    evidence = _evidence(counts[0], sizes[0], counts[1], sizes[1])
+    chosen = np.flatnonzero(evidence >= LEAST_EVIDENCE)
+    return np.sort(chosen[np.argsort(-evidence[chosen], kind="stable")][:FEATURES]).astype(np.int32)
+
+
+def presence(rows: list[np.ndarray], chosen: np.ndarray) -> np.ndarray:
+    """A row for each document: 1 where it holds the chosen word; the last column is the bias's."""
+    out = np.zeros((len(rows), len(chosen) + 1), np.float32)
+    out[:, -1] = 1
+    for r, hashes in enumerate(rows):
+        out[r, :-1] = np.isin(chosen, hashes)
+    return out
+
+
+def fit(positives: list[np.ndarray], unlabelled: list[np.ndarray], prior: float) -> Classifier:
+    """The classifier of two lists of word hashes."""
+    if not positives or not unlabelled:
+        return _constant(prior)
+    counts = [np.bincount(np.concatenate([np.zeros(0, np.int32), *rows]), minlength=HASHES) for rows in (positives, unlabelled)]
+    chosen = chosen_words(counts, [len(positives), len(unlabelled)])
+    return _classifier(chosen, descend(presence(positives, chosen), presence(unlabelled, chosen), prior))
+
+
+def _constant(prior: float) -> Classifier:
+    return Classifier({}, float(np.log(prior / (1 - prior))))
+
+
+def _classifier(chosen: np.ndarray, w: np.ndarray) -> Classifier:
     return Classifier({int(h): float(v) for h, v in zip(chosen, w[:-1], strict=True)}, float(w[-1]))
 
 
@@ -109,16 +139,19 @@ def held_out() -> Column:
 
 
 def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        raw = [word_hashes(x or "").tobytes() for x in batch.column("text").to_pylist()]
-        yield pa.record_batch([batch.column("toxic"), pa.array(raw, pa.binary())], names=["toxic", "hashes"])
+    for batch in rt.slices(batches, "text"):
+        raw = [word_hashes(x or "") for x in batch.column("text").to_pylist()]
+        yield pa.record_batch([batch.column("toxic"), pa.array(raw, pa.list_(pa.int32()))], names=["toxic", "hashes"])
 
 
-def _some(ids: DataFrame, n: int, most: int) -> DataFrame:
-    """At most `most` ids, by their hash; about twice as many are ranked, however many there are."""
-    share = min(1.0, 2.0 * most / max(1, n))
-    near = ids.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 32)) < int(share * (1 << 32)))
-    return near.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
+def some(docs: DataFrame, most: int) -> DataFrame:
+    """The texts of at most `most` distinct rows (doc_id, text), by a hash of both; about twice as many are ranked."""
+    key = F.xxhash64("doc_id", "text")
+    keyed = docs.select(key.alias("key"), "text")
+    distinct = keyed.agg(F.approx_count_distinct("key", 0.02)).first()[0]
+    share = min(1.0, (2.0 * most + 200) / max(1, distinct))
+    near = keyed.where(F.pmod(F.xxhash64("key"), F.lit(1 << 32)) < int(share * (1 << 32)))
+    return near.groupBy("key").agg(F.min("text").alias("text")).orderBy(F.xxhash64("key"), "key").limit(most).select("text")
 
 
 def learn(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabelled: int = UNLABELLED) -> Classifier:
@@ -127,14 +160,36 @@ def learn(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabe
     known = labels.groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     shares = known.agg(F.sum("toxic"), F.count("toxic")).first()
     prior = min(0.5, max(1e-4, shares[0] / shares[1])) if shares[0] else DEFAULT_PRIOR
-    confirmed = _some(known.where("toxic = 1").select("doc_id"), shares[0] or 0, positives).select("doc_id", F.lit(1).alias("toxic"))
-    others = _some(docs.select("doc_id").join(known.where("toxic = 1"), "doc_id", "left_anti"), docs.count(), unlabelled)
-    wanted = confirmed.unionByName(others.select("doc_id", F.lit(0).alias("toxic"))).distinct()
-    # At most POSITIVES + UNLABELLED ids: small enough to broadcast at any input size.
-    rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(wanted), "doc_id")
-    sample = rows.select("toxic", "text").mapInArrow(_hashed, "toxic int, hashes binary").collect()
-    parted = [sorted((bytes(r["hashes"]) for r in sample if r["toxic"] == t)) for t in (1, 0)]
-    return fit(*([np.frombuffer(x, np.int32) for x in rows] for rows in parted), prior)
+    rows = docs.select("doc_id", F.col("text").cast("string").alias("text"))
+    marked = known.where("toxic = 1").select("doc_id")
+    both = some(rows.join(marked, "doc_id", "left_semi"), positives).withColumn("toxic", F.lit(1))
+    both = both.unionByName(some(rows, unlabelled).withColumn("toxic", F.lit(0)))
+    sample = rt.materialise(both.select("toxic", "text").mapInArrow(_hashed, "toxic int, hashes array<int>"), "sample")
+    sizes = {r["toxic"]: r["count"] for r in sample.groupBy("toxic").count().collect()}
+    if len(sizes) < 2:
+        return _constant(prior)
+    # At most HASHES rows; then FEATURES bits of each sampled document.
+    table = sample.select("toxic", F.explode("hashes").alias("h")).groupBy("h").agg(*[F.count_if(F.col("toxic") == t).cast("int").alias(f"n{t}") for t in (1, 0)]).toArrow()
+    counts = [np.zeros(HASHES, np.int64) for _ in (1, 0)]
+    for part, t in zip(counts, (1, 0), strict=True):
+        part[table["h"].to_numpy()] = table[f"n{t}"].to_numpy()
+    chosen = chosen_words(counts, [sizes[1], sizes[0]])
+
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bits = np.packbits(presence([np.array(x, np.int32) for x in batch.column("hashes").to_pylist()], chosen)[:, :-1].astype(bool), axis=1)
+            yield pa.record_batch([batch.column("toxic"), pa.array([x.tobytes() for x in bits], pa.binary())], names=["toxic", "bits"])
+
+    found = sample.mapInArrow(packed, "toxic int, bits binary").toArrow()
+    toxic, bits = found["toxic"].to_pylist(), found["bits"].to_pylist()
+    rt.discard(sample)
+
+    def unpacked(t: int) -> np.ndarray:
+        mine = sorted(b for b, x in zip(bits, toxic, strict=True) if x == t)
+        flat = np.frombuffer(b"".join(mine), np.uint8).reshape(len(mine), -1)
+        return np.c_[np.unpackbits(flat, axis=1, count=len(chosen)), np.ones(len(mine), np.uint8)].astype(np.float32)
+
+    return _classifier(chosen, descend(unpacked(1), unpacked(0), prior))
 
 
 def predict(docs: DataFrame, model: Classifier) -> DataFrame:
@@ -142,7 +197,7 @@ def predict(docs: DataFrame, model: Classifier) -> DataFrame:
     rt.prepare(docs.sparkSession)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in rt.slices(batches, "text"):
             scores = [model.score(x or "") for x in batch.column("text").to_pylist()]
             yield pa.record_batch([batch.column("doc_id"), pa.array(scores, pa.float64())], names=["doc_id", "score"])
 

@@ -2,8 +2,9 @@
 
 URLs that a rule accepts or rejects train two smoothed variable-order Markov
 models of characters; other URLs are accepted if the log-likelihood difference
-of the two, divided by the length, reaches a threshold calibrated on the rules'
-URLs. Everything is DataFrame expressions.
+of the two, divided by the length, reaches a threshold. The threshold is
+calibrated on those of the rules' URLs that a hash keeps out of the training (one
+in HELD, copies together). Everything is DataFrame expressions.
 
 Smoothing is Witten-Bell: p(c|context) mixes the context's counts with
 p(c|shorter context). A model is a table of character sequences up to ORDER + 1
@@ -16,8 +17,10 @@ shuffled join.
 
 Defined results: a null URL or one without `://` has empty host and path; an
 empty text after `://` scores 0; without URLs of both verdicts everything that
-no rule judges is allowed; repeated rows are judged each; an empty table gives
-an empty result; other columns are ignored.
+no rule judges is allowed; if the URLs kept out lack one verdict, those trained on
+serve for the threshold too; a score equal to the threshold is accepted; URLs are
+read whole; repeated rows are judged each; an empty table gives an empty result;
+other columns, of any name, are ignored.
 """
 
 from __future__ import annotations
@@ -38,7 +41,10 @@ HOT_LENGTH, SALTS = 3, 32
 ALPHABET = 256
 #: Log ratios are summed as integers of this many parts, so sums do not depend on their order.
 PARTS = 1 << 20
-BINS = 512
+#: Steps of the threshold between scores of -8 and 8.
+BINS = 8192
+#: One in so many of the rules' distinct URLs calibrates the threshold and does not train the models.
+HELD = 5
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
@@ -61,15 +67,17 @@ def fits(rule: str, host: Column, path: Column) -> Column:
 
 
 def ruled(pages: DataFrame, rules=RULES) -> DataFrame:
-    """Row id, page_id, host, path, the longest fitting rule, its verdict, and the text to model."""
+    """page_id, host, path, the longest fitting rule, its verdict, the text to model, and whether that calibrates."""
     url = F.coalesce(F.col("url").cast("string"), F.lit(""))
-    rows = rt.with_row_id(pages.select("page_id", after_scheme(url).alias("rest")))
-    rows = rows.select("__dl_uid", "page_id", "rest", host_of(F.col("rest")).alias("host"), path_of(F.col("rest")).alias("path"))
+    rows = pages.select("page_id", after_scheme(url).alias("rest"))
+    rows = rows.select("page_id", "rest", host_of(F.col("rest")).alias("host"), path_of(F.col("rest")).alias("path"))
     rule, verdict = F.lit(None).cast("string"), F.lit(None).cast("string")
     for said, text in sorted(rules, key=lambda x: len(x[1])):
         hit = fits(text, F.col("host"), F.col("path"))
         rule, verdict = F.when(hit, F.lit(text)).otherwise(rule), F.when(hit, F.lit(said)).otherwise(verdict)
-    return rows.select("__dl_uid", "page_id", "host", "path", rule.alias("rule"), verdict.alias("said"), F.concat(F.lit("\n"), "rest").alias("text"))
+    text = F.concat(F.lit("\n"), "rest")
+    held = F.pmod(F.xxhash64(text), F.lit(HELD)) == 0
+    return rows.select("page_id", "host", "path", rule.alias("rule"), verdict.alias("said"), text.alias("text"), held.alias("held"))
 
 
 def sequences(text: Column, order: int = ORDER) -> Column:
@@ -151,13 +159,19 @@ def scored(rows: DataFrame, known: DataFrame, order: int = ORDER) -> DataFrame:
 
 
 def threshold(rows: DataFrame) -> float:
-    """The score that best parts the rules' URLs: least sum of the two error rates, over BINS steps."""
+    """The score that best parts the rules' URLs that calibrate: least sum of the two error rates, over BINS steps."""
     step = F.floor(F.greatest(F.lit(-8.0), F.least(F.lit(8.0), F.col("score"))) * (BINS / 16)).cast("int")
-    table = rows.where("said is not null").groupBy(step.alias("bin"), (F.col("said") == "allow").alias("good")).count().collect()
-    good = {r["bin"]: r["count"] for r in table if r["good"]}
-    bad = {r["bin"]: r["count"] for r in table if not r["good"]}
-    if not good or not bad:
-        return float("-inf")
+    table = rows.where("said is not null").groupBy("held", step.alias("bin"), (F.col("said") == "allow").alias("good")).count().collect()
+    for kept_out in (True, False):
+        some = [r for r in table if r["held"] == kept_out]
+        good = {r["bin"]: r["count"] for r in some if r["good"]}
+        bad = {r["bin"]: r["count"] for r in some if not r["good"]}
+        if good and bad:
+            return _best_cut(good, bad)
+    return float("-inf")
+
+
+def _best_cut(good: dict[int, int], bad: dict[int, int]) -> float:
     n, m = sum(good.values()), sum(bad.values())
     lost, passed, best = 0, m, None
     for at in range(-BINS // 2, BINS // 2 + 2):
@@ -171,8 +185,10 @@ def threshold(rows: DataFrame) -> float:
 
 
 def judge(pages: DataFrame, rules=RULES) -> DataFrame:
-    """page_id, host, path, rule, verdict and score of each URL."""
+    """page_id, host, path, rule, verdict, score and `held` (whether it calibrates) of each URL."""
     rows = rt.materialise(ruled(pages, rules), "urls")
-    found = rt.materialise(scored(rows, model(rows)), "scores")
+    with rt.passing():
+        found = rt.materialise(scored(rows, model(rows.where(~F.col("held")))), "scores")
+    rt.discard(rows)
     verdict = F.coalesce("said", F.when(F.col("score") >= threshold(found), "allow").otherwise("block"))
-    return found.select("page_id", "host", "path", "rule", verdict.alias("verdict"), "score")
+    return found.select("page_id", "host", "path", "rule", verdict.alias("verdict"), "score", "held")

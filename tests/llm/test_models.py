@@ -88,6 +88,89 @@ def test_toxicity_on_table(spark, small):
     got = toxicity.score(spark.read.parquet(f"{small}/documents.parquet"), spark.read.parquet(f"{small}/labels.parquet"))
     both = got.join(spark.read.parquet(f"{small}/labels.parquet"), "doc_id").collect()
     assert sum(r.predicted for r in both if r.toxic == 0) == 0
+    assert sum(r.predicted for r in both if r.toxic == 1 and not r.held_out) > 0
+
+
+def test_risk_and_gradient_against_plain_versions():
+    rng = np.random.default_rng(12)
+    x, u = (np.c_[rng.integers(0, 2, (n, 5)), np.ones(n)].astype(float) for n in (20, 30))
+    w, prior = rng.normal(size=6), 0.2
+    loss = lambda g: 1 / (1 + np.exp(g))
+    positive = prior * np.mean([loss(r @ w) for r in x])
+    negative = np.mean([loss(-(r @ w)) for r in u]) - prior * np.mean([loss(-(r @ w)) for r in x])
+    got = toxicity.risk(w, x, u, prior)
+    assert abs(got[0] - positive) < 1e-12 and abs(got[1] - negative) < 1e-12
+    for k in range(6):
+        step = np.zeros(6)
+        step[k] = 1e-6
+        above, below = toxicity.risk(w + step, x, u, prior), toxicity.risk(w - step, x, u, prior)
+        assert abs((above[0] - below[0]) / 2e-6 - got[2][k]) < 1e-8 and abs((above[1] - below[1]) / 2e-6 - got[3][k]) < 1e-8
+
+
+def test_samples_are_bounded_by_rows(spark):
+    """One id, 20,000 times, alone or with texts of its own, gives no more rows than the bound."""
+    from pyspark.sql import functions as F
+
+    same = spark.range(20_000).select(F.lit(1).cast("long").alias("doc_id"), F.lit("the same text").alias("text"))
+    own = spark.range(20_000).select(F.lit(2).cast("long").alias("doc_id"), F.concat(F.lit("text "), "id").alias("text"))
+    single = spark.range(10, 2010).select("id", F.concat(F.lit("single "), "id").alias("text"))
+    got = [r.text for r in toxicity.some(same.union(own).union(single), 500).collect()]
+    assert len(got) == len(set(got)) == 500
+    assert len(toxicity.some(same, 500).collect()) == 1
+    docs = same.union(single).withColumn("lang", F.lit("en"))
+    model = language_id.learn(docs, 50)
+    assert model.languages == ["en"] and language_id.learn(docs.limit(0)) is None
+
+
+def test_results_do_not_depend_on_the_layout(spark, small):
+    docs = spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text")
+    docs = docs.union(docs.limit(60)).union(docs.where("doc_id % 3 = 0"))
+    for made in (lambda d: sharding.shard(d), lambda d: packing.pack(d, queries.ranks_path(), 4, 2048)):
+        results = [sorted(map(tuple, made(docs.repartition(n)).collect()), key=repr) for n in (1, 3, 7)]
+        assert results[0] == results[1] == results[2]
+
+
+def cut_edges(rows, shards):
+    """Pairs of equal texts on different shards, for labels of rows in order."""
+    by = {}
+    for (_, t), s in zip(rows, shards, strict=True):
+        by.setdefault(t, []).append(s)
+    return sum(len(x) * (len(x) - 1) // 2 - sum(x.count(s) * (x.count(s) - 1) // 2 for s in set(x)) for x in by.values())
+
+
+def plain_propagation(rows, shards, rounds=8):
+    """Label propagation in plain Python: one hub at a time moves to its commonest shard with room."""
+    quota = -(-len(rows) // shards)
+    label = [zlib.crc32(f"{i}".encode()) % shards for i in range(len(rows))]
+    loads, by = [label.count(s) for s in range(shards)], {}
+    for i, (_, t) in enumerate(rows):
+        by.setdefault(t, []).append(i)
+    for _ in range(rounds):
+        for members in by.values():
+            for s in sorted(range(shards), key=lambda s: -sum(label[i] == s for i in members)):
+                if loads[s] + sum(label[i] != s for i in members) <= quota * 1.25:
+                    for i in members:
+                        loads[label[i]] -= 1
+                        loads[s] += 1
+                        label[i] = s
+                    break
+    return label
+
+
+def test_sharding_cuts_no_more_than_a_plain_version(spark):
+    rng = np.random.default_rng(5)
+    rows = [(i, f"group {g}") for i, g in enumerate(rng.zipf(1.6, 900) % 200)]
+    got = {r.doc_id: r.shard for r in sharding.shard(spark.createDataFrame(rows, "doc_id long, text string"), 8).collect()}
+    start = [zlib.crc32(f"{i}".encode()) % 8 for i in range(len(rows))]
+    mine, plain = cut_edges(rows, [got[i] for i, _ in rows]), cut_edges(rows, plain_propagation(rows, 8))
+    assert mine <= plain < cut_edges(rows, start)
+
+
+def test_packing_counts_long_texts_exactly(spark):
+    rows = [(1, "a b " * 50_000), (2, "a b " * 50_000 + "c"), (3, "x"), (4, None)]
+    got = {r.doc_id: r for r in packing.pack(spark.createDataFrame(rows, "doc_id long, text string"), queries.ranks_path(), buckets=4).collect()}
+    assert got[1].n_tokens > 65_536 and all(r.padding == 0 for r in got.values())
+
 
 
 def padding(lengths, counts, cuts):
@@ -149,6 +232,10 @@ def test_sharding_when_all_are_linked(spark):
     got = sharding.shard(spark.createDataFrame(rows, "doc_id long, text string"), 16).collect()
     counts = np.bincount([r.shard for r in got], minlength=16)
     assert counts.max() - counts.min() <= 1 and len(got) == 250
+    shards = {}
+    for r in got:
+        shards.setdefault(r.doc_id // 10, set()).add(r.shard)
+    assert sum(len(s) == 1 for s in shards.values()) >= 30
 
 
 def brute_rule(url):

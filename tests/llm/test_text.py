@@ -95,7 +95,7 @@ def test_em_recovers_accuracies():
 def test_native_posterior_equals_model(spark, small):
     rows = quality.measured(spark.read.parquet(f"{small}/documents.parquet"), ["doc_id"])
     model = quality.learn(rows)
-    got = rows.select(quality.posterior(model).alias("p"), *[v.alias(f"v{i}") for i, v in enumerate(quality.votes())]).collect()
+    got = rows.select(quality.posterior(model, quality._of(rows)).alias("p"), *[v.alias(f"v{i}") for i, v in enumerate(quality.votes(quality._of(rows)))]).collect()
     want = model.posterior(np.array([r[1:] for r in got]))
     assert np.allclose([r.p for r in got], want)
 
