@@ -11,9 +11,10 @@ p(c|shorter context). A model is a table of character sequences up to ORDER + 1
 long; each row holds how much its longest context changes the log ratio against
 the next shorter one, and each known context how much a character never
 seen after it changes it, so the sum over a URL is the log ratio with the longest
-known context at every character. The table keeps all
-sequences, so it grows with the input; distinct texts look theirs up in a
-shuffled join.
+known context at every character. The table keeps all sequences, so it grows
+with the input. What a character adds depends only on its window, itself and the
+ORDER characters before: distinct windows look their sequences up in a shuffled
+join, then distinct texts look up their windows.
 
 Defined results: a null URL or one without `://` has empty host and path; an
 empty text after `://` scores 0; without URLs of both verdicts everything that
@@ -141,21 +142,35 @@ def salted(runs: DataFrame, table: DataFrame) -> DataFrame:
     return left.join(right, ["seq", "part"])
 
 
+def windows(text: Column, order: int = ORDER) -> Column:
+    """For each character of a text that is not empty, itself and the `order` characters before, as far as there are any."""
+    heads = F.transform(F.sequence(F.lit(1), F.least(F.lit(order), F.char_length(text))), lambda k: F.substring(text, F.lit(1), k))
+    return F.concat(heads, F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{order + 1}}}))"), F.lit(1)))
+
+
+def window_sums(found: DataFrame, table: DataFrame) -> DataFrame:
+    """`window` and the log ratio `sum` of its last character: of each sequence that ends with it, and of each that leads to it."""
+    text, size = F.col("window"), F.char_length("window")
+    ends = F.transform(F.sequence(F.lit(1), size), lambda k: F.struct(F.substring(text, size - k + 1, k).alias("seq"), F.lit(True).alias("ends")))
+    leads = F.transform(F.sequence(F.lit(0), size - 1), lambda k: F.struct(F.substring(text, size - k, k).alias("seq"), F.lit(False).alias("ends")))
+    runs = found.select(F.xxhash64("window").alias("uid"), "window", F.explode(F.concat(ends, leads)).alias("x")).select("uid", "window", "x.seq", "x.ends")
+    return salted(runs, table).groupBy("window").agg(F.sum(F.when(F.col("ends"), F.col("gain")).otherwise(F.col("back"))).alias("sum"))
+
+
 def scored(rows: DataFrame, known: DataFrame, order: int = ORDER) -> DataFrame:
     """The rows with `score`: the log ratio of accepted to rejected for each character."""
+    spark = rows.sparkSession
     table = rt.materialise(lookups(known), "lookups")
-    texts = rt.materialise(rt.with_row_id(rows.select("text").distinct(), "uid"), "texts")
-    text, size = F.col("text"), F.char_length("text")
-    # Every sequence ends with a character and is followed by one, but for those at the end of the text; the empty one is followed by each.
-    one, none = F.lit(1), F.lit(0)
-    found = F.transform(sequences(text, order), lambda s: F.struct(s.alias("seq"), one.alias("ends"), one.alias("leads")))
-    last = F.transform(F.sequence(one, F.least(F.lit(order + 1), size)), lambda k: F.struct(F.substring(text, size - k + 1, k).alias("seq"), none.alias("ends"), F.lit(-1).alias("leads")))
-    empty = F.array(F.struct(F.lit("").alias("seq"), none.alias("ends"), size.alias("leads")))
-    runs = texts.select("uid", F.explode(F.concat(found, last, empty)).alias("x")).groupBy("uid", "x.seq").agg(F.sum("x.ends").alias("ends"), F.sum("x.leads").alias("leads"))
-    sums = salted(runs, table).groupBy("uid").agg(F.sum(F.col("ends") * F.col("gain") + F.col("leads") * F.col("back")).alias("gain"))
-    sums = texts.join(sums, "uid", "left").select("text", "gain")
+    distinct = rows.select("text").distinct()
+    # An explicit number of tasks: a small table of texts still makes many windows.
+    distinct = distinct.repartition(rt.tasks_for(spark, rows.count(), rt.ROWS_PER_TASK // 16), "text")
+    texts = rt.materialise(rt.with_row_id(distinct, "uid"), "texts")
+    places = texts.select("uid", F.explode(windows(F.col("text"), order)).alias("window"))
+    sums = rt.materialise(window_sums(places.select("window").distinct(), table), "windows")
+    gains = places.join(sums, "window").groupBy("uid").agg(F.sum("sum").alias("gain"))
+    gains = texts.join(gains, "uid", "left").select("text", "gain")
     score = F.coalesce(F.col("gain"), F.lit(0)) / PARTS / F.char_length("text")
-    return rows.join(sums, "text").withColumn("score", score).drop("gain", "text")
+    return rows.join(gains, "text").withColumn("score", score).drop("gain", "text")
 
 
 def threshold(rows: DataFrame) -> float:
