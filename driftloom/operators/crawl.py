@@ -26,22 +26,26 @@ def regular_links(pages: DataFrame) -> DataFrame:
     return pages.select(F.col("url").alias("src"), F.posexplode(pages_only).alias("pos", "dst"))
 
 
-def crawl(seeds: DataFrame, edges: DataFrame, depth: int, most: int | None = None, allowed: DataFrame | None = None) -> DataFrame:
-    """`seed`, `url`, `level` reached from the rows (seed, scope) inside their scopes, level by level.
+def crawl(seeds: DataFrame, edges: DataFrame, depth: int | None = None, most: int | None = None, allowed: DataFrame | None = None) -> DataFrame:
+    """`seed`, `url`, `level` reached from the rows (seed, scope) inside their scopes, level by level, until nothing new is reached or `depth`.
 
     Each level joins the frontier with the edges and drops what was visited;
-    `most` bounds the pages of a seed, nearest level first.
+    levels are kept as they are and only added to. `most` bounds the pages of a
+    seed, nearest level first.
     """
     edges = settle(edges.select("src", "dst").distinct() if allowed is None else edges.select("src", "dst").distinct().join(allowed.select(F.col("url").alias("dst")), "dst", "left_semi"))
-    visited = settle(seeds.select("seed", "scope", F.col("seed").alias("url"), F.lit(0).alias("level")))
-    frontier = visited
-    for level in range(1, depth + 1):
+    frontier = visited = settle(seeds.select("seed", "scope", F.col("seed").alias("url"), F.lit(0).alias("level")).distinct())
+    level = 0
+    while depth is None or level < depth:
+        level += 1
         reached = frontier.join(edges, frontier.url == edges.src).select("seed", "scope", F.col("dst").alias("url"))
         fresh = reached.where(U.in_scope("url", F.col("seed"), F.col("scope"))).distinct().join(visited.select("seed", "url"), ["seed", "url"], "left_anti")
         frontier = settle(fresh.select("seed", "scope", "url", F.lit(level).alias("level")))
         if frontier.isEmpty():
             break
-        visited = settle(visited.unionByName(frontier))
+        visited = visited.unionByName(frontier)
+        if level % 16 == 0:
+            visited = settle(visited)
     out = visited.where("level > 0").select("seed", "url", "level")
     if most is None:
         return out

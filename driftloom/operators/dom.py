@@ -9,8 +9,11 @@ from __future__ import annotations
 import json
 import re
 from collections.abc import Iterator
+from dataclasses import dataclass, field
 from html.parser import HTMLParser
 
+from ..functions.javascript import tokens
+
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCKS = frozenset(
     "address article aside blockquote body dd details div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
@@ -304,6 +307,7 @@ def metadata_markdown(root: Node, title: str | None) -> str | None:
     return "\n\n".join(values) if words(" ".join(values)) >= 8 else None
 
 
+# Headings of a page's frame rather than of its text.
 _CHROME_HEADING = re.compile(r"(?:our api|hello world|support|sign in|search(?: developer site)?)\Z", re.IGNORECASE)
 OUTLINE_CHARS, OUTLINE_ANCHORS = 2_000_000, 500
 
@@ -324,16 +328,14 @@ def outline(root: Node, html: str, title: str | None, anchors: int) -> str | Non
 # Text serialised in scripts.
 
 _SCRIPT = re.compile(r"<script\b(?![^>]*\bsrc=)[^>]*>(.*?)</script>", re.IGNORECASE | re.DOTALL)
-_KEYED = re.compile(r'"(children|description|title)"\s*:\s*("(?:\\.|[^"\\])*")')
-_LITERAL = re.compile(r'"(?:\\.|[^"\\])*"')
-# Shapes of strings that are not prose.
+# Keys whose strings come first, in this order; commas from which a string is a list; shapes of strings that are not prose.
+TELLING_KEYS, LISTED = ("children", "description", "title"), 5
 NOT_PROSE = tuple(
     re.compile(p, f)
     for p, f in (
         (r"^(?:https?:|/|#|\$|[a-z]+-[a-z0-9-]+$)", re.IGNORECASE),
         (r"^[A-Z0-9_.$:-]+$", 0),
         (r"^[a-z0-9_-]{12,}$", re.IGNORECASE),
-        (r"(?:,[^,]*){5}", 0),
         (r"__", 0),
         (r"^(?:\d+\s*)+\d+px(?:\s+\d+)*$", re.IGNORECASE),
         (r"\.(?:css|js|mjs|woff2?|png|jpe?g|webp|svg)(?:\?|$)", re.IGNORECASE),
@@ -344,6 +346,7 @@ NOT_PROSE = tuple(
         (r"page (?:could |was )?not be found|return home|report an issue", re.IGNORECASE),
     )
 )
+# Fixed value: a utility class name; three of them make a string a list of classes.
 _UTILITY = re.compile(r"[a-z][a-z0-9:#[\]/.-]*-[a-z0-9:#[\]/.-]+\Z", re.IGNORECASE)
 
 
@@ -351,40 +354,50 @@ def is_prose(value: str) -> bool:
     text = squeeze(value)
     if not 3 <= len(text) <= 1200 or " " not in text or not re.search("[A-Za-z]{2}", text):
         return False
-    if any(p.search(text) for p in NOT_PROSE):
+    if text.count(",") >= LISTED or any(p.search(text) for p in NOT_PROSE):
         return False
     return sum(_UTILITY.match(token) is not None for token in text.split()) < 3
 
 
-def _string(literal: str) -> str:
+@dataclass
+class _Literals:
+    """Strings of scripts by worth: a list for each telling key, the last for all strings."""
+
+    ranked: list[list[str]] = field(default_factory=lambda: [[] for _ in (*TELLING_KEYS, "any")])
+
+    def read(self, js: str, depth: int = 0) -> None:
+        """Take in a script; strings that hold scripts themselves are read too, twice removed at most."""
+        found = tokens(js, frozenset({"string", "name", "mark"}))
+        for i, (kind, raw) in enumerate(found):
+            if kind != "string" or not (value := _unquoted(raw)):
+                continue
+            nested = depth < 2
+            key = _unquoted(found[i - 2][1]) if i >= 2 and found[i - 1][1] == ":" and found[i - 2][0] == "string" else None
+            if key in TELLING_KEYS:
+                self.ranked[TELLING_KEYS.index(key)].append(value)
+                if nested and "\\" in value:
+                    self.read(value, depth + 1)
+            if nested and len(value) > 500:
+                self.read(value, depth + 1)
+            else:
+                self.ranked[-1].append(value)
+
+
+def _unquoted(literal: str) -> str:
     try:
-        value = json.loads(literal)
+        return str(json.loads(literal)).strip()
     except ValueError:
         return ""
-    return value.strip() if isinstance(value, str) else ""
-
-
-def _strings(body: str, depth: int) -> Iterator[tuple[int, str]]:
-    """(weight, text) of a script's strings; strings in strings to a depth of two."""
-    keyed = [(name, _string(raw)) for name, raw in _KEYED.findall(body)]
-    for name in ("children", "description", "title"):
-        for value in (v for k, v in keyed if k == name and v):
-            yield 2, value
-            if depth < 2 and "\\" in value:
-                yield from _strings(value, depth + 1)
-    for value in filter(None, map(_string, _LITERAL.findall(body))):
-        if len(value) > 500 and depth < 2:
-            yield from _strings(value, depth + 1)
-        else:
-            yield 1, value
 
 
 def serialised_text(html: str, title: str | None) -> str | None:
     """Prose from inline scripts, strings under telling keys first; None below 40 words."""
-    found = [x for body in _SCRIPT.findall(html) if body.strip() for x in _strings(body.strip(), 0)]
-    ranked = [v for _, v in sorted(found, key=lambda x: -x[0])]
+    literals = _Literals()
+    for body in _SCRIPT.findall(html):
+        literals.read(body)
     known = squeeze(title) if title else ""
-    parts = [squeeze(v) for v in unique([v for v in ranked if squeeze(v) != known and is_prose(v)])][:160]
+    values = [v for group in literals.ranked for v in group if squeeze(v) != known and is_prose(v)]
+    parts = [squeeze(v) for v in unique(values)][:160]
     if words(" ".join(parts)) < 40:
         return None
     return "\n\n".join([f"# {title}"] * bool(title) + parts)

@@ -62,15 +62,16 @@ def body_class(content_type: Column, final_url: Column, body: Column) -> Column:
     return F.when(is_structured(content_type, final_url, body), "text").when(is_markdown(content_type, body), "markdown").otherwise("html")
 
 
-def is_heavy(ok: Column, content_type: Column, final_url: Column, body: Column) -> Column:
-    """Pages worth a worker of their own; Spark's tasks need no such hint, it is kept as a measure."""
-    return ok & body.rlike(rf"(?i)<html[{T.SPACE}>]") & ~content_type.rlike(MARKDOWN_TYPE) & ~U.path(final_url).rlike(STRUCTURED_FILE)
-
-
 def is_language_selector(final_url: Column, body: Column) -> Column:
     return final_url.rlike(SELECTOR_PATH) & body.rlike(SELECTOR_MARKS)
 
 
+def is_app_shell(body: Column, dom: Column) -> Column:
+    """Pages that only scripts fill: marks of frameworks, or scripts and styles with little text and few links."""
+    bare = (F.size(dom["scripts"]) > 0) & (dom["body_chars"] < 500) & (dom["n_anchors"] < 5)
+    return body.rlike(APP_MARKS) | F.coalesce(bare, F.lit(False))
+
+
 def is_challenge(markdown: Column, title: Column) -> Column:
     return F.coalesce(title, F.lit("")).rlike("(?i)client challenge") | markdown.rlike("(?i)required part of this site couldn.t load")
 
@@ -127,7 +128,8 @@ def page_features(fetched: DataFrame, body: str = "body", needed: Column | None
     rows = fetched.withColumn("__html", F.when(needed, F.col(body)) if needed is not None else F.col(body))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        # Few pages at a time, as each may be large.
+        for batch in (b.slice(i, 32) for b in batches for i in range(0, b.num_rows, 32)):
             at = batch.schema.get_field_index("__html")
             found = [_features(x) for x in batch.column(at).to_pylist()]
             yield pa.record_batch([*(batch.column(i) for i in range(batch.num_columns) if i != at), pa.array(found, _TYPES)], names=[*kept, "dom"])

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..functions import urls as U
 from ..functions.weburl import WebUrl, parse
+from .frontier import walk
 from .sitemap import in_path_scope
 
 INDEXES = 256
@@ -27,6 +28,7 @@ CORPUS_SHAPES = (
     r"(?i)\bllms-(?:full|ctx|ctx-full)\.txt\b",
 )
 HTML_HEADS = ("<!doctype html", "<html", "<head", "<body")
+# How lines of an index refer to pages, which lines list languages, and directories of little worth.
 _LINK = re.compile(r"\[([^\]]*)\]\(([^)\s]+)([^)]*)\)")
 _BARE = re.compile(r"https?://[^\s<>\"'`)]+")
 _ROOTED = re.compile(r"(?:^|\s)(/[a-z0-9][^\s<>\"'`)]+)", re.IGNORECASE)
@@ -95,31 +97,29 @@ def probes(seed: str) -> list[str]:
     return [place.origin + p for p in dict.fromkeys([*own, f"{stem}llms.txt", "/llms.txt"])]
 
 
+def read_index(url: str, fetch: Callable, ranked: bool) -> tuple[tuple[str, str, list[str]] | None, list[str]]:
+    """An index's asked and final address and links, or None; and the nested indexes among the links."""
+    state = fetch(url)
+    if not (state.ok and is_index_here(state.content_type, state.body)):
+        return None, []
+    links = [x for x in index_links(state.body, state.at, ranked) if parse(x).path != "/"]
+    home = parse(state.at).origin
+    return (url, state.at, links), [x for x in links if parse(x).origin == home and parse(x).path.endswith("/index.md")]
+
+
 def discover(seed: str, fetch: Callable, most: int | None) -> list[str]:
-    """URLs that a site's indexes name, breadth first over nested indexes; at most `most` if given."""
-    queue = probes(seed)
-    roots, seen, found = set(queue), set(), {}
-    full = lambda: most is not None and len(found) >= most
-    while queue and len(seen) < INDEXES and not full():
-        url = queue.pop(0)
-        if url in seen:
-            continue
-        seen.add(url)
-        state = fetch(url)
-        if not state.ok or not is_index_here(state.content_type, state.body):
-            continue
-        if url in roots:
-            found.setdefault(state.at)
-        home = parse(state.at)
-        for link in index_links(state.body, state.at, most is not None):
-            place = parse(link)
-            if place.path == "/":
-                continue
-            if place.origin == home.origin and place.path.endswith("/index.md") and link not in seen and not full():
-                queue.append(link)
-            found.setdefault(link)
-            if full():
-                break
+    """URLs that a site's indexes name, nearest indexes first; at most `most` if given."""
+    roots, asked = probes(seed), [0]
+
+    def read(url: str):
+        asked[0] += 1
+        return read_index(url, fetch, most is not None) if asked[0] <= INDEXES else (None, [])
+
+    found: dict[str, None] = {}
+    for url, final, links in walk(roots, read):
+        found.update(dict.fromkeys([final, *links] if url in roots else links))
+        if most is not None and len(found) >= most:
+            return list(found)[:most]
     return list(found)
 
 

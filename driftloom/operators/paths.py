@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions import urls as U
 from .extract import resolve_bare
+from .scratch import written
 
 #: Fixed value: endings that a page's path loses.
 PATH_FILES = r"(?i)\.(?:html?|mdx?|ya?ml|json|txt)$"
@@ -49,15 +49,28 @@ def common_prefix(records: DataFrame) -> DataFrame:
     return ends.select(F.when(F.col("n") < 2, 0).otherwise(F.coalesce(shared_length(F.col("low"), F.col("high")), F.lit(0))).alias("cut"))
 
 
+#: Digits of the URL's hash that equal paths get; where these are equal too, all digits.
+TAIL, WHOLE = 8, 64
+
+
 def assign_paths(records: DataFrame, most: int | None = None) -> DataFrame:
-    """The records with `output_path`; equal paths all get a part of their URL's hash."""
+    """The records with `output_path`; equal paths all get a part of their URL's hash.
+
+    Two pages of one URL that still clash share a path; different URLs never do.
+    """
     chosen = output_candidates(records, most).select("ord", "url", output_segments(F.col("final_url")).alias("segments"))
     rest = F.slice(F.col("segments"), F.col("cut") + 1, F.size("segments"))
     base = F.when(F.size(rest) == 0, "index").otherwise(F.array_join(rest, "/"))
-    based = chosen.crossJoin(F.broadcast(common_prefix(chosen))).select("ord", "url", base.alias("base"))
+    based = chosen.crossJoin(F.broadcast(common_prefix(chosen))).select("ord", F.sha2(F.col("url").cast("binary"), 256).alias("hash"), base.alias("base"))
     twice = based.groupBy("base").count().where("count > 1").select("base", F.lit(True).alias("twice"))
-    tail = F.when(F.col("twice"), F.concat(F.lit("-"), F.substring(F.sha2(F.col("url").cast("binary"), 256), 1, 8))).otherwise("")
-    paths = based.join(twice, "base", "left").select("ord", F.concat("base", tail, F.lit(".md")).alias("output_path"))
+    named = based.join(twice, "base", "left")
+    tail = F.substring("hash", 1, TAIL)
+    # Tails that two URLs of one path share are lengthened; among few pages of a path there are none.
+    again = named.where("twice").groupBy("base", tail.alias("tail")).agg(F.min("hash").alias("low"), F.max("hash").alias("high"))
+    again = again.where("low <> high").select("base", "tail", F.lit(True).alias("again"))
+    named = named.withColumn("tail", tail).join(again, ["base", "tail"], "left")
+    ending = F.when(F.col("again"), F.concat(F.lit("-"), F.substring("hash", 1, WHOLE))).when(F.col("twice"), F.concat(F.lit("-"), "tail")).otherwise("")
+    paths = named.select("ord", F.concat("base", ending, F.lit(".md")).alias("output_path"))
     return records.drop("output_path").join(paths, "ord", "left").select(*records.columns)
 
 
@@ -82,7 +95,8 @@ def rewrite_links(records: DataFrame) -> DataFrame:
     """Links to captured pages become relative paths; the body is trimmed and hashed anew."""
     links = records.where(T.has_output()).select("ord", "final_url", F.col("output_path").alias("source"), F.posexplode(T.link_hrefs("markdown")).alias("pos", "href"))
     resolved = links.withColumn("target", resolve_bare("href", "final_url")).where("target is not null")
-    hits = resolved.join(path_map(records), "target").select("ord", F.struct("pos", relative_path(F.col("source"), F.col("output_path")).alias("way")).alias("hit"))
+    # Written first, so that the join can split a target that every page links to.
+    hits = resolved.join(written(path_map(records)), "target").select("ord", F.struct("pos", relative_path(F.col("source"), F.col("output_path")).alias("way")).alias("hit"))
     ways = hits.groupBy("ord").agg(F.map_from_entries(F.collect_list("hit")).alias("ways"))
 
     def local(link: Column, index: Column) -> Column:
@@ -95,5 +109,5 @@ def rewrite_links(records: DataFrame) -> DataFrame:
 
 
 def first_of_url(discovered: DataFrame) -> DataFrame:
-    """The first row of each URL."""
-    return discovered.withColumn("__n", F.row_number().over(W.partitionBy("url").orderBy("ord"))).where("__n = 1").drop("__n")
+    """The first row, by `ord`, of each URL."""
+    return discovered.groupBy("url").agg(F.min_by(F.struct(*discovered.columns), "ord").alias("row")).select("row.*")

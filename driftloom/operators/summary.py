@@ -50,12 +50,18 @@ def rounded(value: float, digits: int) -> float:
     return float(Decimal(value).quantize(Decimal(1).scaleb(-digits), ROUND_HALF_UP))
 
 
-def run_summary(records: DataFrame, config, discovered: int, deduped: int, snapshot: tuple[str, int, int], elapsed_ms: float) -> dict:
-    """The run's summary. Errors are listed as the reader of a run needs them, so they are gathered here."""
+def errors(records: DataFrame) -> DataFrame:
+    """`ord`, `url`, `error`, `kind` of each failure."""
+    return records.where("not ok").select("ord", "url", "error", F.col("failure_kind").alias("kind"))
+
+
+def run_summary(records: DataFrame, config, discovered: int, deduped: int, snapshot: tuple[str, int, int], elapsed_ms: float, listed: int | None = None) -> dict:
+    """The run's summary, with the first `listed` errors (all if None: only for runs of one site)."""
     reached = max_reached(F.lit(discovered), F.lit(config.max), F.lit(config.max_explicit))
     counts = run_counts(records).withColumn("reached", reached).withColumn("status", run_status(F.col("written"), F.col("failed"), F.col("low_quality"), F.col("reached"))).first()
     kinds = {r.failure_kind: r.n for r in counts_by_failure(records).orderBy("first").collect()}
-    errors = records.where("not ok").orderBy("ord").select("url", "error", F.col("failure_kind").alias("kind")).collect()
+    failed = errors(records).orderBy("ord")
+    failed = (failed if listed is None else failed.limit(listed)).drop("ord").collect()
     return {
         "status": counts.status,
         "seedUrl": config.seed_url,
@@ -78,5 +84,5 @@ def run_summary(records: DataFrame, config, discovered: int, deduped: int, snaps
         "pagesPerSecond": rounded(counts.written / max(elapsed_ms / 1000, 0.001), 2),
         "bySource": {r.source: r.n for r in counts_by_source(records).orderBy("place").collect()},
         "byFailureKind": kinds,
-        "errors": [e.asDict() for e in errors],
+        "errors": [e.asDict() for e in failed],
     }

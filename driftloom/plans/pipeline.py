@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import functools
 import time
 from collections.abc import Callable
-from dataclasses import dataclass, replace
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 from ..config import Config
 from ..functions import urls as U
 from ..operators import dedup, extract, paths, render, snapshot, summary
-from ..operators.scratch import settle
+from ..operators.scratch import settle, written
 from ..sources import archive as A
 from ..sources import fetching as R
 from ..sources import sinks
@@ -23,10 +24,24 @@ BACKFILL = 8
 _FETCHED = "ord long, url string, final_url string, status int, content_type string, body string, fetch_ms double, ok boolean, error string, failure_kind string, source string"
 
 
-@dataclass
+#: Errors that the summary of a run over a corpus lists; `RunResult.errors` has all.
+LISTED = 10
+
+
 class RunResult:
-    records: DataFrame
-    summary: dict
+    """The records of a run, and its summary, made when it is asked for."""
+
+    def __init__(self, records: DataFrame, summarise: Callable[[], dict]):
+        self.records = records
+        self._summarise = summarise
+
+    @functools.cached_property
+    def summary(self) -> dict:
+        return self._summarise()
+
+    @property
+    def errors(self) -> DataFrame:
+        return summary.errors(self.records)
 
 
 def pages_to_fetched(pages: DataFrame, source: str = "crawl") -> DataFrame:
@@ -37,23 +52,31 @@ def pages_to_fetched(pages: DataFrame, source: str = "crawl") -> DataFrame:
     )
 
 
-def finish(records: DataFrame, most: int | None = None) -> tuple[DataFrame, tuple[str, int, int]]:
-    """Paths, rewritten links and the snapshot of deduplicated records."""
-    placed = settle(paths.assign_paths(records, most))
-    done = settle(paths.rewrite_links(placed))
-    files = done.where("ok and coalesce(output_path, '') <> ''").select(F.col("output_path").alias("path"), render.rendered().alias("body"))
-    return done, snapshot.root(files)
+def finish(records: DataFrame, most: int | None = None) -> DataFrame:
+    """Paths and rewritten links of deduplicated records; only keys and paths are kept on the way."""
+    named = records.select(*[c for c in records.columns if c != "markdown"])
+    places = written(paths.assign_paths(named, most).select("ord", "output_path"))
+    return written(paths.rewrite_links(records.drop("output_path").join(places, "ord").select(*records.columns)))
+
+
+def snapshot_of(records: DataFrame) -> tuple[str, int, int]:
+    files = records.where("ok and coalesce(output_path, '') <> ''").select(F.col("output_path").alias("path"), render.rendered().alias("body"))
+    return snapshot.root(files)
 
 
 def run_corpus(fetched: DataFrame, config: Config = Config(), mode: str = "routes") -> RunResult:
     """Everything after fetching, for any number of pages."""
     began = time.perf_counter()
-    records = settle(extract.extract(A.reject_non_pages(fetched)))
-    kept = settle(dedup.dedupe(records, mode))
-    attempted = records.count()
-    done, snap = finish(kept, config.max if config.max_explicit else None)
-    facts = summary.run_summary(done, config, attempted, attempted - kept.count(), snap, (time.perf_counter() - began) * 1000)
-    return RunResult(done, facts)
+    records = written(extract.extract(A.reject_non_pages(fetched)))
+    kept = written(dedup.dedupe(records, mode))
+    done = finish(kept, config.max if config.max_explicit else None)
+    elapsed = (time.perf_counter() - began) * 1000
+
+    def summarise() -> dict:
+        attempted = records.count()
+        return summary.run_summary(done, config, attempted, attempted - done.count(), snapshot_of(done), elapsed, LISTED)
+
+    return RunResult(done, summarise)
 
 
 def fetched_rows(spark: SparkSession, found: list[Found], first: int, fetch: Callable[[str], R.State], config: Config) -> DataFrame:
@@ -111,7 +134,8 @@ def run_site(spark: SparkSession, config: Config, fetch: Callable[[str], R.State
             both = settle(kept.unionByName(extra))
             kept = settle(dedup.dedupe(both, "sequential"))
             attempted, deduped = attempted + len(fresh), deduped + both.count() - kept.count()
-    done, snap = finish(kept, config.max if config.max_explicit else None)
+    done = finish(kept, config.max if config.max_explicit else None)
+    snap = snapshot_of(done)
     if not config.dry_run:
         note("writing output")
         sinks.write_pages(done, config.out_dir).count()
@@ -120,4 +144,4 @@ def run_site(spark: SparkSession, config: Config, fetch: Callable[[str], R.State
         sinks.write_run_files(done, facts, config.out_dir)
         if config.agent_files:
             sinks.install_agent_files(facts)
-    return RunResult(done, facts)
+    return RunResult(done, lambda: facts)

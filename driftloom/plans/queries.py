@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 from ..functions import address, classify, quality
 from ..functions import text as T
 from ..functions import urls as U
-from ..operators import crawl, dedup, extract, paths, render, robots, scope, snapshot, summary
+from ..operators import assets, crawl, dedup, extract, llms_index, paths, render, robots, scope, sitemap, snapshot, summary
+from ..sources import archive as A
 from ..workers import prepare, spread
 from . import pipeline as P
 
@@ -343,12 +344,15 @@ def dedup_counts(spark, sf_dir):
     return dedup.dedupe(records).where("ok").agg(F.count(F.lit(1)).alias("pages")).crossJoin(records.where("ok").agg(F.count(F.lit(1)).alias("n"))).select((F.col("n") - F.col("pages")).alias("deduped"), "pages")
 
 
-@query()
+_KEPT = f"WITH {_DEDUP} SELECT ord, url, true AS ok, source FROM kept UNION ALL SELECT ord, url, ok, source FROM records WHERE NOT ok"
+
+
+@query(_KEPT)
 def dedup_components(spark, sf_dir):
     return dedup.dedupe(_records(spark, sf_dir), "components").select("ord", "url", "ok", "source")
 
 
-@query()
+@query(_KEPT)
 def dedup_sequential(spark, sf_dir):
     return dedup.dedupe(_records(spark, sf_dir), "sequential").select("ord", "url", "ok", "source")
 
@@ -388,7 +392,15 @@ def relative_links(spark, sf_dir):
     return placed.join(other, "ord").select("ord", paths.relative_path(F.col("output_path"), F.col("target")).alias("way"))
 
 
-@query()
+@query(f"""
+WITH {_PATHS},
+map_ AS (SELECT r.origin || r.path AS target, arg_max(o.output_path, o.ord) AS output_path FROM out_ o JOIN records r USING (ord) GROUP BY 1),
+pairs AS (SELECT o.ord, string_split(o.output_path, '/')[:-2] AS f, n.url AS next, string_split(m.output_path, '/') AS t
+  FROM out_ o LEFT JOIN records n ON n.ord = o.ord + 1 LEFT JOIN map_ m ON m.target = n.origin || n.path),
+c AS (SELECT *, len([k for k in range(1, least(len(f), len(t) - 1) + 1) if f[1:k] = t[1:k]]) AS k FROM pairs),
+w AS (SELECT ord, next, t, repeat('../', len(f) - k) || array_to_string(t[k + 1:], '/') AS way FROM c),
+b AS (SELECT ord, '[next](' || CASE WHEN t IS NULL THEN coalesce(next, 'x') || '#part' WHEN starts_with(way, '.') THEN way ELSE './' || way END || ' "t") and [other](https://elsewhere.example/a)' AS markdown FROM w)
+SELECT ord, markdown, sha256(markdown) AS content_hash FROM b""")
 def rewritten_links(spark, sf_dir):
     """Pages that link the next page and an unknown one."""
     records = paths.assign_paths(_records(spark, sf_dir, False))
@@ -528,17 +540,17 @@ _STEP = f"""{_SITE.format('e.dst')} = {_SITE.format('seed')} AND NOT regexp_matc
 
 
 @query(f"""
-WITH {LINKS}, e AS (SELECT DISTINCT p.origin || p.path AS src, l.dst FROM links l JOIN parts p ON p.url = l.src),
+WITH RECURSIVE {LINKS}, e AS (SELECT DISTINCT p.origin || p.path AS src, l.dst FROM links l JOIN parts p ON p.url = l.src),
 seeds AS (SELECT arg_min(origin || path, page_id) AS seed FROM parts GROUP BY origin),
-one AS (SELECT DISTINCT seed, e.dst AS url FROM seeds JOIN e ON e.src = seed WHERE {_STEP}),
-two AS (SELECT DISTINCT seed, e.dst AS url FROM one JOIN e ON e.src = one.url WHERE {_STEP})
-SELECT seed, url, 1 AS level FROM one UNION ALL SELECT seed, url, 2 FROM (SELECT seed, url FROM two EXCEPT SELECT seed, url FROM one)""")
+reach AS (SELECT seed, seed AS url, 0 AS level FROM seeds UNION
+  SELECT seed, e.dst, level + 1 FROM reach JOIN e ON e.src = reach.url WHERE {_STEP} AND level < (SELECT count(*) FROM parts))
+SELECT seed, url, min(level) AS level FROM reach WHERE level > 0 GROUP BY seed, url""")
 def crawl_levels(spark, sf_dir):
-    """Two levels from the first page of each site."""
+    """All levels from the first page of each site; a level beyond the number of pages cannot be."""
     pages = table(spark, sf_dir, "pages")
     seeds = pages.groupBy(U.origin("url").alias("o")).agg(F.min_by(U.without_query("url"), "page_id").alias("seed")).select("seed", F.lit("/").alias("scope"))
     edges = crawl.regular_links(pages).select(U.without_query("src").alias("src"), "dst")
-    return crawl.crawl(seeds, edges, 2)
+    return crawl.crawl(seeds, edges)
 
 
 _DOMAIN = "scheme || '://' || regexp_extract(place, '[^.]+\\.[^.]+$') || '/'"
@@ -564,3 +576,133 @@ def corpus_targets(spark, sf_dir):
 def page_corpus(spark, sf_dir):
     """A whole run over all pages: extraction, deduplication, paths, links and the manifest."""
     return render.manifest(P.run_corpus(P.pages_to_fetched(table(spark, sf_dir, "pages"))).records)
+
+
+# Discovery over tables of sites.
+
+
+@query(f"WITH {PARTS} SELECT min(page_id) AS ord, origin || path AS url FROM parts GROUP BY 2")
+def discovered_urls(spark, sf_dir):
+    return paths.first_of_url(table(spark, sf_dir, "pages").select(F.col("page_id").alias("ord"), U.without_query("url").alias("url")))
+
+
+@query(f"""
+WITH {PARTS}, n AS ({SQL['normalize_urls'].replace('WITH ' + PARTS + ', clean', 'WITH clean')}),
+listed AS (SELECT p.origin, p.page_id, n.page_url FROM parts p JOIN n USING (page_id)),
+maps AS (SELECT origin, page_id, origin || '/sitemap-' || CASE WHEN page_id % 2 = 0 THEN 'guides' ELSE 'news' END || '-' || page_id || '.xml' AS loc FROM parts)
+SELECT origin || '/pages.xml' AS url, page_url AS loc, 'page' AS kind, NULL::DOUBLE AS rank FROM listed WHERE page_url IS NOT NULL
+UNION ALL SELECT origin || '/sitemap.xml', loc, 'sitemap', row_number() OVER (PARTITION BY origin ORDER BY CASE WHEN page_id % 2 = 0 THEN 10000 ELSE 0 END + page_id DESC, page_id) - 1.0 FROM maps""")
+def sitemap_entries(spark, sf_dir):
+    """Each host has a sitemap of its pages and an index of one sitemap a page, read for the scope /guides/."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", U.origin("url").alias("origin"))
+    name = F.when(F.col("page_id") % 2 == 0, "guides").otherwise("news")
+    part = F.concat(F.col("origin"), F.lit("/sitemap-"), name, F.lit("-"), F.col("page_id"), F.lit(".xml"))
+    escaped = F.replace(F.replace("url", F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
+    entry = lambda loc: F.struct("page_id", F.concat(F.lit("<loc>"), loc, F.lit("</loc>")).alias("x"))
+    text = lambda loc: F.array_join(F.transform(F.array_sort(F.collect_list(entry(loc))), lambda e: e["x"]), "\n")
+    files = pages.groupBy("origin").agg(text(escaped).alias("pages"), text(part).alias("maps"))
+    one = files.select(F.concat("origin", F.lit("/pages.xml")).alias("url"), F.concat(F.lit("<?xml version='1.0'?><urlset>"), "pages", F.lit("</urlset>")).alias("body"))
+    two = files.select(F.concat("origin", F.lit("/sitemap.xml")).alias("url"), F.concat(F.lit("<sitemapindex>"), "maps", F.lit("</sitemapindex>")).alias("body"))
+    return sitemap.entries_table(one.unionByName(two).withColumn("scope", F.lit("/guides/"))).select("url", "loc", "kind", "rank")
+
+
+@query(f"""
+WITH {PARTS}, n AS ({SQL['normalize_urls'].replace('WITH ' + PARTS + ', clean', 'WITH clean')}),
+good AS (SELECT origin FROM parts GROUP BY origin HAVING min(page_id) % 3 <> 0)
+SELECT DISTINCT origin || '/llms.txt' AS url, page_url AS link FROM parts JOIN n USING (page_id) JOIN good USING (origin) WHERE page_url IS NOT NULL""")
+def index_links(spark, sf_dir):
+    """Each host has an index of its pages, a third of them under a type that no index has; links that the next text repeats do not count."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", U.origin("url").alias("origin"))
+    line = F.concat(F.lit("- [Page "), F.col("page_id"), F.lit("]("), F.col("url"), F.lit("): more at https://elsewhere.example/b"))
+    files = pages.groupBy("origin").agg(F.array_join(F.collect_list(line), "\n").alias("lines"), F.min("page_id").alias("first"))
+    kind = F.when(F.col("first") % 3 == 0, "text/html").when(F.col("first") % 3 == 1, "text/plain; charset=utf-8").otherwise("")
+    rows = files.select(F.concat("origin", F.lit("/llms.txt")).alias("url"), kind.alias("content_type"), F.concat(F.lit("# Docs\n"), "lines").alias("body"))
+    return llms_index.links_table(rows).select("url", "link")
+
+
+_SHELLS = ("", '<html><head><link href="/a.css"></head><body><div id="root"></div><script src="/a.js"></script></body></html>', '<html><body><div class="App-Root">x</div></body></html>', "<html><body><p>short, no scripts</p></body></html>")
+
+
+@query(f"""
+WITH b AS (SELECT page_id, CASE page_id % 4 {' '.join(f"WHEN {i} THEN '{s}'" for i, s in enumerate(_SHELLS) if s)} ELSE html END AS html FROM pages)
+SELECT page_id, regexp_matches(html, '(?i)zdWebClientConfig|catalog-app|react-target|app-root|ohcglobal|__meteor_runtime_config__')
+  OR (regexp_matches(html, '<(?:script src|link href)=') AND length({_TEXT}) < 500 AND len(regexp_extract_all({_PLAIN}, '<a href="')) < 5) AS shell FROM b""")
+def app_shells(spark, sf_dir):
+    """Pages, three of four replaced by small ones: scripts without text, a framework's mark, neither."""
+    own = F.get(F.array(*[F.lit(s) for s in _SHELLS]), F.pmod("page_id", F.lit(4)).cast("int"))
+    pages = table(spark, sf_dir, "pages").select("page_id", F.when(own == "", F.col("html")).otherwise(own).alias("html"))
+    return extract.page_features(pages, "html").select("page_id", extract.is_app_shell(F.col("html"), F.col("dom")).alias("shell"))
+
+
+@query(f"""
+WITH {PARTS} SELECT page_id, page_id % 3 <> 2 AND page_id % 2 = 0 AS selector FROM parts""")
+def language_selectors(spark, sf_dir):
+    """Pages at a place where languages are chosen (two of three) and with the marks of such a page (every other)."""
+    pages = table(spark, sf_dir, "pages")
+    ending = F.get(F.array(*[F.lit(x) for x in ("/Select-Language?to=x", "/a/select-language", "/select-languages")]), F.pmod("page_id", F.lit(3)).cast("int"))
+    body = F.when(F.col("page_id") % 2 == 0, F.concat("html", F.lit('<a class="ecl-splash-page__language">'))).otherwise(F.col("html"))
+    return pages.select("page_id", extract.is_language_selector(F.concat(U.origin("url"), ending), body).alias("selector"))
+
+
+_UNSAFE = {
+    "https://a.example/x": None, "http://[2606:4700::1111]/": None, "http://8.8.8.8/": None, "ftp://a.example/": "URL must use http or https", "no url": "invalid URL", "http://": "invalid URL",
+    "http://u:p@a.example/": "URL credentials are not allowed", "http://localhost:80/": "localhost URLs are not allowed", "https://x.localhost/": "localhost URLs are not allowed",
+    "http://intranet/": "single-label hostnames are not allowed", "http://10.1.2.3/": "private or internal IP addresses are not allowed", "http://[::1]/": "private or internal IP addresses are not allowed",
+    "http://[fe80::1]/": "private or internal IP addresses are not allowed", "http://[fd00::1]/": "private or internal IP addresses are not allowed", "http://0x7f.1/": "private or internal IP addresses are not allowed",
+}
+
+
+@query("SELECT * FROM (VALUES " + ", ".join(f"('{u}', {'NULL' if e is None else repr(e)})" for u, e in _UNSAFE.items()) + ") AS t(url, error)")
+def public_url_errors(spark, sf_dir):
+    rows = spark.createDataFrame([(u,) for u in _UNSAFE], "url string")
+    return rows.select("url", address.public_url_error("url").alias("error"))
+
+
+@query("""
+WITH p AS (SELECT page_id, 'https://r' || page_id % 9 || '.example.org/' AS home FROM pages)
+SELECT page_id AS ord, CASE WHEN page_id % 7 = 0 THEN home || 'from/' || page_id ELSE home || 'to/' || page_id END AS final_url,
+  CASE WHEN page_id % 7 = 0 THEN 0 WHEN page_id % 5 = 0 THEN 404 WHEN page_id % 5 = 1 THEN 503 ELSE 200 END AS status,
+  page_id % 7 <> 0 AND page_id % 5 > 1 AS ok,
+  CASE WHEN page_id % 7 = 0 THEN 'fetch' WHEN page_id % 5 = 0 THEN 'not_found' WHEN page_id % 5 = 1 THEN 'http' END AS failure_kind,
+  CASE WHEN page_id % 7 <> 0 THEN 'seed' || page_id END AS marked FROM p""")
+def fetched_pages(spark, sf_dir):
+    """One address a page: a seventh lack an answer; others are sent on by a header, a meta refresh or a script, then
+    found, gone or failing; two answers are held of each, the later counts."""
+    pages = table(spark, sf_dir, "pages").select("page_id")
+    home = F.concat(F.lit("https://r"), F.col("page_id") % 9, F.lit(".example.org/"))
+    first, last = F.concat(home, F.lit("from/"), F.col("page_id")), F.concat(home, F.lit("to/"), F.col("page_id"))
+    row = lambda url, status, location, body, at: F.struct(url.alias("url"), status.cast("int").alias("status"), location.alias("location"), F.encode(body, "UTF-8").alias("body"), F.lit(at).alias("at"))
+    way, none = F.col("page_id") % 3, F.lit(None).cast("string")
+    sends = F.when(way == 1, F.concat(F.lit("<meta content='0; url="), last, F.lit("' http-equiv=refresh>"))).when(way == 2, F.concat(F.lit("Redirecting <script>var t = 'to/';\nlocation.replace('/' + t + \""), F.col("page_id"), F.lit('" + location.hash)</script>'))).otherwise(F.lit(""))
+    status = F.when(F.col("page_id") % 5 == 0, 404).when(F.col("page_id") % 5 == 1, 503).otherwise(200)
+    answers = F.array(
+        row(first, F.when(way == 0, 302).otherwise(200), F.when(way == 0, last), sends, 2),
+        row(first, F.lit(500), none, F.lit("a former answer"), 1),
+        row(last, status, none, F.concat(F.lit("seed"), F.col("page_id")), 2),
+        row(last, F.lit(200), none, F.lit("a former answer, which was longer"), 1),
+    )
+    held = pages.where("page_id % 7 <> 0").select(F.explode(answers).alias("x")).select("x.*")
+    headers = F.create_map(F.lit("content-type"), F.lit("text/html"), F.lit("location"), F.coalesce("location", F.lit("")))
+    archive = held.select("url", "status", headers.alias("headers"), F.array().cast("array<string>").alias("set_cookies"), "body", F.timestamp_seconds("at").alias("fetched_at"))
+    wanted = pages.select(F.col("page_id").alias("ord"), first.alias("url"), F.lit("crawl").alias("source"))
+    got = A.fetch(wanted, archive)
+    return got.select("ord", "final_url", "status", "ok", "failure_kind", F.when(F.col("failure_kind") != "fetch", F.col("body")).when(F.col("ok"), F.col("body")).alias("marked"))
+
+
+@query(f"""
+WITH {PARTS}
+SELECT origin || '/app/' || page_id || '/' AS seed, origin || '/app/' || page_id || mount || '/part/' || page_id AS url,
+  '# Part ' || page_id || chr(10) || chr(10) || 'Text of the part with the number ' || page_id || ', which stays' || chr(10) || chr(10) || '```' || chr(10) || 'one' || chr(10) || 'two' || chr(10) || '```' AS markdown
+FROM parts, (VALUES (''), ('/docs')) AS m(mount) WHERE page_id % 4 <> 0""")
+def asset_pages(spark, sf_dir):
+    """One application a page: its script loads a second one, at its own place and mounted, which holds a page's text; a fourth hold too little."""
+    home = F.concat(U.origin("url"), F.lit("/app/"), F.col("page_id"), F.lit("/"))
+    pages = table(spark, sf_dir, "pages").select("page_id", home.alias("home"))
+    number = F.col("page_id").cast("string")
+    main = F.concat(F.lit('const r=[{path:"docs",loadChildren:()=>import("./part-'), number, F.lit('.js")}];'))
+    text = F.when(F.col("page_id") % 4 == 0, F.lit("few")).otherwise(F.concat(F.lit("Text of the part with the number "), number, F.lit(", which stays")))
+    code = F.when(F.col("page_id") % 4 == 0, F.lit('"p"')).otherwise(F.lit("`one\\ntwo ${x}`"))
+    part = F.concat(F.lit("var P=(()=>{t(0,\""), text, F.lit('");t(1,"div");t(2,'), code, F.lit(')})();var q=1;r=[{path:"part/'), number, F.lit('",component:P,data:{title:"Part '), number, F.lit('"}}]'))
+    scripts = pages.select(F.concat("home", F.lit("main.js")).alias("url"), main.alias("body")).unionByName(pages.select(F.concat("home", F.lit("part-"), number, F.lit(".js")).alias("url"), part.alias("body")))
+    apps = pages.select(F.col("home").alias("seed"), F.col("home").alias("base"), F.concat("home", F.lit("main.js")).alias("script"))
+    return assets.asset_pages(apps, scripts)

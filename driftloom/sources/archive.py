@@ -1,8 +1,10 @@
 """Fetching from an archive table (url, status, headers, set_cookies, body) by joins.
 
-All URLs go forward together: each hop joins their present addresses with the
-archive and applies the fetching rules; URLs that are through leave. Hops are
-bounded by the limits on redirects and refreshes.
+The archive is dealt by URL once (`dealt`), one answer each. All wanted URLs go
+forward together: each hop joins their present addresses with the dealt archive
+and applies the fetching rules; URLs that are through leave. A hop moves only
+the addresses that are still on their way, never the archive. Hops are bounded
+by the limits on redirects and refreshes.
 """
 
 from __future__ import annotations
@@ -11,7 +13,7 @@ from collections.abc import Iterator
 from dataclasses import asdict, replace
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
@@ -40,10 +42,23 @@ def archive_of_pages(pages: DataFrame) -> DataFrame:
     )
 
 
+def dealt(archive: DataFrame) -> DataFrame:
+    """`at`, `answer` for each URL of an archive, dealt by `at`.
+
+    Of several answers the latest by the column `fetched_at` is taken, where the
+    archive has one; then a success, the longer body, and the body itself decide.
+    """
+    parts = int(archive.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    moment = F.col("fetched_at") if "fetched_at" in archive.columns else F.lit(None).cast("timestamp")
+    order = F.struct(moment, F.col("status").between(200, 299), F.octet_length("body"), F.sha2("body", 256))
+    rows = archive.withColumn("order", order).repartition(parts, "url")
+    return settle(rows.groupBy(F.col("url").alias("at")).agg(F.max_by(F.struct("status", "headers", "body"), "order").alias("answer")))
+
+
 def fetch(wanted: DataFrame, archive: DataFrame, max_bytes: int = 12 << 20, public_only: bool = True) -> DataFrame:
     """Rows FETCHED for the rows (ord, url, source) of `wanted`."""
     limits = R.Limits(max_bytes, public_only)
-    answers = archive.groupBy("url").agg(F.first(F.struct("status", "headers", "body")).alias("answer")).withColumnRenamed("url", "at")
+    answers = dealt(archive)
     none = F.array().cast("array<string>")
     state = wanted.select(
         F.col("ord").cast("long").alias("ord"), "source", "url", F.col("url").alias("at"), F.col("url").alias("start"), none.alias("redirects"), none.alias("fallbacks"), none.alias("refreshes"),
@@ -52,7 +67,7 @@ def fetch(wanted: DataFrame, archive: DataFrame, max_bytes: int = 12 << 20, publ
     )
 
     def hop(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (b.slice(i, 64) for b in batches for i in range(0, b.num_rows, 64)):
             out = []
             for row in batch.to_pylist():
                 answer, place, source = row.pop("answer"), row.pop("ord"), row.pop("source")
@@ -72,7 +87,7 @@ def fetch(wanted: DataFrame, archive: DataFrame, max_bytes: int = 12 << 20, publ
     for more in through[1:]:
         done = done.unionByName(more)
     done = done.select("ord", "url", F.col("at").alias("final_url"), "status", "content_type", "body", F.lit(0.0).alias("fetch_ms"), "ok", "error", "failure_kind", "source")
-    return add_topics(done, archive)
+    return add_topics(done, answers)
 
 
 @F.pandas_udf(StringType())
@@ -89,12 +104,13 @@ def _with_topic(body, topic, base):
     return pd.Series([R.with_topic(b, t.decode("utf-8", "replace"), u) if t else b for b, t, u in zip(body, topic, base, strict=True)], dtype=object)
 
 
-def add_topics(fetched: DataFrame, archive: DataFrame) -> DataFrame:
-    """Pages that keep their text in a JSON file get it from the archive."""
-    topics = archive.where("status between 200 and 299").groupBy("url").agg(F.first("body").alias("topic")).withColumnRenamed("url", "topic_url")
+def add_topics(fetched: DataFrame, answers: DataFrame) -> DataFrame:
+    """Pages that keep their text in a JSON file get it from the `dealt` archive; other pages do not move."""
     asked = fetched.withColumn("topic_url", F.when(F.col("ok") & F.col("content_type").contains("html"), _topic_url("body", "final_url")))
+    topics = answers.where("answer.status between 200 and 299").select(F.col("at").alias("topic_url"), F.col("answer.body").alias("topic"))
     body = F.when(F.col("topic").isNotNull(), _with_topic("body", "topic", "final_url")).otherwise(F.col("body"))
-    return asked.join(topics, "topic_url", "left").withColumn("body", body).select(*FETCHED)
+    found = asked.where("topic_url is not null").join(topics, "topic_url", "left").withColumn("body", body).select(*FETCHED)
+    return asked.where("topic_url is null").select(*FETCHED).unionByName(found)
 
 
 def reject_non_pages(fetched: DataFrame) -> DataFrame:
@@ -107,10 +123,6 @@ def reject_non_pages(fetched: DataFrame) -> DataFrame:
     )
 
 
-def empty_archive(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([], ARCHIVE)
-
-
 def fetch_one(answers, url: str, limits: R.Limits) -> R.State:
     """Driver-side fetch of one URL by a lookup `answers(url) -> Response | None`, for discovery's few probes."""
     state = R.State.of(url)

@@ -10,10 +10,12 @@ from __future__ import annotations
 import codecs
 import json
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass, field, replace
 from email.utils import parsedate_to_datetime
 
 from ..functions.address import refusal
+from ..functions.javascript import places_set
 from ..functions.weburl import parse
 
 REFRESHES, REDIRECTS, ATTEMPTS, TOPIC_LINKS = 8, 8, 3, 200
@@ -126,58 +128,53 @@ def redirect_target(response: Response, base: str) -> str | None:
 
 # Where an answer sends the reader.
 
-_NOSCRIPT = re.compile(r"<noscript.*?</noscript>", re.IGNORECASE | re.DOTALL)
-_REFRESH = re.compile(r"<meta\b[^>]*http-equiv\s*=\s*[\"']?\s*refresh\s*[\"']?[^>]*>", re.IGNORECASE)
-_CONTENT = re.compile(r"\bcontent\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.IGNORECASE)
-_NAMED = re.compile(r"(?:\b(?:const|let|var)\b|[,;])\s*([A-Za-z_$][\w$]*)\s*=\s*[\"']([^\"']+)[\"']")
-_REPLACE = re.compile(r"location\.replace\(([^)]{1,240})\)")
-_ASSIGN = re.compile(r"(?:window\.)?location(?:\.href)?\s*=\s*([^;\n]{1,240})")
-_TERM = re.compile(r"\s*(?:[\"']([^\"']*)[\"']|`([^`$]*)`|((?:window\.)?location\.(?:search|hash))|([A-Za-z_$][\w$]*))\s*\Z")
+_TAG = re.compile(r"<(/?)(noscript|script|meta)\b((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.IGNORECASE)
+_ATTRIBUTE = re.compile(r"([^\s=\"'/>]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))")
+_HANDLER = re.compile(r"\son[a-z]+\s*=\s*(?:\"([^\"]*)\"|'([^']*)')", re.IGNORECASE)
+# Words by which a page says that it sends its reader on.
+_SENDS_ON = re.compile("redirect(?:ing|ed)", re.IGNORECASE)
+
+
+def elements(html: str) -> Iterator[tuple[str, dict[str, str], int]]:
+    """Opening tags of metas and scripts outside noscript: name, attributes, end."""
+    silent = False
+    for m in _TAG.finditer(html):
+        name = m[2].lower()
+        if name == "noscript":
+            silent = not m[1]
+        elif not silent and not m[1]:
+            yield name, {k.lower(): next((x for x in v if x), "") for k, *v in _ATTRIBUTE.findall(m[3])}, m.end()
 
 
 def refresh_target(state: State) -> str | None:
-    """Target of a meta refresh outside noscript, else of a script that says it redirects."""
+    """Where a page sends its reader: the first meta refresh outside noscript, else a script that says it redirects."""
     if not state.ok or "html" not in state.content_type.lower():
         return None
-    html = _NOSCRIPT.sub("", state.body)
-    target = None
-    if (tag := _REFRESH.search(html)) and (content := _CONTENT.search(tag[0])):
-        value = next((g for g in content.groups() if g is not None), "")
-        named = re.search(r"(?:^|;)\s*url\s*=\s*(.+)\s*$", value, re.IGNORECASE)
-        target = (named[1].strip() if named else "") or value.partition(";")[2].strip() or None
-    target = target or script_target(html)
-    if not target:
-        return None
-    url = parse(re.sub(r"^['\"]|['\"]$", "", target), state.at)
+    contents = (a.get("content", "") for name, a, _ in elements(state.body) if name == "meta" and a.get("http-equiv", "").strip().lower() == "refresh")
+    target = meta_target(next(contents, "")) or script_target(state.body)
+    url = parse(target.strip("'\""), state.at) if target else None
     return replace(url, fragment=None).href if url else None
 
 
+def meta_target(content: str) -> str | None:
+    """The address in `seconds; url=address`; the word and the equals sign may lack."""
+    _, _, after = content.partition(";")
+    for at, name in ((0, content), (len(content) - len(after), after)):
+        key, equals, _ = name.partition("=")
+        if equals and key.strip().lower() == "url":
+            return content[at + len(key) + 1 :].strip() or None
+    return after.strip() or None
+
+
 def script_target(html: str) -> str | None:
-    if not re.search(r"redirect(?:ing|ed)", html, re.IGNORECASE):
+    """Where scripts go: the first address that one replaces its place by, else the last that one assigns."""
+    if not _SENDS_ON.search(html):
         return None
-    names = dict(_NAMED.findall(html))
-    for argument in _REPLACE.findall(html):
-        if value := string_value(argument, names):
-            return value
-    found = [v for v in (string_value(x, names) for x in _ASSIGN.findall(html)) if v is not None]
-    return found[-1] if found else None
-
-
-def string_value(expression: str, names: dict[str, str]) -> str | None:
-    """Value of a sum of literals, templates and known names; the query and fragment of the place count as empty."""
-    out = []
-    for term in expression.split("+"):
-        found = _TERM.match(term)
-        if found is None:
-            return None
-        literal, template, place, name = found.groups()
-        if place is not None:
-            continue
-        value = literal if literal is not None else template if template is not None else names.get(name)
-        if value is None:
-            return None
-        out.append(value)
-    return "".join(out)
+    starts = [end for name, _, end in elements(html) if name == "script"]
+    bodies = [html[start : end if (end := html.lower().find("</script", start)) >= 0 else len(html)] for start in starts]
+    found = [places_set(js) for js in (*bodies, *(a or b for a, b in _HANDLER.findall(html)))]
+    replaced, assigned = ([x for pair in found for x in pair[i]] for i in (0, 1))
+    return next(iter(replaced), None) or next(reversed(assigned), None)
 
 
 def is_front_matter_only(text: str) -> bool:

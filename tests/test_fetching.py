@@ -4,6 +4,7 @@ import pytest
 
 from driftloom.config import Config
 from driftloom.plans import pipeline as P
+from driftloom.functions.javascript import places_set
 from driftloom.plans.discover import discover
 from driftloom.sources import archive as A
 from driftloom.sources import fetching as R
@@ -53,7 +54,9 @@ def test_refreshes():
     assert got({f"{E}/": meta("http://localhost/")}).failure_kind == "unsafe_url"
     many = {f"{E}/{i}": meta(f"/{i + 1}") for i in range(12)}
     assert got(many, f"{E}/0").error == "too many meta refresh redirects"
-    assert R.string_value("a + `b` + \"c\"", {"a": "/x/"}) == "/x/bc" and R.string_value("f(x)", {}) is None
+    assert places_set("var a = '/x/'; location.replace(a + `b` + \"c\"); location.replace(f(x)); location.href = a\nlocation = `${a}`") == (["/x/bc"], ["/x/"])
+    assert places_set("// don't\nx = /'/; if (location == 1) y = 'it\\'s'") == ([], [])
+    assert R.meta_target("5; URL = /a;b") == "/a;b" and R.meta_target("5; /plain ") == "/plain" and R.meta_target("5") is None
     assert R.script_target('redirected <script>location = "/a"; window.location.href = "/b";</script>') == "/b"
 
 
@@ -197,6 +200,7 @@ def test_discovery_order():
     assert urls(index) == [(f"{E}/llms.txt", "llms"), (f"{E}/one.md", "llms"), (f"{E}/two.md", "llms")]
     assert len(urls(index, max=2, max_explicit=True)) == 2
     assert urls({}) == [(f"{E}/", "seed")]
+    assert urls({}, f"{E}/docs/llms.txt") == []
 
 
 def test_discovery_of_apps():

@@ -327,7 +327,7 @@ def test_crawl_levels(spark):
     assert {(r.url, r.level) for r in got.collect()} == {(f"{e}/a", 1), (f"{e}/b", 2), (f"{e}/d", 3)}
 
 
-def test_asset_pages():
+def test_asset_pages(spark):
     e = "https://e.com"
     block = 'var Intro=(function(){t(0,"p");t(1,"Intro text that is long enough to be kept as a page of its own");t(2,`code\\nline ${x}`)})();var next=1;'
     main = f'{block}const r=[{{path:"intro",component:Intro,data:{{title:"Intro"}}}},{{path:"guide",loadChildren:()=>import("./g.js")}}]'
@@ -335,3 +335,19 @@ def test_asset_pages():
     got = dict(assets.discover(f"{e}/", {"base_href": None, "scripts": ["/m.js?v=1", "https://cdn.x/y.js"]}, fetch, 10, lambda u: True))
     assert set(got) == {f"{e}/intro", f"{e}/guide/intro"}
     assert got[f"{e}/intro"] == "# Intro\n\nIntro text that is long enough to be kept as a page of its own\n\n```\ncode\nline\n```"
+    apps = spark.createDataFrame([(f"{e}/", f"{e}/", f"{e}/m.js"), (f"{e}/b/", f"{e}/b", f"{e}/m.js"), (f"{e}/c/", f"{e}/c/", f"{e}/gone.js")], "seed string, base string, script string")
+    scripts = spark.createDataFrame([(f"{e}/m.js", main), (f"{e}/g.js", main), (f"{e}/n.js", None)], "url string, body string")
+    rows = {(r.seed, r.url): r.markdown for r in assets.asset_pages(apps, scripts).collect()}
+    mounts = {(s, f"{b}{'guide/' * n}intro") for s, b in ((f"{e}/", f"{e}/"), (f"{e}/b/", f"{e}/b/")) for n in range(33)}
+    # The second script mounts itself once more at each level; prefixes grow until the last level.
+    assert {(f"{e}/", f"{e}/intro"), (f"{e}/b/", f"{e}/b/guide/intro")} <= rows.keys() <= mounts
+    assert set(rows.values()) == {got[f"{e}/intro"]}
+
+
+def test_script_facts_survive_quotes_and_patterns():
+    block = """x='say "hi';y=/["']/;// don't
+    var A=(()=>{t(1,"One text of a component, \\"quoted\\", long enough to stay")})();let B=(()=>{t(2,"Other text of the next component, also long enough")})();var c=1;
+    r=[{path:"a",component:A,data:{title:"First"}},{path:"b",component:B,data:{title:"Second"}},{path:"z",component:Z,data:{title:"None"}}]"""
+    found = assets.facts(block)
+    assert found.pages == [("a", '# First\n\nOne text of a component, "quoted", long enough to stay'), ("b", "# Second\n\nOther text of the next component, also long enough")]
+    assert assets.facts('import("./a.mjs");import("./b.css")').loads == [("./a.mjs", None)]
