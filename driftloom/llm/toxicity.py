@@ -144,14 +144,27 @@ def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([batch.column("toxic"), pa.array(raw, pa.list_(pa.int32()))], names=["toxic", "hashes"])
 
 
-def some(docs: DataFrame, most: int) -> DataFrame:
-    """The texts of at most `most` distinct rows (doc_id, text), by a hash of both; about twice as many are ranked."""
-    key = F.xxhash64("doc_id", "text")
-    keyed = docs.select(key.alias("key"), "text")
-    distinct = keyed.agg(F.approx_count_distinct("key", 0.02)).first()[0]
+def some(keys: DataFrame, most: int) -> DataFrame:
+    """At most `most` distinct `key`s, by their hash; about twice as many are ranked, however many there are."""
+    distinct = keys.agg(F.approx_count_distinct("key", 0.02)).first()[0]
     share = min(1.0, (2.0 * most + 200) / max(1, distinct))
-    near = keyed.where(F.pmod(F.xxhash64("key"), F.lit(1 << 32)) < int(share * (1 << 32)))
-    return near.groupBy("key").agg(F.min("text").alias("text")).orderBy(F.xxhash64("key"), "key").limit(most).select("text")
+    near = keys.where(F.pmod(F.xxhash64("key"), F.lit(1 << 32)) < int(share * (1 << 32)))
+    return near.select("key").distinct().orderBy(F.xxhash64("key"), "key").limit(most)
+
+
+def sampled(docs: DataFrame, marked: DataFrame, positives: int, unlabelled: int) -> DataFrame:
+    """`toxic` and `text` of the sample: distinct rows (doc_id, text) whose doc_id is in `marked`, and of all rows.
+
+    The rows are chosen by keys alone; only chosen texts move.
+    """
+    rows = docs.select("doc_id", F.col("text").cast("string").alias("text"))
+    key = F.xxhash64("doc_id", "text").alias("key")
+    keys = rt.materialise(rows.select("doc_id", key), "keys")
+    chosen = some(keys.join(marked, "doc_id", "left_semi"), positives).withColumn("toxic", F.lit(1))
+    chosen = rt.materialise(chosen.unionByName(some(keys, unlabelled).withColumn("toxic", F.lit(0))), "chosen")
+    # At most positives + unlabelled rows of two numbers: small enough to broadcast at any input size.
+    found = rows.select(key, "text").join(F.broadcast(chosen), "key")
+    return found.groupBy("key", "toxic").agg(F.min("text").alias("text")).select("toxic", "text")
 
 
 def learn(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabelled: int = UNLABELLED) -> Classifier:
@@ -160,11 +173,9 @@ def learn(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabe
     known = labels.groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     shares = known.agg(F.sum("toxic"), F.count("toxic")).first()
     prior = min(0.5, max(1e-4, shares[0] / shares[1])) if shares[0] else DEFAULT_PRIOR
-    rows = docs.select("doc_id", F.col("text").cast("string").alias("text"))
-    marked = known.where("toxic = 1").select("doc_id")
-    both = some(rows.join(marked, "doc_id", "left_semi"), positives).withColumn("toxic", F.lit(1))
-    both = both.unionByName(some(rows, unlabelled).withColumn("toxic", F.lit(0)))
-    sample = rt.materialise(both.select("toxic", "text").mapInArrow(_hashed, "toxic int, hashes array<int>"), "sample")
+    with rt.passing():
+        both = sampled(docs, known.where("toxic = 1").select("doc_id"), positives, unlabelled)
+        sample = rt.materialise(both.mapInArrow(_hashed, "toxic int, hashes array<int>"), "sample")
     sizes = {r["toxic"]: r["count"] for r in sample.groupBy("toxic").count().collect()}
     if len(sizes) < 2:
         return _constant(prior)

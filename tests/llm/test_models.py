@@ -114,9 +114,11 @@ def test_samples_are_bounded_by_rows(spark):
     same = spark.range(20_000).select(F.lit(1).cast("long").alias("doc_id"), F.lit("the same text").alias("text"))
     own = spark.range(20_000).select(F.lit(2).cast("long").alias("doc_id"), F.concat(F.lit("text "), "id").alias("text"))
     single = spark.range(10, 2010).select("id", F.concat(F.lit("single "), "id").alias("text"))
-    got = [r.text for r in toxicity.some(same.union(own).union(single), 500).collect()]
-    assert len(got) == len(set(got)) == 500
-    assert len(toxicity.some(same, 500).collect()) == 1
+    everything = same.union(own).union(single)
+    got = toxicity.sampled(everything, spark.range(1, 3).withColumnRenamed("id", "doc_id"), 300, 500).collect()
+    assert {t: len({r.text for r in got if r.toxic == t}) for t in (0, 1)} == {0: 500, 1: 300} and len(got) == 800
+    got = toxicity.sampled(same, spark.range(2).withColumnRenamed("id", "doc_id"), 500, 500).collect()
+    assert sorted((r.toxic, r.text) for r in got) == [(0, "the same text"), (1, "the same text")]
     docs = same.union(single).withColumn("lang", F.lit("en"))
     model = language_id.learn(docs, 50)
     assert model.languages == ["en"] and language_id.learn(docs.limit(0)) is None
