@@ -62,7 +62,15 @@ _PARTS = r"""
 PARTS = f"""parts AS (
   SELECT *, scheme || '://' || CASE WHEN scheme = 'https' THEN regexp_replace(place, ':(?:443)?$', '') ELSE regexp_replace(place, ':(?:80)?$', '') END AS origin
   FROM ({_PARTS}))"""
+# Fixed values of the SQL, written out here so that a wrong pattern of the columns shows: file endings outside any scope,
+# types and markup of bodies, endings of corpus files and of pages, worth of sources. Only the long list of paths
+# that are not pages is the columns' own; tests hold it against examples.
 NON_PAGE = U.NON_PAGE.replace("'", "''")
+_ELLIPSIS = "(?i)%e2%80%a6|\\x{2026}"
+_IGNORED = "(?i)\\.(png|jpg|jpeg|gif|svg|webp|ico|pdf|epub|zip|tar|gz|mp4|mp3|wav|woff|woff2|ttf|eot|css|js|mjs|map|rss|atom)$"
+_STRUCTURED, _STRUCTURED_FILE, _MARKDOWN = "(?i)(json|yml|yaml|xml|toml)", "(?i)\\.(json|yml|yaml|xml|toml)$", "(?i)(markdown|mdx|text/plain)"
+_MARKUP = "(?i)</?[a-z][a-z0-9_:-]*([\\t\\n\\x0B\\f\\r \\x{A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}\\x{FEFF}]|/?>)"
+_CORPUS, _PAGE_FILE = "(?i)\\.(md|mdx|txt|yml|yaml|json)$", "(?i)\\.(htm|html|md|mdx|yml|yaml|json|txt)$"
 _TRIMMED = "CASE WHEN path = '/' THEN path ELSE regexp_replace(path, '/+$', '') END"
 
 
@@ -134,7 +142,7 @@ def replaced_links(spark, sf_dir):
 
 @query(f"""
 WITH {PARTS}, clean AS (SELECT page_id, url, origin || regexp_replace(path, '/{{2,}}', '/', 'g') AS href, regexp_replace(path, '/{{2,}}', '/', 'g') AS path FROM parts)
-SELECT page_id, CASE WHEN regexp_matches(url, '(?i)^https?://[^/?#]') AND NOT regexp_matches(href, '(?i){U.ELLIPSIS}') AND NOT regexp_matches(path, '{NON_PAGE}') THEN href END AS page_url FROM clean""")
+SELECT page_id, CASE WHEN regexp_matches(url, '(?i)^https?://[^/?#]') AND NOT regexp_matches(href, '{_ELLIPSIS}') AND NOT regexp_matches(path, '{NON_PAGE}') THEN href END AS page_url FROM clean""")
 def normalize_urls(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", U.normalise_url("url").alias("page_url"))
 
@@ -170,7 +178,7 @@ _SCOPES = ["/", "/en/", "/de", "/en/1", "/fr/2/"]
 @query(f"""
 WITH {PARTS}, s AS (SELECT unnest({_SCOPES}) AS scope)
 SELECT scope, CAST(count(*) AS BIGINT) AS n FROM parts JOIN s ON scope = '/' OR (scope LIKE '%/' AND starts_with(path, scope)) OR (scope NOT LIKE '%/' AND (path = scope OR starts_with(path, scope || '/')))
-WHERE NOT regexp_matches(path, '(?i){U.IGNORED_FILES}') GROUP BY scope""")
+WHERE NOT regexp_matches(path, '{_IGNORED}') GROUP BY scope""")
 def path_in_scope(spark, sf_dir):
     pages = table(spark, sf_dir, "pages").withColumn("path", U.path("url")).where(~F.col("path").rlike(f"(?i){U.IGNORED_FILES}"))
     held = F.filter(F.array(*[F.lit(s) for s in _SCOPES]), lambda s: U.path_in_scope(F.col("path"), s))
@@ -178,12 +186,13 @@ def path_in_scope(spark, sf_dir):
 
 
 _ADDRESSES = "8.8.8.8 10.1.2.3 127.0.0.1 100.64.0.1 100.128.0.1 169.254.1.1 172.16.0.1 172.32.0.1 192.0.0.1 192.0.2.7 192.88.99.1 192.168.0.1 198.18.0.1 198.20.0.1 198.51.100.1 203.0.113.9 223.255.255.1 224.0.0.1 255.255.255.255 1.2.3 1.2.3.256".split()
-_RANGES = " OR ".join(f"n BETWEEN {int(x.network_address)} AND {int(x.broadcast_address)}" for x in address.PRIVATE_V4)
+_RANGES = """o[1] IN (0, 10, 127) OR o[1] >= 224 OR (o[1] = 100 AND o[2] BETWEEN 64 AND 127) OR (o[1] = 169 AND o[2] = 254) OR (o[1] = 172 AND o[2] BETWEEN 16 AND 31)
+  OR (o[1] = 192 AND (o[2] = 168 OR (o[2] = 0 AND o[3] IN (0, 2)) OR (o[2] = 88 AND o[3] = 99))) OR (o[1] = 198 AND (o[2] BETWEEN 18 AND 19 OR (o[2] = 51 AND o[3] = 100))) OR (o[1] = 203 AND o[2] = 0 AND o[3] = 113)"""
 
 
 @query(f"""
 WITH a AS (SELECT unnest({_ADDRESSES}) AS host), p AS (SELECT host, [try_cast(x AS BIGINT) for x in string_split(host, '.')] AS o FROM a),
-n AS (SELECT host, len(o) = 4 AND len([x for x in o if x BETWEEN 0 AND 255]) = 4 AS valid, o[1] * 16777216 + o[2] * 65536 + o[3] * 256 + o[4] AS n FROM p)
+n AS (SELECT host, o, len(o) = 4 AND len([x for x in o if x BETWEEN 0 AND 255]) = 4 AS valid FROM p)
 SELECT host, valid AND NOT coalesce({_RANGES}, false) AS is_public FROM n""")
 def public_url_check(spark, sf_dir):
     return spark.createDataFrame([(a,) for a in _ADDRESSES], "host string").select("host", address.is_public_ipv4(F.col("host")).alias("is_public"))
@@ -210,7 +219,7 @@ abs AS (SELECT src, CASE WHEN starts_with(h, '/') AND NOT starts_with(h, '//') T
 cut AS (SELECT src, u, lower(regexp_extract(u, '^([A-Za-z][A-Za-z0-9+.-]*)://', 1)) AS scheme, regexp_replace(lower(regexp_extract(u, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1)), '^[^@]*@', '') AS place,
   regexp_replace(CASE WHEN regexp_extract(u, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1) = '' THEN '/' ELSE regexp_extract(u, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1) END, '/{{2,}}', '/', 'g') AS path FROM abs),
 full_ AS (SELECT src, u, path, scheme || '://' || CASE WHEN scheme = 'https' THEN regexp_replace(place, ':(?:443)?$', '') ELSE regexp_replace(place, ':(?:80)?$', '') END || path AS dst FROM cut),
-links AS (SELECT DISTINCT src, dst FROM full_ WHERE regexp_matches(u, '(?i)^https?://[^/?#]') AND NOT regexp_matches(dst, '(?i){U.ELLIPSIS}') AND NOT regexp_matches(path, '{NON_PAGE}'))"""
+links AS (SELECT DISTINCT src, dst FROM full_ WHERE regexp_matches(u, '(?i)^https?://[^/?#]') AND NOT regexp_matches(dst, '{_ELLIPSIS}') AND NOT regexp_matches(path, '{NON_PAGE}'))"""
 
 
 @query(f"WITH {LINKS} SELECT src, dst FROM links")
@@ -325,7 +334,7 @@ records AS (SELECT ord, url, origin, path, status, source, ok, CASE WHEN ok THEN
   CASE WHEN ok THEN NULL WHEN status IN (404, 410) THEN 'not_found' WHEN status = 403 THEN 'blocked' ELSE 'timeout' END AS failure_kind FROM r2)"""
 
 
-_RANK = "CASE source " + " ".join(f"WHEN '{s}' THEN {n}" for s, n in dedup.SOURCE_RANK.items()) + " END"
+_RANK = "CASE source WHEN 'llms' THEN 6 WHEN 'asset' THEN 5 WHEN 'sitemap' THEN 4 WHEN 'nav' THEN 3 WHEN 'crawl' THEN 2 WHEN 'seed' THEN 1 END"
 _DEDUP = f"""{_records_sql()},
 good AS (SELECT *, origin || {_keyed(_ROUTE)} AS route, {_RANK} * 1000000 + 200000 + points * 100 + least(w, 2000) AS score FROM records WHERE ok),
 grouped AS (SELECT *, row_number() OVER (PARTITION BY route ORDER BY score DESC, ord) AS place, min(ord) OVER (PARTITION BY route) AS first_, list(url) OVER (PARTITION BY route) AS urls FROM good),
@@ -362,7 +371,7 @@ def dedup_sequential(spark, sf_dir):
 _SLUG = """CASE WHEN regexp_matches(c, '^\\.*$') THEN 'page' ELSE c END"""
 _PATHS = f"""{_records_sql(False)},
 seg AS (SELECT ord, url, path, unnest([x for x in string_split(path, '/') if x <> '']) AS s, generate_subscripts([x for x in string_split(path, '/') if x <> ''], 1) AS i FROM records),
-sl AS (SELECT ord, i, regexp_replace(regexp_replace(regexp_replace(lower(url_decode(s)), '{paths.PATH_FILES}', ''), '[^a-z0-9._-]+', '-', 'g'), '^-+|-+$', '', 'g') AS c FROM seg),
+sl AS (SELECT ord, i, regexp_replace(regexp_replace(regexp_replace(lower(url_decode(s)), '{_PAGE_FILE}', ''), '[^a-z0-9._-]+', '-', 'g'), '^-+|-+$', '', 'g') AS c FROM seg),
 lists AS (SELECT ord, list({_SLUG} ORDER BY i) AS parts FROM sl GROUP BY ord),
 full0 AS (SELECT r.ord, r.url, coalesce(l.parts, []) || CASE WHEN r.path LIKE '%/' OR l.parts IS NULL THEN ['index'] ELSE [] END AS parts FROM records r LEFT JOIN lists l USING (ord)),
 pre AS (SELECT coalesce(max(k), 0) AS cut FROM (SELECT k FROM range(1, 33) t(k), full0 GROUP BY k HAVING count(DISTINCT parts[1:k]) = 1 AND min(len(parts)) >= k)),
@@ -479,7 +488,7 @@ _TRIED = ["/en/1", "/en/", "/"]
 @query(f"""
 WITH {PARTS}, o AS (SELECT origin FROM parts ORDER BY page_id LIMIT 1), s AS (SELECT unnest({_TRIED}) AS scope, unnest([0, 1, 2]) AS place)
 SELECT s.place, scope, CAST(count(page_id) AS BIGINT) AS n FROM s LEFT JOIN (SELECT parts.page_id, parts.path FROM parts JOIN o USING (origin)) p
-ON NOT regexp_matches(path, '(?i){U.IGNORED_FILES}') AND (scope = '/' OR (scope LIKE '%/' AND starts_with(path, scope)) OR (scope NOT LIKE '%/' AND (path = scope OR starts_with(path, scope || '/')))) GROUP BY 1, 2""")
+ON NOT regexp_matches(path, '{_IGNORED}') AND (scope = '/' OR (scope LIKE '%/' AND starts_with(path, scope)) OR (scope NOT LIKE '%/' AND (path = scope OR starts_with(path, scope || '/')))) GROUP BY 1, 2""")
 def choose_scope_counts(spark, sf_dir):
     pages = table(spark, sf_dir, "pages")
     seed = pages.orderBy("page_id").select(U.without_query("url")).first()[0]
@@ -507,9 +516,9 @@ _TYPES = ("text/html", "application/json", "text/markdown", "")
 
 @query(f"""
 WITH {PARTS}, b AS (SELECT page_id, path, ({list(_TYPES)})[page_id % 4 + 1] AS kind, CASE WHEN page_id % 3 = 0 THEN 'plain words' ELSE html END AS body FROM parts),
-m AS (SELECT *, regexp_matches(body, '{extract.MARKUP}') AS markup FROM b)
-SELECT page_id, CASE WHEN regexp_matches(kind, '{extract.STRUCTURED_TYPE}') OR (regexp_matches(path, '{extract.STRUCTURED_FILE}') AND NOT markup) THEN 'text'
-  WHEN NOT markup OR regexp_matches(kind, '{extract.MARKDOWN_TYPE}') THEN 'markdown' ELSE 'html' END AS body_class FROM m""")
+m AS (SELECT *, regexp_matches(body, '{_MARKUP}') AS markup FROM b)
+SELECT page_id, CASE WHEN regexp_matches(kind, '{_STRUCTURED}') OR (regexp_matches(path, '{_STRUCTURED_FILE}') AND NOT markup) THEN 'text'
+  WHEN NOT markup OR regexp_matches(kind, '{_MARKDOWN}') THEN 'markdown' ELSE 'html' END AS body_class FROM m""")
 def body_class(spark, sf_dir):
     kind = F.get(F.array(*[F.lit(t) for t in _TYPES]), F.pmod(F.col("page_id"), F.lit(4)).cast("int"))
     body = F.when(F.col("page_id") % 3 == 0, "plain words").otherwise(F.col("html"))
@@ -536,7 +545,7 @@ def nav_links(spark, sf_dir):
 
 
 _SITE = "regexp_extract({0}, '^[^/]+//[^/]*')"
-_STEP = f"""{_SITE.format('e.dst')} = {_SITE.format('seed')} AND NOT regexp_matches(regexp_extract(e.dst, '^[^/]+//[^/]*(.*)$', 1), '(?i){U.IGNORED_FILES}') AND e.dst <> seed"""
+_STEP = f"""{_SITE.format('e.dst')} = {_SITE.format('seed')} AND NOT regexp_matches(regexp_extract(e.dst, '^[^/]+//[^/]*(.*)$', 1), '{_IGNORED}') AND e.dst <> seed"""
 
 
 @query(f"""
@@ -558,7 +567,7 @@ _DOMAIN = "scheme || '://' || regexp_extract(place, '[^.]+\\.[^.]+$') || '/'"
 
 @query(f"""
 WITH {PARTS}, l AS (SELECT page_id, {_DOMAIN} AS seed, origin, '/docs' || path AS path, ['docs'] || {_SEGMENTS} AS parts_ FROM parts WHERE origin || '/' <> {_DOMAIN}),
-c AS (SELECT seed, origin, count(*) AS n, min(page_id) AS first_, count(*) FILTER (regexp_matches(path, '{scope.CORPUS_FILES}')) AS files, bool_or(path = '/llms.txt') AS indexed FROM l GROUP BY 1, 2),
+c AS (SELECT seed, origin, count(*) AS n, min(page_id) AS first_, count(*) FILTER (regexp_matches(path, '{_CORPUS}')) AS files, bool_or(path = '/llms.txt') AS indexed FROM l GROUP BY 1, 2),
 b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY seed ORDER BY n DESC, first_) AS place FROM c) WHERE place = 1 AND (indexed OR n >= 5)),
 k AS (SELECT seed, origin, k FROM l JOIN b USING (seed, origin), range(1, 17) t(k) GROUP BY 1, 2, 3 HAVING count(DISTINCT parts_[1:k]) = 1 AND min(len(parts_)) >= k),
 s AS (SELECT b.seed, b.origin, b.n, b.files, b.indexed, coalesce(max(k.k), 0) AS cut FROM b LEFT JOIN k USING (seed, origin) GROUP BY ALL),
