@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions import urls as U
-from .scratch import settle
+from .scratch import settle, written
 
 # Worth of sources and extractors.
 SOURCE_RANK = {"llms": 6, "asset": 5, "sitemap": 4, "nav": 3, "crawl": 2, "seed": 1}
@@ -72,14 +72,17 @@ def dedupe(records: DataFrame, mode: str = "routes") -> DataFrame:
     urls = F.array_compact(F.array("url", "final_url", "canonical_url"))
     known = F.concat(urls, F.coalesce("aliases", F.array().cast(_NONE)))
     place = F.struct(record_score().alias("score"), (-F.col("ord")).alias("early"))
+    # Keys and scores are written once: the texts are read for them here and joined again at the end only.
+    each = written(grouped.select("ord", "part", place.alias("place"), known.alias("known"), "links"))
     # Aggregates rather than a window: a group of any size folds before the shuffle.
-    each = grouped.withColumn("place", place).withColumn("known", known)
-    groups = each.groupBy("part").agg(
-        F.max("place.score").alias("top"), F.min("ord").alias("first"), (-F.max("place")["early"]).alias("best"), F.count(F.lit(1)).alias("size")
+    groups = written(
+        each.groupBy("part").agg(F.max("place.score").alias("top"), F.min("ord").alias("first"), (-F.max("place")["early"]).alias("best"), F.count(F.lit(1)).alias("size"))
     )
-    shared = each.join(groups.where("size > 1").select("part"), "part").select("part", F.explode("known").alias("u")).groupBy("part").agg(F.collect_set("u").alias("urls"))
-    linked = each.join(groups.where("size > 1").select("part"), "part").select("part", F.explode("links").alias("u")).groupBy("part").agg(F.array_sort(F.collect_set("u")).alias("all_links"))
-    kept = groups.select("part", "first", "size", F.col("best").alias("ord")).join(grouped.drop("part"), "ord").join(shared, "part", "left").join(linked, "part", "left")
+    several = each.join(groups.where("size > 1").select("part"), "part")
+    shared = several.select("part", F.explode("known").alias("u")).groupBy("part").agg(F.collect_set("u").alias("urls"))
+    linked = several.select("part", F.explode("links").alias("u")).groupBy("part").agg(F.array_sort(F.collect_set("u")).alias("all_links"))
+    extra = groups.select("part", "first", "size", F.col("best").alias("ord")).join(shared, "part", "left").join(linked, "part", "left").drop("part")
+    kept = good.join(extra, "ord")
     merged = F.array_sort(F.array_except(F.col("urls"), urls))
     aliases = F.when(F.col("size") == 1, F.col("aliases")).otherwise(F.when(F.size(merged) > 0, merged))
     links = F.when(F.col("size") == 1, F.col("links")).otherwise(F.coalesce("all_links", F.array().cast(_NONE)))

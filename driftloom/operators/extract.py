@@ -66,12 +66,6 @@ def is_language_selector(final_url: Column, body: Column) -> Column:
     return final_url.rlike(SELECTOR_PATH) & body.rlike(SELECTOR_MARKS)
 
 
-def is_app_shell(body: Column, dom: Column) -> Column:
-    """Pages that only scripts fill: marks of frameworks, or scripts and styles with little text and few links."""
-    bare = (F.size(dom["scripts"]) > 0) & (dom["body_chars"] < 500) & (dom["n_anchors"] < 5)
-    return body.rlike(APP_MARKS) | F.coalesce(bare, F.lit(False))
-
-
 def is_challenge(markdown: Column, title: Column) -> Column:
     return F.coalesce(title, F.lit("")).rlike("(?i)client challenge") | markdown.rlike("(?i)required part of this site couldn.t load")
 

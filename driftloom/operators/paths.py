@@ -58,7 +58,7 @@ def assign_paths(records: DataFrame, most: int | None = None) -> DataFrame:
 
     Two pages of one URL that still clash share a path; different URLs never do.
     """
-    chosen = output_candidates(records, most).select("ord", "url", output_segments(F.col("final_url")).alias("segments"))
+    chosen = written(output_candidates(records, most).select("ord", "url", output_segments(F.col("final_url")).alias("segments")))
     rest = F.slice(F.col("segments"), F.col("cut") + 1, F.size("segments"))
     base = F.when(F.size(rest) == 0, "index").otherwise(F.array_join(rest, "/"))
     based = chosen.crossJoin(F.broadcast(common_prefix(chosen))).select("ord", F.sha2(F.col("url").cast("binary"), 256).alias("hash"), base.alias("base"))

@@ -640,7 +640,7 @@ def app_shells(spark, sf_dir):
     """Pages, three of four replaced by small ones: scripts without text, a framework's mark, neither."""
     own = F.get(F.array(*[F.lit(s) for s in _SHELLS]), F.pmod("page_id", F.lit(4)).cast("int"))
     pages = table(spark, sf_dir, "pages").select("page_id", F.when(own == "", F.col("html")).otherwise(own).alias("html"))
-    return extract.page_features(pages, "html").select("page_id", extract.is_app_shell(F.col("html"), F.col("dom")).alias("shell"))
+    return extract.page_features(pages, "html").select("page_id", extract.looks_like_app(F.col("html"), F.col("dom")).alias("shell"))
 
 
 @query(f"""
