@@ -15,7 +15,9 @@ of a fingerprint enter once.
 Inside a cell a frontier search grows trees: each fingerprint is compared with
 those not reached yet, so a cell of near copies costs about as many steps as it
 has members and yields a spanning forest, not all pairs. Components of the
-forests' edges are the components of all links.
+forests' edges are the components of all links. A cell above BLOCK members is cut
+into blocks by a hash and each pair of blocks searched in a task of its own, so
+no cell is held whole.
 
 Defined results: null text counts as empty; texts without words share the
 fingerprint zero and are linked like others; texts are read whole, in slices of
@@ -42,6 +44,8 @@ SHINGLE, SEED, MAX_BITS = 4, 42, 4
 BLOCKS = ((0, 22), (22, 44), (44, 64))
 #: Longest run of a cell that is compared pair by pair in one vector step.
 SHORT = 8
+#: Members of a cell that is searched in one piece.
+BLOCK = 1 << 16
 
 
 def shingle_hashes(raw: bytes, width: int = SHINGLE) -> list[int]:
@@ -154,28 +158,74 @@ def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.record_batch([pa.array(keys), pa.array(part[owners].view(np.int64))], names=["cell", "fp"])
 
 
-def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _links(batches: Iterator[pa.RecordBatch], block: int) -> Iterator[pa.RecordBatch]:
+    """Edges (a, b) of the cells; the members of cells above `block` are handed on as rows (a, cell)."""
     held: list[tuple[np.ndarray, np.ndarray]] = []
+    over = None
     for batch in batches:
         keys, prints = batch.column("cell").to_numpy(), batch.column("fp").to_numpy().view(np.uint64)
+        if over is not None:
+            cut = int(np.searchsorted(keys, over, "right"))
+            yield _members(keys[:cut], prints[:cut])
+            keys, prints = keys[cut:], prints[cut:]
         if not len(keys):
             continue
+        over = None
         held.append((keys, prints))
-        if keys[-1] == held[0][0][0]:
+        if keys[-1] == held[0][0][0] and sum(len(x) for x, _ in held) <= block:
             continue
         keys, prints = (np.concatenate(x) for x in zip(*held, strict=True))
         cut = int(np.searchsorted(keys, keys[-1], "left"))
-        held = [(keys[cut:], prints[cut:])]
-        yield from _edges(keys[:cut], prints[:cut])
+        if len(keys) - cut > block:
+            over, cut = keys[-1], len(keys)
+        held = [(keys[cut:], prints[cut:])] if cut < len(keys) else []
+        yield from _edges(keys[:cut], prints[:cut], block)
     if held:
-        yield from _edges(*(np.concatenate(x) for x in zip(*held, strict=True)))
+        yield from _edges(*(np.concatenate(x) for x in zip(*held, strict=True)), block)
 
 
-def _edges(keys: np.ndarray, prints: np.ndarray) -> Iterator[pa.RecordBatch]:
-    a, b = links_in_cells(keys, prints)
-    if len(a):
-        pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0)
-        yield pa.record_batch([pa.array(pairs[:, 0].view(np.int64)), pa.array(pairs[:, 1].view(np.int64))], names=["a", "b"])
+def _edges(keys: np.ndarray, prints: np.ndarray, block: int) -> Iterator[pa.RecordBatch]:
+    if not len(keys):
+        return
+    sizes = np.diff(np.flatnonzero(np.r_[True, keys[1:] != keys[:-1], True]))
+    if (sizes > block).any():
+        large = np.repeat(sizes > block, sizes)
+        yield _members(keys[large], prints[large])
+        keys, prints = keys[~large], prints[~large]
+    if len(keys):
+        yield _pairs(*links_in_cells(keys, prints))
+
+
+def _members(keys: np.ndarray, prints: np.ndarray) -> pa.RecordBatch:
+    return pa.record_batch([pa.array(prints.view(np.int64)), pa.nulls(len(keys), pa.int64()), pa.array(keys)], names=["a", "b", "cell"])
+
+
+def _pairs(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+    pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0).view(np.int64)
+    return pa.record_batch([pa.array(pairs[:, 0]), pa.array(pairs[:, 1]), pa.nulls(len(pairs), pa.int64())], names=["a", "b", "cell"])
+
+
+def _searched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Edges of each run of rows with equal (cell, low, high)."""
+    held: list[np.ndarray] = []
+    last = None
+    for batch in batches:
+        keys = np.stack([batch.column(c).to_numpy() for c in ("cell", "low", "high")], axis=1)
+        prints = batch.column("fp").to_numpy().view(np.uint64)
+        starts = np.r_[0, np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1, len(keys)] if len(keys) else np.zeros(1, np.int64)
+        for a, b in zip(starts[:-1], starts[1:], strict=True):
+            if last is not None and (keys[a] != last).any():
+                yield _grown(held)
+                held = []
+            last = keys[a]
+            held.append(prints[a:b])
+    if held:
+        yield _grown(held)
+
+
+def _grown(held: list[np.ndarray]) -> pa.RecordBatch:
+    pairs = np.array(forest(np.concatenate(held)), np.uint64).reshape(-1, 2)
+    return _pairs(pairs[:, 0], pairs[:, 1]).select(["a", "b"])
 
 
 def fingerprinted(docs: DataFrame) -> DataFrame:
@@ -185,11 +235,28 @@ def fingerprinted(docs: DataFrame) -> DataFrame:
     return rt.materialise(rows.select("__dl_uid", "doc_id", "text").mapInArrow(_prints, "__dl_uid long, doc_id long, fp long"), "prints")
 
 
-def link_edges(prints: DataFrame, n: int) -> DataFrame:
-    """Edges (a, b) between the `n` distinct fingerprints that span all links within MAX_BITS."""
-    parts = rt.tasks_for(prints.sparkSession, 100 * n, 4 * rt.ROWS_PER_TASK)
+def link_edges(prints: DataFrame, n: int, block: int = BLOCK) -> DataFrame:
+    """Edges (a, b) between the `n` distinct fingerprints that span all links within MAX_BITS.
+
+    Cells above `block` members are cut into blocks by a hash; each pair of
+    blocks is searched in a task of its own.
+    """
+    spark = prints.sparkSession
+    parts = rt.tasks_for(spark, 100 * n, 4 * rt.ROWS_PER_TASK)
     spread = prints.mapInArrow(_cells, "cell long, fp long").repartition(parts, "cell").sortWithinPartitions("cell")
-    return spread.mapInArrow(_links, "a long, b long")
+    found = rt.materialise(spread.mapInArrow(lambda batches: _links(batches, block), "a long, b long, cell long"), "links")
+    edges = found.where("cell is null").select("a", "b")
+    members = found.where("cell is not null").select("cell", F.col("a").alias("fp"))
+    sizes = rt.materialise(members.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).withColumn("parts", F.ceil(F.col("n") / block).cast("int")), "sizes")
+    rows = sizes.agg(F.sum(F.col("n") * (F.col("parts") - 1))).first()[0]
+    if not rows:
+        return edges
+    own = F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int")
+    dealt = members.join(sizes, "cell").withColumn("block", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    dealt = dealt.where("other <> block").select("cell", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "fp")
+    tasks = rt.tasks_for(spark, rows, 2 * block)
+    pieces = dealt.repartition(tasks, "cell", "low", "high").sortWithinPartitions("cell", "low", "high")
+    return edges.unionByName(pieces.mapInArrow(_searched, "a long, b long"))
 
 
 def classed(rows: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@ import hashlib
 import re
 
 import numpy as np
+import pytest
 
 from driftloom.llm import exact_dedup as X
 from driftloom.llm import simhash as S
@@ -138,16 +139,33 @@ def brute_components(prints):
     return [find(i) for i in range(len(prints))]
 
 
-def test_components_of_links_against_brute_force(spark):
+@pytest.mark.parametrize("block", [S.BLOCK, 7])
+def test_components_of_links_against_brute_force(spark, block):
     prints = near(np.random.default_rng(5), 600)
     frame = spark.createDataFrame([(int(x),) for x in prints.view(np.int64)], "fp long")
-    roots = {r.node: r.root for r in components(S.link_edges(frame, len(prints))).collect()}
+    roots = {r.node: r.root for r in components(S.link_edges(frame, len(prints), block)).collect()}
     want = brute_components(prints)
     signed = prints.view(np.int64).tolist()
     mine = [roots.get(x, x) for x in signed]
     assert len(set(zip(mine, want, strict=True))) == len(set(mine)) == len(set(want))
 
 
+def test_large_cells_are_handed_on_whole():
+    import pyarrow as pa
+
+    rng = np.random.default_rng(4)
+    keys = np.sort(np.repeat(rng.permutation(40), rng.integers(1, 60, 40))).astype(np.int64)
+    prints = np.arange(len(keys), dtype=np.int64)
+    cut = [pa.record_batch([pa.array(keys[a : a + 13]), pa.array(prints[a : a + 13])], names=["cell", "fp"]) for a in range(0, len(keys), 13)]
+    rows = pa.Table.from_batches(list(S._links(iter(cut), 20))).to_pylist()
+    given = [(r["cell"], r["a"]) for r in rows if r["cell"] is not None]
+    large = {k for k in keys.tolist() if (keys == k).sum() > 20}
+    assert sorted(given) == [(k, p) for k, p in zip(keys.tolist(), prints.tolist(), strict=True) if k in large] and large
+    for r in rows:
+        if r["cell"] is None:
+            assert keys[r["a"]] == keys[r["b"]] and keys[r["a"]] not in large
+
+
 def test_long_cells_use_the_forest():
     rng = np.random.default_rng(9)
     base = np.uint64(rng.integers(0, 2**63))
