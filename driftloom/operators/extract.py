@@ -118,13 +118,15 @@ def _features(html: str | None) -> dict | None:
 
 def page_features(fetched: DataFrame, body: str = "body", needed: Column | None = None) -> DataFrame:
     """Adds the struct `dom` of FEATURES; null where `needed` does not hold."""
-    kept = fetched.columns
-    rows = fetched.withColumn("__html", F.when(needed, F.col(body)) if needed is not None else F.col(body))
+    kept, html = fetched.columns, "__html"
+    while html in kept:
+        html += "_"
+    rows = fetched.withColumn(html, F.when(needed, F.col(body)) if needed is not None else F.col(body))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # Few pages at a time, as each may be large.
         for batch in (b.slice(i, 32) for b in batches for i in range(0, b.num_rows, 32)):
-            at = batch.schema.get_field_index("__html")
+            at = batch.schema.get_field_index(html)
             found = [_features(x) for x in batch.column(at).to_pylist()]
             yield pa.record_batch([*(batch.column(i) for i in range(batch.num_columns) if i != at), pa.array(found, _TYPES)], names=[*kept, "dom"])
 
@@ -145,7 +147,8 @@ def resolve_bare(href, base):
 
 
 def extract(fetched: DataFrame) -> DataFrame:
-    """Page records of fetched rows (ord, url, final_url, status, content_type, body, fetch_ms, ok, error, failure_kind, source)."""
+    """Page records of fetched rows (ord, url, final_url, status, content_type, body, fetch_ms, ok, error, failure_kind, source); other columns go."""
+    fetched = fetched.select("ord", "url", "final_url", "status", "content_type", "body", "fetch_ms", "ok", "error", "failure_kind", "source")
     body, final, kind = F.coalesce("body", F.lit("")), F.col("final_url"), F.coalesce("content_type", F.lit(""))
     rows = fetched.withColumn("class", F.when(F.col("ok"), body_class(kind, final, body)))
     rows = page_features(rows, "body", F.col("class") == "html")

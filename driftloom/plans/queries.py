@@ -1,8 +1,8 @@
 """Queries of the page engine over tables, and their SQL.
 
-Where a query has SQL here, both give the same rows. Operators that read HTML
-trees, resolve irregular references or iterate have none; tests hold them
-against fixtures and brute-force versions.
+Where a query has SQL here, both give the same rows. Where the tables lack the
+shapes that an operator is for, a query makes them up, one or a few a page, and
+its SQL states what must come out. A whole run (`page_corpus`) has none.
 """
 
 from __future__ import annotations
@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from ..functions import address, classify, quality
 from ..functions import text as T
 from ..functions import urls as U
+from ..functions.markdown_clean import clean_markdown
 from ..operators import assets, crawl, dedup, extract, llms_index, paths, render, robots, scope, sitemap, snapshot, summary
 from ..sources import archive as A
 from ..workers import prepare, spread
@@ -369,14 +370,14 @@ def dedup_sequential(spark, sf_dir):
 # Paths.
 
 _SLUG = """CASE WHEN regexp_matches(c, '^\\.*$') THEN 'page' ELSE c END"""
-_PATHS = f"""{_records_sql(False)},
-seg AS (SELECT ord, url, path, unnest([x for x in string_split(path, '/') if x <> '']) AS s, generate_subscripts([x for x in string_split(path, '/') if x <> ''], 1) AS i FROM records),
+_PLACES = f"""seg AS (SELECT ord, url, path, unnest([x for x in string_split(path, '/') if x <> '']) AS s, generate_subscripts([x for x in string_split(path, '/') if x <> ''], 1) AS i FROM records WHERE ok),
 sl AS (SELECT ord, i, regexp_replace(regexp_replace(regexp_replace(lower(url_decode(s)), '{_PAGE_FILE}', ''), '[^a-z0-9._-]+', '-', 'g'), '^-+|-+$', '', 'g') AS c FROM seg),
 lists AS (SELECT ord, list({_SLUG} ORDER BY i) AS parts FROM sl GROUP BY ord),
-full0 AS (SELECT r.ord, r.url, coalesce(l.parts, []) || CASE WHEN r.path LIKE '%/' OR l.parts IS NULL THEN ['index'] ELSE [] END AS parts FROM records r LEFT JOIN lists l USING (ord)),
+full0 AS (SELECT r.ord, r.url, coalesce(l.parts, []) || CASE WHEN r.path LIKE '%/' OR l.parts IS NULL THEN ['index'] ELSE [] END AS parts FROM records r LEFT JOIN lists l USING (ord) WHERE ok),
 pre AS (SELECT coalesce(max(k), 0) AS cut FROM (SELECT k FROM range(1, 33) t(k), full0 GROUP BY k HAVING count(DISTINCT parts[1:k]) = 1 AND min(len(parts)) >= k)),
 base AS (SELECT ord, url, CASE WHEN len(parts) <= cut THEN 'index' ELSE array_to_string(parts[cut + 1:], '/') END AS base FROM full0, pre),
 out_ AS (SELECT ord, url, base || CASE WHEN count(*) OVER (PARTITION BY base) > 1 THEN '-' || sha256(url)[1:8] ELSE '' END || '.md' AS output_path FROM base)"""
+_PATHS = f"{_records_sql(False)},\n{_PLACES}"
 
 
 @query(f"WITH {_PATHS} SELECT ord, output_path FROM out_")
@@ -435,7 +436,20 @@ def manifest_rows(spark, sf_dir):
     return rows.select("ord", "url", "status", "source", "output_path", "content_hash", "bytes", "content_bytes", "output_hash")
 
 
-@query()
+_J = "to_json({0})::VARCHAR"
+_HUNDREDTHS = "CASE WHEN points % 100 = 0 THEN (points // 100)::VARCHAR ELSE rtrim((points / 100.0)::DECIMAL(3, 2)::VARCHAR, '0') END"
+_REASONS = """array_to_string([x for x in [CASE WHEN NOT titled THEN '"missing title"' END, CASE WHEN w < 40 AND NOT useful THEN '"thin content"' END] if x IS NOT NULL], ',')"""
+
+
+@query(f"""
+WITH {_records_sql()},
+{_PLACES},
+why AS (SELECT ord, {_REASONS} AS reasons FROM r2),
+m AS (SELECT r.*, o.output_path, y.reasons, CASE WHEN ok THEN {_RENDERED.replace('(url)', '(r.url)')} END AS page FROM records r LEFT JOIN out_ o USING (ord) JOIN why y USING (ord))
+SELECT ord, '{{"ok":' || ok || ',"url":' || {_J.format('url')} || ',"finalUrl":' || {_J.format('url')} || CASE WHEN ok THEN ',"title":' || {_J.format('title')} ELSE '' END || ',"links":[],"status":' || status
+ || ',"contentHash":"' || content_hash || '","extractor":"' || CASE WHEN ok THEN 'html' ELSE 'none' END || '","confidence":' || {_HUNDREDTHS} || ',"qualityReasons":[' || CASE WHEN ok THEN reasons ELSE '' END || '],"source":"' || source || '"'
+ || CASE WHEN ok THEN ',"outputPath":"' || output_path || '"' ELSE ',"error":"' || CASE status WHEN 0 THEN 'request timed out' ELSE 'HTTP ' || status END || '","failureKind":"' || failure_kind || '"' END
+ || ',"bytes":' || coalesce(octet_length(encode(page)), 0) || ',"contentBytes":' || octet_length(encode(markdown)) || CASE WHEN ok THEN ',"outputHash":"' || sha256(page) || '"' ELSE '' END || '}}' AS value FROM m""")
 def manifest_lines(spark, sf_dir):
     return render.manifest_lines(paths.assign_paths(_records(spark, sf_dir)))
 
@@ -528,18 +542,41 @@ def body_class(spark, sf_dir):
 # Operators that read trees or iterate.
 
 
-@query()
+_PLAINLY = "replace(replace(replace(regexp_replace(regexp_replace({0}, '<[^>]*>', '', 'g'), '[{1}]+', ' ', 'g'), '&quot;', '\"'), '&lt;', '<'), '&amp;', '&')"
+
+
+@query(f"""
+WITH a AS (SELECT page_id AS ord, regexp_extract(html, '(?s)<article>(.*?)</article>', 1) AS html FROM pages),
+b AS (SELECT ord, trim({_PLAINLY.format("regexp_extract(html, '(?s)<h1>(.*?)</h1>', 1)", WS)}) AS title, string_split(html, '<p>')[2:] AS ps FROM a),
+c AS (SELECT ord, title, [CASE WHEN starts_with(p, '<b>') THEN '**' || trim({_PLAINLY.format('p', WS)}) || '**' ELSE trim({_PLAINLY.format('p', WS)}) END for p in ps] AS ps FROM b),
+d AS (SELECT ord, title, '# ' || title || array_to_string([chr(10) || chr(10) || p for p in ps if p <> ''], '') AS markdown FROM c),
+e AS (SELECT *, {words('markdown')} AS w, length(markdown) AS n, regexp_matches(markdown, '[.!?][{WS}]') AS stop FROM d),
+f AS (SELECT *, (w >= 10 AND n >= 80 AND regexp_matches(markdown, '[.!?]')) OR (w >= 24 AND n >= 180 AND stop) AS useful FROM e)
+SELECT ord, true AS ok, title, 'html' AS extractor, CASE WHEN w >= 40 THEN 1.0 ELSE 0.65 END::DOUBLE AS confidence, CASE WHEN w < 40 AND NOT useful THEN 'thin content' ELSE '' END AS reasons,
+  sha256(markdown) AS content_hash, 0 AS n_links, markdown FROM f""")
 def extract_pages(spark, sf_dir):
     rows = extract.extract(P.pages_to_fetched(table(spark, sf_dir, "pages")))
     return rows.select("ord", "ok", "title", "extractor", "confidence", F.array_join("quality_reasons", ", ").alias("reasons"), "content_hash", F.size("links").alias("n_links"), "markdown")
 
 
-@query()
+def _anchors_sql(html: str) -> str:
+    """Links of the anchors in `html`, in order, with characters beyond ASCII escaped and each place of a page once."""
+    encoded = "array_to_string([CASE WHEN unicode(c) > 127 THEN url_encode(c) ELSE c END for c in string_split(regexp_extract(a, '^[^?#]*'), '')], '')"
+    return f"""WITH {PARTS},
+h AS (SELECT page_id, url AS src, origin, regexp_extract_all({html}, '<a href="([^"]*)"', 1) AS hs FROM parts),
+a AS (SELECT page_id, src, generate_subscripts(hs, 1) AS i, origin, unnest(hs) AS h FROM h),
+b AS (SELECT page_id, src, i, replace(CASE WHEN starts_with(h, '/') AND NOT starts_with(h, '//') THEN origin || h ELSE h END, '&amp;', '&') AS a FROM a),
+c AS (SELECT page_id, src, min(i) AS i, {encoded} AS dst FROM b GROUP BY page_id, src, 4)
+SELECT src, CAST(row_number() OVER (PARTITION BY page_id ORDER BY i) - 1 AS INTEGER) AS pos, dst FROM c
+WHERE NOT regexp_matches(dst, '(?i)%e2%80%a6') AND NOT regexp_matches(regexp_extract(dst, '^[A-Za-z]+://[^/]*(.*)$', 1), '{NON_PAGE}')"""
+
+
+@query(_anchors_sql(_PLAIN))
 def dom_links(spark, sf_dir):
     return crawl.page_links(table(spark, sf_dir, "pages"))
 
 
-@query()
+@query(_anchors_sql("regexp_extract(html, '(?s)<nav>(.*?)</nav>', 1)"))
 def nav_links(spark, sf_dir):
     return crawl.page_links(table(spark, sf_dir, "pages"), "nav")
 
@@ -715,3 +752,150 @@ def asset_pages(spark, sf_dir):
     scripts = pages.select(F.concat("home", F.lit("main.js")).alias("url"), main.alias("body")).unionByName(pages.select(F.concat("home", F.lit("part-"), number, F.lit(".js")).alias("url"), part.alias("body")))
     apps = pages.select(F.col("home").alias("seed"), F.col("home").alias("base"), F.concat("home", F.lit("main.js")).alias("script"))
     return assets.asset_pages(apps, scripts)
+
+
+# Texts, references and bodies of made-up pages, one or a few for each page of the table.
+
+_BANNER = (
+    "> ## Documentation Index", "> Fetch the complete documentation index at: https://d.example/llms.txt",
+    "> Use this file to discover all available pages before exploring further.", "", "",
+)
+
+
+@query("""
+SELECT page_id, CASE page_id % 3 WHEN 2 THEN 'Before' || repeat(chr(10), 2) || '> ## Documentation Index' || chr(10) || '> Fetch the complete documentation index at: https://d.example/llms.txt' || chr(10)
+    || '> Use this file to discover all available pages before exploring further.' || repeat(chr(10), 2) ELSE '' END
+  || array_to_string(['### Part ' || page_id, 'first', '', '```ts', '<Tabs>', 'code {x}', '', '```', '### [Go](/g/' || page_id || ')', '<Custom>', 'kept ' || page_id, '</Custom>'], chr(10)) AS markdown FROM pages""")
+def cleaned_markdown(spark, sf_dir):
+    """Pages written with components: with an index banner at the start, without, and with one further down, which stays."""
+    number = F.col("page_id").cast("string")
+    lines = (
+        "<Tabs>", "  <Tab title=\"Part @\">", "    first", "", "", "", "", "    ```ts title=\"x @\"", "    <Tabs>", "    code {x}", "", "", "", "    ```", "  </Tab>", "</Tabs>",
+        "<Card title='Go' href=\"/g/@\" />", '<iframe src="x" />', "<Custom>", "kept @", "</Custom>", "", "",
+    )
+    body = F.replace(F.lit("\n".join(lines)), F.lit("@"), number)
+    banner = "\n".join(_BANNER)
+    start = F.get(F.array(F.lit(""), F.lit(banner), F.lit("Before\n\n" + banner)), F.pmod("page_id", F.lit(3)).cast("int"))
+    return table(spark, sf_dir, "pages").select("page_id", clean_markdown(F.concat(start, body)).alias("markdown"))
+
+
+@query(f"""
+WITH {PARTS}
+SELECT page_id, origin || '/docs/a' || page_id || '.html ' || origin || '/docs/guide/f' || page_id || '.md ' || origin || '/rooted/' || page_id || ' https://other.example/p' || page_id || '/q' AS links FROM parts""")
+def text_references(spark, sf_dir):
+    """What a text below /docs/guide/ refers to: links, bare URLs and rooted paths, each once; places to sign in are no pages, and a directory said twice counts once."""
+    text = "[a](../a@.html?x=1#y) and [b](docs/guide/f@.md) then https://other.example/p@//q, also /rooted/@. See [again](/rooted/@) or [in](/login)"
+    body = F.replace(F.lit(text), F.lit("@"), F.col("page_id").cast("string"))
+    links = U.same_scope_links(body, F.concat(U.origin("url"), F.lit("/docs/guide/index.html")))
+    return table(spark, sf_dir, "pages").select("page_id", F.array_join(links, " ").alias("links"))
+
+
+@query(f"""
+WITH {PARTS}, o AS (SELECT page_id, origin || '/d' || page_id AS home, origin, page_id % 3 <> 0 AS hinted FROM parts)
+SELECT home || '/llms.txt' AS url, unnest(CASE WHEN hinted THEN [0, 1, 2, 3, 4] ELSE [0, 1, 2, 3] END) AS pos,
+  unnest([home || '/in', origin || '/other/' || page_id, 'https://more.example/m' || page_id] || CASE WHEN hinted THEN [home || '/llms-full.txt'] ELSE [] END || [home || '/chat/x']) AS link FROM o""")
+def ranked_index_links(spark, sf_dir):
+    """An index a page, whose links are ranked: inside first, then outside, full texts (which two of three mention), and chats last; a line of languages has none."""
+    lines = "# D\n- [chat](/d@/chat/x) and [second](/d@/second)\n- [out](/other/@)\n- [in](/d@/in)\nAlso at https://more.example/m@.\n12 pages in /docs/fr \n"
+    number = F.col("page_id").cast("string")
+    hint = F.when(F.col("page_id") % 3 != 0, "See llms-full.txt").otherwise("")
+    files = table(spark, sf_dir, "pages").select(
+        F.concat(U.origin("url"), F.lit("/d"), number, F.lit("/llms.txt")).alias("url"), F.lit("text/plain").alias("content_type"), F.concat(F.replace(F.lit(lines), F.lit("@"), number), hint).alias("body")
+    )
+    return llms_index.links_table(files, ranked=True)
+
+
+def _archived(pages: DataFrame, url: Column, status: Column | int, body: Column, headers: Column) -> DataFrame:
+    """Answers of an archive, one a row of `pages`."""
+    status = F.lit(status) if isinstance(status, int) else status
+    return pages.select(url.alias("url"), status.cast("int").alias("status"), headers.alias("headers"), F.array().cast("array<string>").alias("set_cookies"), body.alias("body"))
+
+
+@query("""
+SELECT page_id AS ord, CASE page_id % 7 WHEN 3 THEN '<meta charset="latin1">' ELSE '' END || CASE WHEN page_id % 7 = 4 THEN chr(65533) WHEN page_id % 7 = 6 THEN chr(129) ELSE 'é' END || ' ' || page_id AS body FROM pages""")
+def decoded_bodies(spark, sf_dir):
+    """Bodies by their encoding: windows-1252 and a byte it leaves open by header, marks of UTF-16 and UTF-8 (against the header), the page's word, broken and plain UTF-8."""
+    pages = table(spark, sf_dir, "pages").select("page_id").withColumn("way", F.col("page_id") % 7)
+    way, text = F.col("way"), F.concat(F.lit(" "), F.col("page_id"))
+    ascii_, mark = F.encode(text, "UTF-8"), lambda x: F.unhex(F.lit(x))
+    body = (
+        F.when(way == 0, F.concat(mark("E9"), ascii_)).when(way == 1, F.concat(mark("FFFE"), F.encode(F.concat(F.lit("é"), text), "UTF-16LE"))).when(way == 2, F.concat(mark("EFBBBFC3A9"), ascii_))
+        .when(way == 3, F.concat(F.encode(F.lit('<meta charset="latin1">'), "UTF-8"), mark("E9"), ascii_)).when(way == 4, F.concat(mark("FF"), ascii_)).when(way == 6, F.concat(mark("81"), ascii_))
+        .otherwise(F.concat(mark("C3A9"), ascii_))
+    )
+    kind = F.when(way.isin(0, 2, 6), "text/html; charset=iso-8859-1").otherwise("text/html")
+    url = F.concat(F.lit("https://e.example.org/enc/"), F.col("page_id"))
+    archive = _archived(pages, url, 200, body, F.create_map(F.lit("Content-Type"), kind))
+    wanted = pages.select(F.col("page_id").alias("ord"), url.alias("url"), F.lit("crawl").alias("source"))
+    return A.fetch(wanted, archive).select("ord", "body")
+
+
+_ROUTES = (
+    # end of the address asked for, end of the address in the end, status, body, failure
+    ("/x/@.html", "/x/@", 200, "page @", None), ("/@.md", "/docs/@.md", 200, "page @", None), ("/y/@.md", "/y/@", 200, "page @", None), ("/big/@", "/big/@", 200, None, "too_large"),
+    ("/loop/@", "/loop/@", 302, None, "http"), ("/moved/@", "/login", 200, "page @", "blocked"), ("/waf/@", "/waf/@", 202, None, "blocked"), ("/none/@.html", "/none/@", 0, None, "fetch"),
+)
+
+
+@query(f"""
+WITH r(way, first_, last_, status, body, failure_kind) AS (VALUES {', '.join(f"({i}, '{a}', '{b}', {c}, {'NULL' if d is None else repr(d)}, {'NULL' if e is None else repr(e)})" for i, (a, b, c, d, e) in enumerate(_ROUTES))})
+SELECT page_id AS ord, 'https://h' || page_id || '.example.org' || replace(first_, '@', page_id::VARCHAR) AS url, 'https://h' || page_id || '.example.org' || replace(last_, '@', page_id::VARCHAR) AS final_url, status,
+  failure_kind IS NULL AS ok, failure_kind, replace(body, '@', page_id::VARCHAR) AS body FROM pages JOIN r ON way = page_id % {len(_ROUTES)}""")
+def fetch_routes(spark, sf_dir):
+    """Ways of an answer: a file name without its ending, a document below /docs, one of front matter only, a body above the limit, a circle, a page to sign in, a challenge, an address that is lacking."""
+    pages = table(spark, sf_dir, "pages").select("page_id").withColumn("way", (F.col("page_id") % len(_ROUTES)).cast("int"))
+    pick = lambda i: F.replace(F.get(F.array(*[F.lit(r[i]) for r in _ROUTES]), F.col("way")), F.lit("@"), F.col("page_id").cast("string"))
+    home = F.concat(F.lit("https://h"), F.col("page_id"), F.lit(".example.org"))
+    first, last = F.concat(home, pick(0)), F.concat(home, pick(1))
+    text, nothing = F.encode(F.concat(F.lit("page "), F.col("page_id")), "UTF-8"), F.encode(F.lit(""), "UTF-8")
+    header = F.create_map(
+        F.lit("content-length"), F.when(F.col("way") == 3, "5000").otherwise(""), F.lit("location"), F.when(F.col("way") == 4, first).when(F.col("way") == 5, last).otherwise(""),
+        F.lit("x-amzn-waf-action"), F.when(F.col("way") == 6, "challenge").otherwise(""),
+    )
+    front = F.when(F.col("way") == 2, F.encode(F.lit("---\ntitle: x\n---\n"), "UTF-8")).otherwise(nothing)
+    status = F.when(F.col("way").isin(0, 7), 404).when(F.col("way") == 1, 410).when(F.col("way") == 4, 302).when(F.col("way") == 5, 301).when(F.col("way") == 6, 202).otherwise(200)
+    answers = _archived(pages, first, status, front, header)
+    ends = _archived(pages.where("way in (0, 1, 2, 5)"), last, 200, text, F.create_map(F.lit("content-type"), F.lit("text/html")))
+    wanted = pages.select(F.col("page_id").alias("ord"), first.alias("url"), F.lit("crawl").alias("source"))
+    got = A.reject_non_pages(A.fetch(wanted, answers.unionByName(ends), max_bytes=1000))
+    return got.select("ord", "url", "final_url", "status", "ok", "failure_kind", F.nullif("body", F.lit("")).alias("body"))
+
+
+_WORDS = " ".join(f"plain words number {w} stand here," for w in ("one", "two", "three", "four", "five", "six", "seven", "eight")) + " and so it ends."
+_SAID = ". ".join(f"A told sentence has number {w}" for w in ("one", "two", "three", "four", "five", "six", "seven", "eight"))
+_EXTRACTED = (
+    # content type, end of the address, body, then: title, Markdown, extractor, failure, error, end of the canonical address
+    ("application/json", "/api/@.json", '{"n": @}', "/api/@.json", '# /api/@.json|||```json|{"n": @}|```', "text", None, None, None),
+    ("", "/a/@.yml", "a: ```", "/a/@.yml", "# /a/@.yml||````yaml|a: ```|````", "text", None, None, None),
+    ("text/markdown", "/m/@", "# Head @||Some words.", "Head @", "# Head @||Some words.", "markdown", None, None, None),
+    ("text/html", "/p/@", "plain @", "/p/@", "plain @", "markdown", None, None, None),
+    ("text/html", "/c/@", "<html><head><title>Client Challenge</title></head><body><main><p>" + _WORDS + "</p></main></body></html>", None, "", "none", "blocked", "blocked by client challenge", None),
+    ("text/html", "/s/@", '<html><body><div id="app"></div></body></html>', None, "", "none", "empty", "app shell without static text", None),
+    ("text/html", "/e/@", "<html><body></body></html>", None, "", "none", "empty", "empty content", None),
+    ("text/html", "/d/@", '<html><head><title>Page @</title><meta name="description" content="Nine short words tell what it is of."></head><body></body></html>', "Page @", "# Page @||Nine short words tell what it is of.", "fallback", None, None, None),
+    ("text/html", "/h/@", '<html><head><title>T</title><link rel="canonical" href="/h/@?x=1#y"></head><body><main><h1>Head @</h1><p>' + _WORDS + "</p></main></body></html>", "Head @", "# Head @||" + _WORDS, "html", None, None, "/h/@"),
+    ("text/html", "/j/@", '<html><head><title>App @</title></head><body><script>self.push({"children":"' + _SAID.replace(". ", '","children":"') + '"})</script></body></html>', "App @", "# App @||" + _SAID.replace(". ", "||"), "fallback", None, None, None),
+    ("text/html", "/select-language", '<html><body><main class="ecl-splash-page__language"><h1>Choose</h1><p>' + _WORDS + "</p></main></body></html>", None, "", "none", "empty", "language selector without article content", None),
+)
+
+
+def _lines(text: str | None) -> str | None:
+    return None if text is None else text.replace("|||", "\n\n").replace("||", "\n\n").replace("|", "\n")
+
+
+def _literal(value: str | None) -> str:
+    return "NULL" if value is None else "'" + value.replace("'", "''").replace("\n", "' || chr(10) || '") + "'"
+
+
+@query(f"""
+WITH {PARTS}, x(way, ending, title, markdown, extractor, failure_kind, error, canonical) AS (VALUES {', '.join(f"({i}, {', '.join(_literal(_lines(v)) for v in (r[1], *r[3:]))})" for i, r in enumerate(_EXTRACTED))}),
+f AS (SELECT *, '@' AS mark, page_id::VARCHAR AS n FROM parts JOIN x ON way = page_id % {len(_EXTRACTED)})
+SELECT page_id AS ord, failure_kind IS NULL AS ok, replace(title, mark, n) AS title, replace(markdown, mark, n) AS markdown, extractor, failure_kind, error, origin || replace(canonical, mark, n) AS canonical_url,
+  CASE WHEN failure_kind IS NULL THEN sha256(replace(markdown, mark, n)) ELSE '' END AS content_hash, way = 7 AS capped FROM f""")
+def extracted_records(spark, sf_dir):
+    """One small body a page, of all kinds: structured texts, Markdown, a challenge, shells, empty ones, descriptions only, an article, texts that only scripts hold, a choice of languages."""
+    pages = table(spark, sf_dir, "pages").withColumn("way", (F.col("page_id") % len(_EXTRACTED)).cast("int"))
+    pick = lambda i: F.replace(F.get(F.array(*[F.lit(_lines(r[i])) for r in _EXTRACTED]), F.col("way")), F.lit("@"), F.col("page_id").cast("string"))
+    made = pages.select("page_id", F.concat(U.origin("url"), pick(1)).alias("url"), pick(2).alias("html"), pick(0).alias("kind"))
+    fetched = P.pages_to_fetched(made).join(made.select(F.col("page_id").alias("ord"), "kind"), "ord").withColumn("content_type", F.col("kind")).drop("kind")
+    return extract.extract(fetched).select("ord", "ok", "title", "markdown", "extractor", "failure_kind", "error", "canonical_url", "content_hash", ((F.col("extractor") == "fallback") & (F.col("confidence") == 0.55)).alias("capped"))

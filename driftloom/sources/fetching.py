@@ -219,10 +219,14 @@ def encodings(body: bytes, content_type: str) -> list[str]:
     return list(dict.fromkeys(s for s in [*said, "utf-8"] if s))
 
 
+# The web reads the bytes that windows-1252 leaves open as controls.
+codecs.register_error("c1", lambda fault: ("".join(map(chr, fault.object[fault.start : fault.end])), fault.end))
+
+
 def decode(body: bytes, content_type: str = "") -> str:
     for name in encodings(body, content_type):
         try:
-            return codecs.decode(body, name).removeprefix("﻿")
+            return codecs.decode(body, name, "c1" if name == "cp1252" else "strict").removeprefix("﻿")
         except (LookupError, UnicodeError, TypeError):
             continue
     return body.decode("utf-8", "replace").removeprefix("﻿")
