@@ -125,18 +125,19 @@ def tasks_for(spark: SparkSession, n: int, rows: int = ROWS_PER_TASK) -> int:
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n // rows))
 
 
-def ranked(df: DataFrame, groups: list[str], order: list[Column], n: int, out: str, deal: list[Column] | None = None) -> DataFrame:
+def ranked(df: DataFrame, groups: list[str], order: list[Column], n: int, out: str, deal: list[Column] | None = None, piece: Column | None = None) -> DataFrame:
     """Gapless rank from 0 inside each group without one task per group.
 
     Rows are dealt by a hash of `deal` (the order columns, if not given) into
     cells of about bounded size; cells are ranked alone, then shifted by the
     number of rows in the group's earlier cells. The rank is a permutation
     fixed by these columns, not a global sort by them; rows equal in `deal`
-    get ranks close together.
+    get ranks close together. `piece` cuts a cell further, in its order, where
+    rows equal in `deal` would make it too large.
     """
     cells = max(1, -(-n // ROWS_PER_TASK)) * 64
     cell = F.pmod(F.xxhash64(*(deal or order)), F.lit(cells)).cast("int")
-    dealt = df.withColumn("__dl_cell", cell)
+    dealt = df.withColumn("__dl_cell", F.struct(cell.alias("cell"), (F.lit(0) if piece is None else piece).cast("int").alias("piece")))
     keys = [*groups, "__dl_cell"]
     counts = dealt.groupBy(*keys).agg(F.count(F.lit(1)).alias("__dl_n"))
     before = W.partitionBy(*groups).orderBy("__dl_cell").rowsBetween(W.unboundedPreceding, -1)

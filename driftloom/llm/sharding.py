@@ -14,7 +14,7 @@ most. A hub larger than a shard is cut into halves of a shard first.
 Every choice depends on a hash of doc_id, text and copy number (of rows equal in
 both), never on the place of a row in the table, so the result is the same for
 any layout. Only tables of 16 rows, or 16 by 4,096, are gathered; ranks are
-taken inside bounded cells.
+taken inside bounded cells, and a hub too large for one is ranked in pieces.
 
 Defined results: null text is an empty text of size 1; null doc_ids are placed
 like others; repeated rows are told apart by their copy number; texts are read
@@ -106,12 +106,22 @@ def _spread(state: DataFrame, limit: list[int]) -> DataFrame:
     return state
 
 
-def _fitted(state: DataFrame, quota: list[int], n: int) -> DataFrame:
+def _pieces(rows: DataFrame, sizes: DataFrame, most: int) -> DataFrame:
+    """`rows` with `piece`: 0, and in hubs whose `copies` in `sizes` exceed `most` one of the pieces of about that size, by key."""
+    heavy = rt.materialise(sizes.where(F.col("copies") > most).select("hub", F.ceil(F.col("copies") / most).alias("pieces")), "heavy")
+    if heavy.isEmpty():
+        return rows.withColumn("piece", F.lit(0))
+    return rows.join(heavy, "hub", "left").withColumn("piece", F.coalesce(F.pmod("key", "pieces"), F.lit(0))).drop("pieces")
+
+
+def _fitted(state: DataFrame, quota: list[int], n: int, most: int = rt.ROWS_PER_TASK) -> DataFrame:
     """Drop what a shard holds beyond its quota, whole hubs as far as possible."""
     if all(x <= q for x, q in zip(_loads(state, len(quota)), quota, strict=True)):
         return state
     order = [F.col("hub"), F.col("key")]
-    return rt.ranked(state, ["shard"], order, n, "__dl_rank", deal=[F.col("hub")]).where(F.col("__dl_rank") < F.get(_longs(quota), F.col("shard"))).drop("__dl_rank")
+    sizes = state.groupBy("hub").agg(F.count(F.lit(1)).alias("copies"))
+    ranks = rt.ranked(_pieces(state, sizes, most), ["shard"], order, n, "__dl_rank", deal=[F.col("hub")], piece=F.col("piece"))
+    return ranks.where(F.col("__dl_rank") < F.get(_longs(quota), F.col("shard"))).drop("__dl_rank", "piece")
 
 
 def keyed(docs: DataFrame) -> DataFrame:
@@ -131,24 +141,24 @@ def keyed(docs: DataFrame) -> DataFrame:
     return rt.materialise(rows.join(again, "node", "left").withColumn("key", F.xxhash64("hub", "doc_id", copy)).drop("copy"), "keyed")
 
 
-def shard(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
-    """doc_id, size, text_crc32, law, shard, slot, grown_shard of each document."""
+def shard(docs: DataFrame, shards: int = SHARDS, most: int = rt.ROWS_PER_TASK) -> DataFrame:
+    """doc_id, size, text_crc32, law, shard, slot, grown_shard of each document; hubs above `most` rows are ranked in pieces."""
     rows = keyed(docs)
     n = rows.count()
     quota = quotas(n, shards)
     share = max(1, n // shards)
+    # Written first, so that the join below can split a hot group.
+    groups = rt.materialise(rows.groupBy("hub").agg(F.count(F.lit(1)).alias("copies")).where("copies > 1"), "groups")
     with rt.passing():
-        # Written first, so that the join below can split a hot group.
-        groups = rt.materialise(rows.groupBy("hub").agg(F.count(F.lit(1)).alias("copies")).where("copies > 1"), "groups")
         parts = F.when(F.col("copies") > share, F.ceil(F.col("copies") * 2 / F.lit(share))).otherwise(1)
         linked = rows.join(groups, "hub").select("node", "key", _part(F.col("hub"), F.col("key"), parts).alias("hub"))
         limit = [q + int(SLACK * q) for q in quota]
         state = _spread(propagate(linked, quota), limit)
-        placed = rt.materialise(_fitted(state, quota, n).select("node", "shard"), "placed")
+        placed = rt.materialise(_fitted(state, quota, n, most).select("node", "shard"), "placed")
     left = [q - x for q, x in zip(quota, _loads(placed, shards), strict=True)]
     ends = [sum(left[: i + 1]) for i in range(shards)]
     rest = rows.join(placed, "node", "left_anti").select("node", "hub", "key")
-    rest = rt.ranked(rest, [], [F.col("hub"), F.col("key")], n, "__dl_rank", deal=[F.col("hub"), F.pmod("key", F.lit(64))])
+    rest = rt.ranked(_pieces(rest, groups, most), [], [F.col("hub"), F.col("key")], n, "__dl_rank", deal=[F.col("hub")], piece=F.col("piece"))
     rest = rest.select("node", F.size(F.filter(_longs(ends), lambda x: x <= F.col("__dl_rank"))).alias("shard"))
     every = rows.drop("hub").join(placed.unionByName(rest), "node")
     return rt.ranked(every, ["shard"], [F.col("key"), F.col("doc_id")], n, "slot").select(

@@ -229,6 +229,26 @@ def test_sharding_on_groups(spark):
     assert sum(len(s) > 1 for t, s in shards.items() if t.startswith("group")) == 0
 
 
+def test_hubs_ranked_in_pieces_lose_no_row(spark):
+    """A third of all rows are copies; hubs above ten rows are ranked in pieces, with the same sizes in any layout."""
+    rows = [(i, f"single {i}") for i in range(500)] + [(1000 + i, "hot") for i in range(400)] + [(2000 + i, f"warm {i % 5}") for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = [sorted((r.doc_id, r.shard, r.slot) for r in sharding.shard(docs.repartition(k), 16, most=10).collect()) for k in (1, 5)]
+    assert found[0] == found[1] and [d for d, _, _ in found[0]] == [d for d, _ in rows]
+    for s in range(16):
+        slots = sorted(slot for _, shard, slot in found[0] if shard == s)
+        assert slots == list(range(75))
+
+
+def test_pieces_keep_the_order_of_cells(spark):
+    """Hubs stay together through pieces, so a quota cuts few of them."""
+    rows = [(f"h{h}".encode(), 100 * h + i, 0) for h in range(12) for i in range(40)]
+    state = spark.createDataFrame([(*r, r[1]) for r in rows], "hub binary, key long, shard int, node long")
+    kept = sharding._fitted(state, [240], len(rows), most=8).groupBy("hub").count().collect()
+    assert sum(r["count"] for r in kept) == 240
+    assert sum(r["count"] == 40 for r in kept) >= 4
+
+
 def test_sharding_when_all_are_linked(spark):
     rows = [(10 * g + j, f"group {g}") for g in range(50) for j in range(5)]
     got = sharding.shard(spark.createDataFrame(rows, "doc_id long, text string"), 16).collect()
