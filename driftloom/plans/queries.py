@@ -2,7 +2,8 @@
 
 Where a query has SQL here, both give the same rows. Where the tables lack the
 shapes that an operator is for, a query makes them up, one or a few a page, and
-its SQL states what must come out. A whole run (`page_corpus`) has none.
+its SQL states what must come out. The whole run `page_corpus` has none itself;
+`corpus_manifest` compares it, with lists joined.
 """
 
 from __future__ import annotations
@@ -545,15 +546,17 @@ def body_class(spark, sf_dir):
 _PLAINLY = "replace(replace(replace(regexp_replace(regexp_replace({0}, '<[^>]*>', '', 'g'), '[{1}]+', ' ', 'g'), '&quot;', '\"'), '&lt;', '<'), '&amp;', '&')"
 
 
-@query(f"""
-WITH a AS (SELECT page_id AS ord, regexp_extract(html, '(?s)<article>(.*?)</article>', 1) AS html FROM pages),
+_ARTICLES = f"""a AS (SELECT page_id AS ord, regexp_extract(html, '(?s)<article>(.*?)</article>', 1) AS html FROM pages),
 b AS (SELECT ord, trim({_PLAINLY.format("regexp_extract(html, '(?s)<h1>(.*?)</h1>', 1)", WS)}) AS title, string_split(html, '<p>')[2:] AS ps FROM a),
 c AS (SELECT ord, title, [CASE WHEN starts_with(p, '<b>') THEN '**' || trim({_PLAINLY.format('p', WS)}) || '**' ELSE trim({_PLAINLY.format('p', WS)}) END for p in ps] AS ps FROM b),
 d AS (SELECT ord, title, '# ' || title || array_to_string([chr(10) || chr(10) || p for p in ps if p <> ''], '') AS markdown FROM c),
 e AS (SELECT *, {words('markdown')} AS w, length(markdown) AS n, regexp_matches(markdown, '[.!?][{WS}]') AS stop FROM d),
-f AS (SELECT *, (w >= 10 AND n >= 80 AND regexp_matches(markdown, '[.!?]')) OR (w >= 24 AND n >= 180 AND stop) AS useful FROM e)
-SELECT ord, true AS ok, title, 'html' AS extractor, CASE WHEN w >= 40 THEN 1.0 ELSE 0.65 END::DOUBLE AS confidence, CASE WHEN w < 40 AND NOT useful THEN 'thin content' ELSE '' END AS reasons,
-  sha256(markdown) AS content_hash, 0 AS n_links, markdown FROM f""")
+f AS (SELECT *, (w >= 10 AND n >= 80 AND regexp_matches(markdown, '[.!?]')) OR (w >= 24 AND n >= 180 AND stop) AS useful FROM e),
+g AS (SELECT *, CASE WHEN w >= 40 THEN 100 ELSE 65 END AS points, CASE WHEN w < 40 AND NOT useful THEN 'thin content' ELSE '' END AS reasons FROM f)"""
+
+
+@query(f"""WITH {_ARTICLES}
+SELECT ord, true AS ok, title, 'html' AS extractor, points / 100.0::DOUBLE AS confidence, reasons, sha256(markdown) AS content_hash, 0 AS n_links, markdown FROM g""")
 def extract_pages(spark, sf_dir):
     rows = extract.extract(P.pages_to_fetched(table(spark, sf_dir, "pages")))
     return rows.select("ord", "ok", "title", "extractor", "confidence", F.array_join("quality_reasons", ", ").alias("reasons"), "content_hash", F.size("links").alias("n_links"), "markdown")
@@ -624,6 +627,30 @@ def page_corpus(spark, sf_dir):
     return render.manifest(P.run_corpus(P.pages_to_fetched(table(spark, sf_dir, "pages"))).records)
 
 
+_CORPUS_PAGE = """'---' || chr(10) || 'title: ' || to_json(title)::VARCHAR || chr(10) || 'url: ' || to_json(url)::VARCHAR || chr(10) || 'finalUrl: ' || to_json(url)::VARCHAR || chr(10) || 'status: 200' || chr(10)
+ || 'extractor: "html"' || chr(10) || 'confidence: ' || CASE points WHEN 100 THEN '1' ELSE '0.' || points END || chr(10) || 'contentHash: "' || sha256(markdown) || '"' || chr(10)
+ || CASE WHEN len(others) > 0 THEN 'aliases: [' || array_to_string([to_json(u)::VARCHAR for u in others], ',') || ']' || chr(10) ELSE '' END || '---' || chr(10) || markdown || chr(10)"""
+
+
+@query(f"""
+WITH {PARTS}, n AS ({SQL['normalize_urls'].replace('WITH ' + PARTS + ', clean', 'WITH clean')}), {_ARTICLES},
+x AS (SELECT g.*, p.url, p.origin, p.path, n.page_url IS NOT NULL AS ok FROM g JOIN parts p ON p.page_id = g.ord JOIN n ON n.page_id = g.ord),
+good AS (SELECT *, origin || {_keyed(_ROUTE)} AS route, points * 100 + least(w, 2000) AS score FROM x WHERE ok),
+grouped AS (SELECT *, row_number() OVER (PARTITION BY route ORDER BY score DESC, ord) AS place, min(ord) OVER (PARTITION BY route) AS first_, list(url) OVER (PARTITION BY route) AS urls FROM good),
+records AS (SELECT first_ AS ord, url, path, ok, title, markdown, points, reasons, list_sort(list_distinct([u for u in urls if u <> url])) AS others FROM grouped WHERE place = 1),
+{_PLACES},
+r AS (SELECT records.*, output_path, {_CORPUS_PAGE} AS page FROM records JOIN out_ USING (ord, url))
+SELECT ord, url, true AS ok, title, array_to_string(others, ' ') AS aliases, points / 100.0::DOUBLE AS confidence, reasons, sha256(markdown) AS content_hash, output_path, NULL AS error, NULL AS failure_kind,
+  CAST(octet_length(encode(page)) AS BIGINT) AS bytes, CAST(octet_length(encode(markdown)) AS BIGINT) AS content_bytes, sha256(page) AS output_hash FROM r
+UNION ALL SELECT ord, url, false, NULL, '', 0.0, '', '', NULL, 'redirected to a filtered non-page URL', 'blocked', 0, 0, NULL FROM x WHERE NOT ok""")
+def corpus_manifest(spark, sf_dir):
+    """The manifest of a whole run, as `page_corpus` gives it, with its lists joined."""
+    joined = lambda c: F.array_join(F.coalesce(c, F.array().cast("array<string>")), " ").alias(c)
+    return page_corpus(spark, sf_dir).select(
+        "ord", "url", "ok", "title", joined("aliases"), "confidence", F.array_join("quality_reasons", ", ").alias("reasons"), "content_hash", "output_path", "error", "failure_kind", "bytes", "content_bytes", "output_hash"
+    )
+
+
 # Discovery over tables of sites.
 
 
