@@ -99,3 +99,62 @@ def test_awkward_rows(spark, docs, none):
     left = S.drop_near_copies(docs)
     assert left.columns == docs.columns and S.drop_near_copies(none).count() == 0
     assert sorted((r.doc_id for r in left.collect()), key=str) == [1, 10, 11, 3, 4, 7, 9]
+
+
+def planted(rng, shared, only, other):
+    """Two sets of random hashes with so many in common."""
+    made = rng.integers(0, 1 << 63, shared + only + other, np.uint64) * np.uint64(2) + rng.integers(0, 2, shared + only + other, np.uint64)
+    return made[: shared + only], np.concatenate([made[:shared], made[shared + only :]])
+
+
+def test_fingerprint_by_definition():
+    found, _ = planted(np.random.default_rng(8), 300, 0, 0)
+    for n in (0, 1, 4, 300):
+        want = []
+        for times, plus in zip(S._TIMES[:, 0].tolist(), S._PLUS[:, 0].tolist(), strict=True):
+            ones = [0] * 64
+            for x in found[:n].tolist():
+                x = (x * times + plus) % (1 << 64)
+                x ^= x >> 32
+                x = x * 0x9E3779B97F4A7C15 % (1 << 64)
+                x ^= x >> 29
+                ones = [c + (x >> b & 1) for b, c in enumerate(ones)]
+            want.append(sum(1 << b for b, c in enumerate(ones) if 2 * c > n))
+        assert S.fingerprint(found[:n]).tolist() == want
+
+
+def test_pairs_at_the_least_similarity_meet_in_the_popcount_grid():
+    """Pairs at 0.8 share a cell and pass the Hamming check; strangers pass it never."""
+    rng = np.random.default_rng(9)
+    for shared, only, other in ((4, 0, 1), (8, 0, 2), (16, 2, 2), (40, 5, 5), (160, 0, 40), (800, 100, 100)):
+        lost = 0
+        for _ in range(200):
+            pair = planted(rng, shared, only, other)
+            prints, sizes = np.stack([S.fingerprint(x) for x in pair]), np.array([len(x) for x in pair])
+            tables = np.arange(S.TABLES * (3 if sizes.max() <= S.FEW else 1))
+            met = S.cells(prints, sizes, tables)
+            lost += not ((met[0] == met[1]).any() and S._away(prints[0, : S.HEAD], prints[1, : S.HEAD]) <= S.BITS)
+        assert lost == 0
+    far = np.stack([S.fingerprint(planted(rng, 100, 0, 0)[0]) for _ in range(200)])[:, : S.HEAD]
+    assert S.close_heads(far) == []
+
+
+def test_candidates_span_the_links_of_all_cells(spark):
+    """Also where cells are cut into blocks and where parts are not held whole."""
+    rng = np.random.default_rng(10)
+    sets = [x for _ in range(8) for x in planted(rng, 90, 5, 5)]
+    base, _ = planted(rng, 60, 0, 0)
+    sets += [np.concatenate([base, planted(rng, 2, 0, 0)[0]]) for _ in range(30)]
+    prints = [S.fingerprint(x) for x in sets]
+    names = [int(x[:1].view(np.int64)[0]) for x in prints]
+    S.rt.prepare(spark)
+    frame = spark.createDataFrame([(bytearray(x.tobytes()), len(s)) for x, s in zip(prints, sets, strict=True)], "print binary, size long")
+    for limits in ({}, {"block": 7}, {"limit": 20}):
+        group = {x: {x} for x in names}
+        edges = S.candidate_edges(frame, len(sets), **limits).collect()
+        assert len(edges) < 2 * len(sets)
+        for a, b in edges:
+            both = group[a] | group[b]
+            group |= dict.fromkeys(both, both)
+        want = [*(names[i // 2 * 2 :][:2] for i in range(16)), *[names[16:]] * 30]
+        assert [group[x] for x in names] == [set(x) for x in want]
