@@ -14,7 +14,9 @@ fingerprint, since at 0.8 up to 15.2 % of the bits of a SimHash differ.
    of a cell; each fingerprint enters one cell in each of TABLES tables.
    Fingerprints of up to FEW shingles, whose bits can differ more, enter three times as many.
 4. Hamming check: heads of one cell are linked if they differ in at most BITS bits.
-   Spanning forests of these links give components of candidates.
+   Spanning forests of these links give components of candidates. The components of
+   the first tables are handed to the later ones, which look only for links between
+   different components.
 5. Exact check: inside a component of candidates, sets are compared by the exact
    similarity, after the bound that the counts of SEGMENTS segments of the set
    itself (a bit vector with one bit for each possible hash) give: the Manhattan
@@ -32,10 +34,10 @@ Documents with equal sets fold to one node first. Inside a component of
 candidates a frontier search compares each member with those not reached yet, so
 near copies cost about as many steps as there are members and yield a spanning
 forest, not all pairs; members that stay unlinked are all compared. Cells above
-CELL members, and components above BLOCK members or BLOCK_BYTES, are cut into
-blocks by a hash, and each pair of blocks is searched in a task of its own, so
-none is held whole. The tables are filled STEP at a time, and the shuffle files of
-a step are deleted with it.
+CELL members that LEADS of their members do not join, and components above BLOCK
+members or BLOCK_BYTES, are cut into blocks by a hash, and each pair of blocks is
+searched in a task of its own, so none is held whole. The tables are filled in
+steps (ENDS), and the shuffle files of a step are deleted with it.
 
 Defined results: as in `simhash`: null text counts as empty; texts without words
 have equal, empty sets and are linked; texts are read whole; repeated rows are
@@ -47,6 +49,8 @@ handed on unchanged.
 from __future__ import annotations
 
 import contextlib
+import functools
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -63,12 +67,16 @@ from .simhash import embed as segment_counts
 WIDTH, LEAST = 5, 0.8
 #: Words of 64 bits of a fingerprint, those of its head, and the most bits that heads of linked documents differ in.
 WORDS, HEAD, BITS = 33, 3, 58
-#: Tables of the grid, segments that each takes as coordinates, and tables filled at a time.
+#: Tables of the grid, segments that each takes as coordinates, and most tables filled at a time.
 TABLES, COORDS, STEP = 384, 10, 48
+#: Tables filled after each step: few at first, as before the first components are known every table joins a group anew.
+ENDS = (8, *range(STEP, TABLES + 1, STEP))
+#: Steps after which the components are found again.
+ROOTED = 2
 #: Sets of up to so many shingles enter twice as many tables besides.
 FEW = 8
-#: Members of a cell whose heads are compared in one piece, and those compared in one vector step.
-CELL, WIDE = 1 << 14, 512
+#: Members of a cell whose heads are compared in one piece, those of a larger one that are compared with all first, and those compared in one vector step.
+CELL, LEADS, WIDE = 1 << 14, 256, 512
 #: Members of a part of a table on average, and those above which a part is not held whole.
 PART, HELD = 250_000, 4_000_000
 #: Segments of a shingle set: a power of two.
@@ -118,29 +126,44 @@ def _away(heads: np.ndarray, other: np.ndarray) -> np.ndarray:
     return sum(np.bitwise_count(heads[..., i] ^ other[..., i]).astype(np.int16) for i in range(heads.shape[-1]))
 
 
-def close_heads(heads: np.ndarray) -> list[tuple[int, int]]:
-    """Edges (by place) of a spanning forest of the heads within BITS."""
+def close_heads(heads: np.ndarray, roots: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """Edges (by place) of a spanning forest of the heads within BITS; those with equal `roots` count as joined."""
+    return _grow(heads, np.arange(len(heads)) if roots is None else roots)[0]
+
+
+def _grow(heads: np.ndarray, roots: np.ndarray, most: int | None = None) -> tuple[list[tuple[int, int]], np.ndarray]:
+    """Edges (by place) of a forest, and the roots with it; after `most` members have been compared with all left the search ends."""
+    names, codes = np.unique(roots, return_inverse=True)
+    joined, edges, near = np.arange(len(names)), [], None
+    if len(names) < 2:
+        return edges, roots
     if len(heads) <= WIDE:
         near = _away(heads[:, None], heads[None]) <= BITS
         if near.sum() == len(heads):
-            return []
-    else:
-        near = None
-    left, edges = np.arange(len(heads)), []
+            return edges, roots
+    left, popped = np.arange(len(heads)), 0
     while len(left):
-        frontier, left = [int(left[0])], left[1:]
+        own = codes[left[0]]
+        same = codes[left] == own
+        frontier, left = left[same].tolist(), left[~same]
         while frontier and len(left):
+            if popped == most:
+                return edges, names[joined[codes]]
+            popped += 1
             here = frontier.pop()
-            found = near[here, left] if near is not None else _away(heads[left], heads[here]) <= BITS
-            if found.any():
-                frontier.extend(left[found].tolist())
-                edges.extend((here, x) for x in left[found].tolist())
-                left = left[~found]
-    return edges
-
-
-def close_in_cells(keys: np.ndarray, heads: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Places of linked heads of cells that lie whole in sorted `keys`."""
+            found = left[near[here, left] if near is not None else _away(heads[left], heads[here]) <= BITS]
+            if len(found):
+                new, at = np.unique(codes[found], return_index=True)
+                joined[new] = own
+                edges.extend((here, x) for x in found[at].tolist())
+                same = joined[codes[left]] == own
+                frontier.extend(left[same].tolist())
+                left = left[~same]
+    return edges, names[joined[codes]]
+
+
+def close_in_cells(keys: np.ndarray, heads: np.ndarray, roots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of linked heads, of different `roots`, of cells that lie whole in sorted `keys`."""
     ends = np.flatnonzero(np.r_[keys[1:] != keys[:-1], True]) + 1
     starts = np.r_[0, ends[:-1]]
     sizes = ends - starts
@@ -152,6 +175,7 @@ def close_in_cells(keys: np.ndarray, heads: np.ndarray) -> tuple[np.ndarray, np.
         i = index[(index + d < rest) & ~long]
         if not len(i):
             break
+        i = i[roots[i] != roots[i + d]]
         near = i[_away(heads[i], heads[i + d]) <= BITS]
         first[near + d] = near
         left.append(near)
@@ -161,7 +185,7 @@ def close_in_cells(keys: np.ndarray, heads: np.ndarray) -> tuple[np.ndarray, np.
     needed = (a == first[b]) | (first[a] != first[b])
     left, right = [a[needed]], [b[needed]]
     for a, b in zip(starts[sizes > SHORT].tolist(), ends[sizes > SHORT].tolist(), strict=True):
-        if edges := close_heads(heads[a:b]):
+        if edges := close_heads(heads[a:b], roots[a:b]):
             pairs = np.array(edges, np.int64) + a
             left.append(pairs[:, 0])
             right.append(pairs[:, 1])
@@ -230,105 +254,126 @@ _HEAD = [f"head{i}" for i in range(HEAD)]
 _HEADS = ", ".join(f"{c} long" for c in _HEAD)
 
 
-def _cells(batches: Iterator[pa.RecordBatch], first: int, parts: int) -> Iterator[pa.RecordBatch]:
-    """The members of the tables of a step, by parts of a table: all cells, then all heads of some members in one value."""
-    tables = np.arange(first, min(first + STEP, TABLES))
+def _cells(batches: Iterator[pa.RecordBatch], tables: np.ndarray, parts: int) -> Iterator[pa.RecordBatch]:
+    """The members of some tables, by parts of a table: their number, and all cells, then all heads, then all known roots in one value.
+
+    Members whose root is known come first; the root of the others is the first word of their head.
+    """
     for batch in batches:
         for at in range(0, batch.num_rows, 512):
             piece = batch.slice(at, 512)
+            piece = piece.take(pa.array(np.argsort(piece.column("root").is_null().to_numpy(zero_copy_only=False), kind="stable")))
+            roots = piece.column("root").drop_null().to_numpy()
             prints = np.frombuffer(b"".join(piece.column("print").to_pylist()), np.uint64).reshape(-1, WORDS)
             sizes = piece.column("size").to_numpy()
             few = sizes <= FEW
-            numbers, values = [], []
+            numbers, counts, values = [], [], []
             for some, which in ((np.ones(len(sizes), bool), tables), (few, np.concatenate([tables + TABLES, tables + 2 * TABLES]))):
                 if not some.any():
                     continue
-                heads = np.ascontiguousarray(prints[some, :HEAD])
+                heads, known = np.ascontiguousarray(prints[some, :HEAD]), roots[some[: len(roots)]]
                 for table, keys in zip(which.tolist(), cells(prints[some], sizes[some], which).T.astype(np.uint32), strict=True):
                     own = (keys * np.uint32(0x9E3779B1) >> np.uint32(8)) % np.uint32(parts)
                     for part in np.unique(own).tolist():
                         inside = own == part
                         numbers.append(table * parts + part)
-                        values.append(keys[inside].tobytes() + heads[inside].tobytes())
-            yield pa.record_batch([pa.array(numbers, pa.int64()), pa.array(values, pa.binary())], names=["part", "members"])
+                        counts.append(int(inside.sum()))
+                        values.append(keys[inside].tobytes() + heads[inside].tobytes() + known[inside[: len(known)]].tobytes())
+            yield pa.record_batch([pa.array(numbers, pa.int64()), pa.array(counts, pa.int32()), pa.array(values, pa.binary())], names=["part", "n", "members"])
 
 
 def _heads(batch: pa.RecordBatch) -> np.ndarray:
     return np.stack([batch.column(c).to_numpy() for c in _HEAD], axis=1).view(np.uint64)
 
 
-def _close(batches: Iterator[pa.RecordBatch], block: int, limit: int) -> Iterator[pa.RecordBatch]:
-    """Edges (a, b) of the cells.
+def _close(batches: Iterator[pa.RecordBatch], block: int, limit: int, leads: int) -> Iterator[pa.RecordBatch]:
+    """Edges (a, b) of the cells, between roots.
 
-    The members of cells above `block`, and of parts above `limit`, are handed on with their cell.
+    The members of cells above `block` that `leads` of them do not join, and of parts above `limit`, are handed on with their cell.
     """
-    held: list[tuple[np.ndarray, np.ndarray]] = []
+    held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     last, n = None, 0
     for batch in batches:
-        for part, raw in zip(batch.column("part").to_pylist(), batch.column("members").to_pylist(), strict=True):
+        for part, m, raw in zip(*(batch.column(c).to_pylist() for c in ("part", "n", "members")), strict=True):
             if part != last:
-                yield from _whole(last, held, block)
+                yield from _whole(last, held, block, leads)
                 held, last, n = [], part, 0
-            m = len(raw) // (4 + 8 * HEAD)
-            held.append((np.frombuffer(raw, np.uint32, m), np.frombuffer(raw, np.uint64, m * HEAD, 4 * m).reshape(m, HEAD)))
+            heads = np.frombuffer(raw, np.uint64, m * HEAD, 4 * m).reshape(m, HEAD)
+            roots, known = heads[:, 0].astype(np.int64), np.frombuffer(raw[(4 + 8 * HEAD) * m :], np.int64)
+            roots[: len(known)] = known
+            held.append((np.frombuffer(raw, np.uint32, m), heads, roots))
             n += m
             if n > limit:
-                for keys, heads in held:
-                    yield _found(part << 32 | keys.astype(np.int64), heads)
+                for keys, heads, roots in held:
+                    yield _found(part << 32 | keys.astype(np.int64), heads, roots)
                 held = []
-    yield from _whole(last, held, block)
+    yield from _whole(last, held, block, leads)
 
 
-def _whole(part: int | None, held: list[tuple[np.ndarray, np.ndarray]], block: int) -> Iterator[pa.RecordBatch]:
+def _whole(part: int | None, held: list[tuple[np.ndarray, np.ndarray, np.ndarray]], block: int, leads: int) -> Iterator[pa.RecordBatch]:
     if not held:
         return
-    keys, heads = (np.concatenate(x) for x in zip(*held, strict=True))
+    keys, heads, roots = (np.concatenate(x) for x in zip(*held, strict=True))
     # Sorted by head too, so that the trees of all tables start from the same members.
     order = np.lexsort((heads[:, 0], keys))
-    keys, heads = part << 32 | keys[order].astype(np.int64), heads[order]
-    sizes = np.diff(np.flatnonzero(np.r_[True, keys[1:] != keys[:-1], True]))
-    if (sizes > block).any():
-        large = np.repeat(sizes > block, sizes)
-        yield _found(keys[large], heads[large])
-        keys, heads = keys[~large], heads[~large]
-    if len(keys):
-        yield _linked(heads, *close_in_cells(keys, heads))
-
-
-def _found(keys: np.ndarray, heads: np.ndarray) -> pa.RecordBatch:
+    keys, heads, roots = part << 32 | keys[order].astype(np.int64), heads[order], roots[order]
+    starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
+    sizes = np.diff(np.r_[starts, len(keys)])
+    mixed = np.minimum.reduceat(roots, starts) != np.maximum.reduceat(roots, starts)
+    for a, n in zip(starts[mixed & (sizes > block)].tolist(), sizes[mixed & (sizes > block)].tolist(), strict=True):
+        cell = slice(a, a + n)
+        edges, after = _grow(heads[cell], roots[cell], leads)
+        pairs = np.array(edges, np.int64).reshape(-1, 2)
+        yield _linked(roots[cell], pairs[:, 0], pairs[:, 1])
+        if (after != after[0]).any():
+            yield _found(keys[cell], heads[cell], after)
+    small = np.repeat(mixed & (sizes <= block), sizes)
+    if small.any():
+        yield _linked(roots[small], *close_in_cells(keys[small], heads[small], roots[small]))
+
+
+def _found(keys: np.ndarray, heads: np.ndarray, roots: np.ndarray) -> pa.RecordBatch:
     words = [pa.array(np.ascontiguousarray(heads[:, i]).view(np.int64)) for i in range(HEAD)]
     none = pa.nulls(len(keys), pa.int64())
-    return pa.record_batch([none, none, pa.array(keys), *words], names=["a", "b", "cell", *_HEAD])
+    return pa.record_batch([none, none, pa.array(keys), pa.array(roots), *words], names=["a", "b", "cell", "root", *_HEAD])
 
 
-def _linked(heads: np.ndarray, left: np.ndarray, right: np.ndarray) -> pa.RecordBatch:
-    a, b = heads[left, 0].view(np.int64), heads[right, 0].view(np.int64)
+def _linked(roots: np.ndarray, left: np.ndarray, right: np.ndarray) -> pa.RecordBatch:
+    a, b = roots[left], roots[right]
     pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0)
     none = pa.nulls(len(pairs), pa.int64())
-    return pa.record_batch([pa.array(pairs[:, 0]), pa.array(pairs[:, 1]), none, *[none] * HEAD], names=["a", "b", "cell", *_HEAD])
+    return pa.record_batch([pa.array(pairs[:, 0]), pa.array(pairs[:, 1]), none, none, *[none] * HEAD], names=["a", "b", "cell", "root", *_HEAD])
 
 
 def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Edges of each run of rows with equal (cell, low, high)."""
-    held: list[np.ndarray] = []
+    held: list[tuple[np.ndarray, np.ndarray]] = []
     last = None
     for batch in batches:
-        keys, heads = np.stack([batch.column(c).to_numpy() for c in ("cell", "low", "high")], axis=1), _heads(batch)
+        keys, heads, roots = np.stack([batch.column(c).to_numpy() for c in ("cell", "low", "high")], axis=1), _heads(batch), batch.column("root").to_numpy()
         starts = np.r_[0, np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1, len(keys)] if len(keys) else np.zeros(1, np.int64)
         for a, b in zip(starts[:-1], starts[1:], strict=True):
             if last is not None and (keys[a] != last).any():
                 yield _grown(held)
                 held = []
             last = keys[a]
-            held.append(heads[a:b])
+            held.append((heads[a:b], roots[a:b]))
     if held:
         yield _grown(held)
 
 
-def _grown(held: list[np.ndarray]) -> pa.RecordBatch:
-    heads = np.concatenate(held)
-    pairs = np.array(close_heads(heads), np.int64).reshape(-1, 2)
-    return _linked(heads, pairs[:, 0], pairs[:, 1]).select(["a", "b"])
+def _grown(held: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+    heads, roots = (np.concatenate(x) for x in zip(*held, strict=True))
+    pairs = np.array(close_heads(heads, roots), np.int64).reshape(-1, 2)
+    return _linked(roots, pairs[:, 0], pairs[:, 1]).select(["a", "b"])
+
+
+def _named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Fingerprints with the first word of their head."""
+    for batch in batches:
+        prints = np.frombuffer(b"".join(batch.column("print").to_pylist()), np.uint64).reshape(-1, WORDS)
+        heads = pa.array(np.ascontiguousarray(prints[:, 0]).view(np.int64))
+        yield pa.record_batch([heads, batch.column("print"), batch.column("size")], names=["head", "print", "size"])
 
 
 def _folded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -363,39 +408,59 @@ def _swept(spark: SparkSession) -> Iterator[None]:
         spark.conf.unset(key) if former is None else spark.conf.set(key, former)
 
 
-def candidate_edges(prints: DataFrame, n: int, block: int = CELL, limit: int = HELD) -> DataFrame:
+def candidate_edges(prints: DataFrame, n: int, block: int = CELL, limit: int = HELD, leads: int = LEADS) -> DataFrame:
     """Edges (a, b) between the first words of the heads of `n` fingerprints (print, size) that span all links within BITS.
 
-    Cells above `block` members are cut into blocks by a hash; each pair of
-    blocks is searched in a task of its own. So are the cells of parts above `limit`.
+    After each of the first ROOTED steps the edges so far are replaced by those of
+    their components' members to the root, and the members carry their root on.
+    Cells above `block` members that `leads` of them do not join are cut into blocks
+    by a hash; each pair of blocks is searched in a task of its own. So are the cells
+    of parts above `limit`.
     """
     spark = prints.sparkSession
     prints = prints.select("print", "size")
-    parts, tasks = max(1, -(-n // PART)), rt.tasks_for(spark, STEP * n, 4 * rt.ROWS_PER_TASK)
-    every = []
-    for first in range(0, TABLES, STEP):
-        entered = prints.mapInArrow(lambda batches, first=first: _cells(batches, first, parts), "part long, members binary")
+    rooted = prints.withColumn("root", F.lit(None).cast("long"))
+    tasks = rt.tasks_for(spark, STEP * n, 4 * rt.ROWS_PER_TASK)
+    every: list[DataFrame] = []
+    written: DataFrame | None = None
+    for step, (first, end) in enumerate(itertools.pairwise((0, *ENDS))):
+        # In a step of few tables each has more parts, so that all cores have some.
+        tables, parts = np.arange(first, end), max(1, -(-n // PART)) * max(1, STEP // (end - first))
+        entered = rooted.mapInArrow(lambda batches, tables=tables, parts=parts: _cells(batches, tables, parts), "part long, n int, members binary")
         spread = entered.repartition(tasks, "part").sortWithinPartitions("part")
-        kinds = f"a long, b long, cell long, {_HEADS}"
-        found = rt.materialise(spread.mapInArrow(lambda batches: _close(batches, block, limit), kinds), "close")
+        kinds = f"a long, b long, cell long, root long, {_HEADS}"
+        found = rt.materialise(spread.mapInArrow(lambda batches: _close(batches, block, limit, leads), kinds), "close")
         every.append(found.where("cell is null").select("a", "b"))
-        members = found.where("cell is not null").select("cell", *_HEAD)
-        sizes = members.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).where("n > 1").withColumn("parts", F.ceil(F.col("n") / block).cast("int"))
-        sizes = rt.materialise(sizes, "sizes")
-        rows = sizes.agg(F.sum(F.col("n") * F.greatest(F.col("parts") - 1, F.lit(1)))).first()[0]
-        if not rows:
-            continue
-        own = F.pmod(F.xxhash64(*_HEAD), F.col("parts")).cast("int")
-        dealt = members.join(sizes, "cell").withColumn("block", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-        dealt = dealt.where("other <> block or parts = 1").select("cell", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), *_HEAD)
-        pieces = dealt.repartition(rt.tasks_for(spark, rows, 2 * block), "cell", "low", "high").sortWithinPartitions("cell", "low", "high")
-        every.append(rt.materialise(pieces.mapInArrow(_pieces, "a long, b long"), "pieces"))
-    out = every[0]
-    for edges in every[1:]:
-        out = out.unionByName(edges)
+        every.extend(_cut(found.where("cell is not null").select("cell", "root", *_HEAD), block))
+        if step < ROOTED:
+            roots = components(functools.reduce(DataFrame.unionByName, every)).where("node <> root")
+            every = [roots.select(F.col("node").alias("a"), F.col("root").alias("b"))]
+            named = prints.mapInArrow(_named, "head long, print binary, size long")
+            joined = named.join(roots.withColumnRenamed("node", "head"), "head", "left").select("print", "size", "root")
+            former, written = written, rt.materialise(joined, "rooted")
+            rooted = written
+            if former is not None:
+                rt.discard(former)
+    rt.discard(written)
+    out = functools.reduce(DataFrame.unionByName, every)
     return out.coalesce(max(1, -(-out.count() // rt.ROWS_PER_TASK))).mapInArrow(_folded, "a long, b long")
 
 
+def _cut(members: DataFrame, block: int) -> list[DataFrame]:
+    """Edges (a, b) of the cells that were handed on, if any: cut into blocks, each pair of blocks in a task of its own."""
+    spark = members.sparkSession
+    counts = members.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.min("root").alias("least"), F.max("root").alias("most"))
+    sizes = rt.materialise(counts.where("least < most").select("cell", "n", F.ceil(F.col("n") / block).cast("int").alias("parts")), "sizes")
+    rows = sizes.agg(F.sum(F.col("n") * F.greatest(F.col("parts") - 1, F.lit(1)))).first()[0]
+    if not rows:
+        return []
+    own = F.pmod(F.xxhash64(*_HEAD), F.col("parts")).cast("int")
+    dealt = members.join(sizes, "cell").withColumn("block", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    dealt = dealt.where("other <> block or parts = 1").select("cell", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "root", *_HEAD)
+    pieces = dealt.repartition(rt.tasks_for(spark, rows, 2 * block), "cell", "low", "high").sortWithinPartitions("cell", "low", "high")
+    return [rt.materialise(pieces.mapInArrow(_pieces, "a long, b long"), "pieces")]
+
+
 def _sets(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
     for batch in rt.slices(batches, "text"):
         found = [shingles(raw, width).tobytes() for raw in rt.texts_as_bytes(batch.column("text"))]

@@ -158,3 +158,65 @@ def test_candidates_span_the_links_of_all_cells(spark):
             group |= dict.fromkeys(both, both)
         want = [*(names[i // 2 * 2 :][:2] for i in range(16)), *[names[16:]] * 30]
         assert [group[x] for x in names] == [set(x) for x in want]
+
+
+def test_tables_do_not_join_a_group_anew(spark, monkeypatch):
+    """Rows handed on grow with the members, not with members times tables, and no link is lost."""
+    rng = np.random.default_rng(11)
+    base, _ = planted(rng, 200, 0, 0)
+    sets = [np.concatenate([base, planted(rng, 15, 0, 0)[0]]) for _ in range(120)] + [planted(rng, 200, 0, 0)[0] for _ in range(40)]
+    prints = [S.fingerprint(x) for x in sets]
+    names = [int(x[:1].view(np.int64)[0]) for x in prints]
+    S.rt.prepare(spark)
+    frame = spark.createDataFrame([(bytearray(x.tobytes()), len(s)) for x, s in zip(prints, sets, strict=True)], "print binary, size long")
+    write, made = S.rt.materialise, []
+
+    def counted(df, tag):
+        out = write(df, tag)
+        if tag in ("close", "pieces"):
+            made.append(out.count())
+        return out
+
+    monkeypatch.setattr(S.rt, "materialise", counted)
+    edges = S.candidate_edges(frame, len(sets)).collect()
+    group = set(names[:120])
+    assert len(edges) == len(group) - 1 > 100 and {x for e in edges for x in e} == group
+    assert sum(made) < 12 * 120
+
+
+def test_members_of_known_components_are_joined_from_the_start():
+    """Only links between roots are given, whatever the size of the cell, and some leads tell what they join."""
+    rng = np.random.default_rng(12)
+    base, _ = planted(rng, 200, 0, 0)
+    near = [S.fingerprint(np.concatenate([base, planted(rng, 4, 0, 0)[0]])) for _ in range(20)]
+    heads = np.stack([*near, *(S.fingerprint(planted(rng, 200, 0, 0)[0]) for _ in range(5))])[:, : S.HEAD]
+    roots = np.r_[np.full(10, 3), np.full(10, 5), 6, 6, 7, 8, 9]
+    for n in (25, 24):
+        assert [sorted(roots[[a, b]].tolist()) for a, b in S.close_heads(heads[:n], roots[:n])] == [[3, 5]]
+    edges, after = S._grow(heads, np.arange(25), 1)
+    assert {b for _, b in edges} == set(range(1, 20)) and after.tolist() == [0] * 20 + list(range(20, 25))
+    keys = np.repeat(np.arange(5), 5)
+    a, b = S.close_in_cells(keys, heads, roots)
+    assert not len(a) and not len(b)
+    a, b = S.close_in_cells(keys[:8] * 0, heads[6:14], roots[6:14])
+    assert len(a) and set(zip(roots[6:14][a].tolist(), roots[6:14][b].tolist(), strict=True)) == {(3, 5)}
+
+
+def test_blocks_of_cells_that_leads_do_not_join(spark):
+    """One comparison first, then pairs of blocks: a chain, a group and strangers in cells above the block."""
+    rng = np.random.default_rng(13)
+    base, _ = planted(rng, 60, 0, 0)
+    sets = [np.concatenate([base, planted(rng, 2, 0, 0)[0]]) for _ in range(30)]
+    chain, more = planted(rng, 100, 0, 60)[0], planted(rng, 60, 0, 0)[0]
+    sets += [np.concatenate([chain[4 * k :], more[: 4 * k]]) for k in range(15)]
+    sets += [planted(rng, 62, 0, 0)[0] for _ in range(20)]
+    prints = [S.fingerprint(x) for x in sets]
+    names = [int(x[:1].view(np.int64)[0]) for x in prints]
+    S.rt.prepare(spark)
+    frame = spark.createDataFrame([(bytearray(x.tobytes()), len(s)) for x, s in zip(prints, sets, strict=True)], "print binary, size long")
+    for limits in ({"block": 2, "leads": 1}, {"block": 7, "leads": 0}, {"block": 3}):
+        group = {x: {x} for x in names}
+        for a, b in S.candidate_edges(frame, len(sets), **limits).collect():
+            both = group[a] | group[b]
+            group |= dict.fromkeys(both, both)
+        assert [group[x] for x in names] == [*[set(names[:30])] * 30, *[set(names[30:45])] * 15, *({x} for x in names[45:])]
