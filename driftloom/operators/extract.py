@@ -106,18 +106,18 @@ def text_asset(final_url: Column, body: Column) -> Column:
     return F.concat(F.lit("# "), U.path(final_url), F.lit("\n\n"), fence, U.fence_language(final_url), F.lit("\n"), T.strip(body), F.lit("\n"), fence)
 
 
-def _features(html: str | None) -> dict | None:
+def _features(html: str | None, strict: bool) -> dict | None:
     """The features of a page; one that cannot be read (nested too deep, say) gives its fault, not a failed task."""
     if html is None:
         return None
     try:
-        return dom.features(html)
+        return dom.features(html, strict)
     except Exception as fault:  # noqa: BLE001
         return {"main_markdown": "", "page_text": "", "anchors": [], "nav": [], "scripts": [], "fault": f"{type(fault).__name__}: {fault}"[:300]}
 
 
-def page_features(fetched: DataFrame, body: str = "body", needed: Column | None = None) -> DataFrame:
-    """Adds the struct `dom` of FEATURES; null where `needed` does not hold."""
+def page_features(fetched: DataFrame, body: str = "body", needed: Column | None = None, strict: bool = False) -> DataFrame:
+    """Adds the struct `dom` of FEATURES; null where `needed` does not hold. `strict` as in `dom.tree`."""
     kept, html = fetched.columns, "__html"
     while html in kept:
         html += "_"
@@ -127,7 +127,7 @@ def page_features(fetched: DataFrame, body: str = "body", needed: Column | None
         # Few pages at a time, as each may be large.
         for batch in (b.slice(i, 32) for b in batches for i in range(0, b.num_rows, 32)):
             at = batch.schema.get_field_index(html)
-            found = [_features(x) for x in batch.column(at).to_pylist()]
+            found = [_features(x, strict) for x in batch.column(at).to_pylist()]
             yield pa.record_batch([*(batch.column(i) for i in range(batch.num_columns) if i != at), pa.array(found, _TYPES)], names=[*kept, "dom"])
 
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in fetched.schema), "dom struct<" + FEATURES.replace(" ", ":").replace(",:", ",") + ">"])
@@ -146,12 +146,12 @@ def resolve_bare(href, base):
     return pd.Series(out, dtype=object)
 
 
-def extract(fetched: DataFrame) -> DataFrame:
-    """Page records of fetched rows (ord, url, final_url, status, content_type, body, fetch_ms, ok, error, failure_kind, source); other columns go."""
+def extract(fetched: DataFrame, strict: bool = False) -> DataFrame:
+    """Page records of fetched rows (ord, url, final_url, status, content_type, body, fetch_ms, ok, error, failure_kind, source); other columns go. `strict` as in `dom.tree`."""
     fetched = fetched.select("ord", "url", "final_url", "status", "content_type", "body", "fetch_ms", "ok", "error", "failure_kind", "source")
     body, final, kind = F.coalesce("body", F.lit("")), F.col("final_url"), F.coalesce("content_type", F.lit(""))
     rows = fetched.withColumn("class", F.when(F.col("ok"), body_class(kind, final, body)))
-    rows = page_features(rows, "body", F.col("class") == "html")
+    rows = page_features(rows, "body", F.col("class") == "html", strict)
     d = lambda name: F.col(f"dom.{name}")
     main, title = T.strip(d("main_markdown")), F.nullif(d("title"), F.lit(""))
     weak = quality(main, title)["confidence"] < 0.6

@@ -64,10 +64,10 @@ def snapshot_of(records: DataFrame) -> tuple[str, int, int]:
     return snapshot.root(files)
 
 
-def run_corpus(fetched: DataFrame, config: Config = Config(), mode: str = "routes") -> RunResult:
-    """Everything after fetching, for any number of pages."""
+def run_corpus(fetched: DataFrame, config: Config = Config(), mode: str = "routes", strict: bool = False) -> RunResult:
+    """Everything after fetching, for any number of pages. `strict` as in `dom.tree`."""
     began = time.perf_counter()
-    records = written(extract.extract(A.reject_non_pages(fetched)))
+    records = written(extract.extract(A.reject_non_pages(fetched), strict))
     kept = written(dedup.dedupe(records, mode))
     done = finish(kept, config.max if config.max_explicit else None)
     elapsed = (time.perf_counter() - began) * 1000

@@ -109,6 +109,15 @@ def test_outline_of_huge_pages():
     assert "## Page Outline" in found["outline"] and "- Part 3" in found["outline"] and "anchor" not in found["outline"]
 
 
+def test_references_without_semicolon():
+    page = "<article><h1>a &amp; b &copy c&amp</h1><a href='/x?a=1&ampb&lt;'>&#65; &nosuch; &</a></article><script>x &amp y</script>"
+    loose, strict = dom.tree(page), dom.tree(page, strict=True)
+    assert loose.first("h1").text() == "a & b © c&" and strict.first("h1").text() == "a & b &copy c&amp"
+    assert strict.first("a").attrs["href"] == "/x?a=1&ampb<" and strict.first("a").text() == "A &nosuch; &"
+    assert loose.first("script").text() == strict.first("script").text() == "x &amp y"
+    assert dom.features(page)["title"] == "a & b © c&"
+
+
 def test_navigation_links():
     html = """<nav><a href="/a">a</a><a href="/menu" data-bs-toggle="dropdown">m</a></nav><div class="Sidebar-x"><a href="/s">s</a></div><aside><a href="/b">b</a></aside><p><a href="/c">c</a></p>
     <a class="dropdown-toggle" role="button" aria-expanded="false" href="/d">d</a>"""

@@ -26,6 +26,21 @@ def test_query(spark, small, con, name):
         assert rows
 
 
+@pytest.mark.parametrize("name", ["corpus_manifest"])
+def test_cut_references(spark, tmp_path, name):
+    """Titles that end inside a character reference come out as the SQL has them."""
+    page = "<html><head><title>{0}</title></head><body><article><h1>{0}</h1><p>" + "Some words of a page. " * 9 + "</p></article></body></html>"
+    titles = ["one &amp; two&amp", "three&lt", "four &quot", "five&am", "six &amp;lt"]
+    rows = [(i, f"https://e.com/en/{i}/p", page.format(t)) for i, t in enumerate(titles)]
+    spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1).write.parquet(str(tmp_path / "pages.parquet"))
+    con = duckdb.connect()
+    con.sql(f"create view pages as select * from '{tmp_path}/pages.parquet/*.parquet'")
+    got = Q.QUERIES[name](spark, str(tmp_path))
+    columns = sorted(got.columns)
+    want = con.sql(f"select {', '.join(f'{chr(34)}{c}{chr(34)}' for c in columns)} from ({Q.SQL[name]})").fetchall()
+    assert sorted((tuple(r) for r in got.select(*columns).collect()), key=repr) == sorted(want, key=repr)
+
+
 def test_regular_links_equal_tree_links(spark, small):
     """Expressions find the links that the tree finds, but for escapes of characters beyond ASCII."""
     tree = {(r.src, r.dst) for r in Q.QUERIES["dom_links"](spark, small).collect() if "%" not in r.dst}
