@@ -18,6 +18,7 @@ from ..functions import urls as U
 from ..functions.markdown_clean import clean_markdown
 from ..functions.quality import quality
 from ..functions.weburl import parse
+from ..workers import small_batches
 from . import dom
 
 FEATURES = (
@@ -118,6 +119,7 @@ def _features(html: str | None, strict: bool) -> dict | None:
 
 def page_features(fetched: DataFrame, body: str = "body", needed: Column | None = None, strict: bool = False) -> DataFrame:
     """Adds the struct `dom` of FEATURES; null where `needed` does not hold. `strict` as in `dom.tree`."""
+    small_batches(fetched.sparkSession)
     kept, html = fetched.columns, "__html"
     while html in kept:
         html += "_"

@@ -7,6 +7,17 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Bytes of an Arrow batch for Python, about: with the session's usual 64 MB a worker's memory follows the rows of its task.
+BATCH = 4 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """The session hands rows to Python workers in batches of about BATCH bytes, or of one row; a smaller setting stays."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(key)) > BATCH:
+        spark.conf.set(key, str(BATCH))
+
+
 def prepare(spark: SparkSession) -> SparkSession:
     root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
     env = spark.sparkContext.environment

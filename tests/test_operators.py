@@ -1,9 +1,11 @@
 import hashlib
 import json
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from driftloom import workers
 from driftloom.functions.weburl import parse
 from driftloom.operators import assets, crawl, dedup, dom, extract, llms_index, paths, render, robots, scope, sitemap, snapshot, summary
 from driftloom.config import Config
@@ -125,6 +127,20 @@ def test_navigation_links():
     assert found["nav"] == ["/a", "/b", "/s"] and found["anchors"] == ["/a", "/s", "/b", "/c"]
 
 
+def test_batches_for_python_are_small(spark):
+    """What reaches a Python worker at once follows bytes, not the rows of its task."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "64m")
+    pages = spark.range(2000, numPartitions=1).select(F.col("id").alias("page_id"), F.repeat(F.lit("x"), 20_000).alias("html"))
+    extract.page_features(pages, "html")
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.record_batch([pa.array([b.nbytes])], names=["n"])
+
+    found = [r.n for r in pages.mapInArrow(sizes, "n long").collect()]
+    assert sum(found) > 40_000_000 and max(found) < 2 * workers.BATCH
+
+
 # Deduplication.
 
 
