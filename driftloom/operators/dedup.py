@@ -9,12 +9,15 @@ takes records in order, each joining the first record it shares a key with.
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions import urls as U
+from ..workers import small_batches
 from .scratch import settle, written
 
 # Worth of sources and extractors.
@@ -41,8 +44,10 @@ def identity_keys() -> Column:
 
 
 def components(keys: DataFrame, limit: int = 60) -> DataFrame:
-    """`ord`, `part`: least ord among the records that keys (ord, key) connect."""
+    """`ord`, `part`: least ord among the records that keys (ord, key) connect; records that share no key are left out."""
     keys = settle(keys.distinct())
+    # Most records are alone: only keys held twice connect any.
+    keys = settle(keys.join(keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key"), "key"))
     state = settle(keys.select("ord").distinct().withColumn("part", F.col("ord")))
     for _ in range(limit):
         shared = keys.join(state, "ord").groupBy("key").agg(F.min("part").alias("low"))
@@ -66,7 +71,7 @@ def dedupe(records: DataFrame, mode: str = "routes") -> DataFrame:
         return sequential(good, records.columns).unionByName(bad)
     if mode == "components":
         parts = components(good.select("ord", F.explode(identity_keys()).alias("key")))
-        grouped = good.join(parts, "ord").withColumn("part", F.col("part").cast("string"))
+        grouped = good.join(parts, "ord", "left").withColumn("part", F.coalesce("part", "ord").cast("string"))
     else:
         grouped = good.withColumn("part", U.route_key("final_url"))
     urls = F.array_compact(F.array("url", "final_url", "canonical_url"))
@@ -91,30 +96,74 @@ def dedupe(records: DataFrame, mode: str = "routes") -> DataFrame:
 
 
 def sequential(good: DataFrame, columns: list[str]) -> DataFrame:
-    """Records in order, each component of shared keys folded in one task of its own."""
-    ready = good.withColumn("__keys", identity_keys()).withColumn("__score", record_score())
-    parts = components(ready.select("ord", F.explode("__keys").alias("key")))
-
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        kept: list[dict] = []
-        holder: dict[str, int] = {}
-        for row in rows.sort_values("ord").to_dict("records"):
-            home = next((holder[k] for k in row["__keys"] if k in holder), None)
-            if home is None:
-                home = len(kept)
-                kept.append(row)
-            else:
-                before = kept[home]
-                win, lose = (row, before) if row["__score"] > before["__score"] else (before, row)
-                own = {u for u in (win["url"], win["final_url"], win["canonical_url"]) if u}
-                extra = {u for u in (lose["url"], lose["final_url"], lose["canonical_url"]) if u} - own
-                extra |= {u for r in (win, lose) for u in (r["aliases"] if r["aliases"] is not None else ())} - own
-                win = win | {"ord": before["ord"], "aliases": sorted(extra) or None, "links": sorted({*win["links"], *lose["links"]})}
-                win["__keys"] = list(dict.fromkeys([*before["__keys"], *row["__keys"]]))
-                kept[home] = win
-            for k in kept[home]["__keys"]:
-                holder[k] = home
-        return pd.DataFrame(kept, columns=rows.columns)[columns]
-
-    schema = good.select(*columns).schema
-    return ready.join(parts, "ord").groupBy("part").applyInPandas(fold, schema)
+    """Records in order, each component of shared keys folded alone; records that share no key stay as they are.
+
+    Keys, scores, URLs and links are written once and folded; texts are joined at the end.
+    A component is folded in order, so by one task, which holds its survivors only.
+    """
+    small_batches(good.sparkSession)
+    held = ["ord", "url", "final_url", "canonical_url", "aliases", "links"]
+    each = written(good.select(*held, identity_keys().alias("keys"), record_score().alias("score")))
+    parts = components(each.select("ord", F.explode("keys").alias("key")))
+    ready = each.join(parts, "ord").repartition("part").sortWithinPartitions("part", "ord")
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, groups = None, _Fold()
+        for batch in batches:
+            for row in batch.to_pylist():
+                if row["part"] != part:
+                    yield from groups.survivors()
+                    part, groups = row["part"], _Fold()
+                groups.take(row)
+        yield from groups.survivors()
+
+    folded = written(ready.mapInArrow(fold, "ord long, place long, merged_aliases array<string>, merged_links array<string>"))
+    alone = good.join(parts.select("ord"), "ord", "left_anti").select(*columns)
+    merged = good.join(folded, "ord").withColumn("ord", F.col("place")).withColumn("aliases", F.col("merged_aliases")).withColumn("links", F.col("merged_links"))
+    return alone.unionByName(merged.select(*columns))
+
+
+_FOLDED = pa.schema([("ord", pa.int64()), ("place", pa.int64()), ("merged_aliases", pa.list_(pa.string())), ("merged_links", pa.list_(pa.string()))])
+
+
+class _Fold:
+    """Survivors of records taken in order. A step costs what the record brings, whatever was merged before it."""
+
+    def __init__(self):
+        self.kept: list[dict] = []
+        self.holder: dict[str, int] = {}
+
+    def take(self, row: dict) -> None:
+        home = next((self.holder[k] for k in row["keys"] if k in self.holder), len(self.kept))
+        own = {u for u in (row["url"], row["final_url"], row["canonical_url"]) if u}
+        known = own.union(row["aliases"] or ())
+        if home == len(self.kept):
+            self.kept.append(row | {"place": row["ord"], "own": own, "known": known, "held": set(row["keys"]), "merged": False, "robbed": False})
+        else:
+            at = self.kept[home]
+            if not at["merged"]:
+                at |= {"merged": True, "links": set(at["links"])}
+            at["known"] |= known
+            at["links"].update(row["links"])
+            at["held"].update(row["keys"])
+            if row["score"] > at["score"]:
+                at |= {"ord": row["ord"], "score": row["score"], "own": own}
+        # All keys of the survivor lead to it again; others may have taken some.
+        for k in self.kept[home]["held"] if self.kept[home]["robbed"] else row["keys"]:
+            if (other := self.holder.get(k, home)) != home:
+                self.kept[other]["robbed"] = True
+            self.holder[k] = home
+        self.kept[home]["robbed"] = False
+
+    def survivors(self) -> Iterator[pa.RecordBatch]:
+        for i in range(0, len(self.kept), 1024):
+            rows = [
+                {
+                    "ord": r["ord"],
+                    "place": r["place"],
+                    "merged_aliases": (sorted(r["known"] - r["own"]) or None) if r["merged"] else r["aliases"],
+                    "merged_links": sorted(r["links"]) if r["merged"] else r["links"],
+                }
+                for r in self.kept[i : i + 1024]
+            ]
+            yield pa.RecordBatch.from_pylist(rows, schema=_FOLDED)

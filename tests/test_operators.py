@@ -1,5 +1,7 @@
 import hashlib
 import json
+import random
+import time
 
 import pyarrow as pa
 import pytest
@@ -167,6 +169,48 @@ def test_dedup_follows_redirects(spark, mode):
     assert sorted(got) == [0, 1] and got[0].source == "llms" and got[0].aliases == ["https://e.com/old"]
 
 
+def _folded_plainly(rows):
+    """The records in order, each joining the first survivor it shares a key with."""
+    kept, holder = [], {}
+    for row in rows:
+        home = next((holder[k] for k in row["keys"] if k in holder), len(kept))
+        if home == len(kept):
+            kept.append(row | {"place": row["ord"]})
+        else:
+            before = kept[home]
+            win, lose = (row, before) if row["score"] > before["score"] else (before, row)
+            own = {u for u in (win["url"], win["final_url"], win["canonical_url"]) if u}
+            extra = {u for u in (lose["url"], lose["final_url"], lose["canonical_url"]) if u} | {u for r in (win, lose) for u in r["aliases"] or ()}
+            kept[home] = win | {"place": before["place"], "aliases": sorted(extra - own) or None, "links": sorted({*win["links"], *lose["links"]}), "keys": [*before["keys"], *row["keys"]]}
+        holder |= dict.fromkeys(kept[home]["keys"], home)
+    return [(r["ord"], r["place"], r["aliases"], r["links"]) for r in kept]
+
+
+def test_fold_in_order():
+    """As a plain fold on random records, where keys change hands; the cost of a large group grows with its records."""
+    for seed in range(300):
+        draw = random.Random(seed)
+        name = lambda: f"u{draw.randrange(9)}"
+        rows = [
+            {"ord": i, "part": 0, "score": draw.randrange(4), "url": name(), "final_url": name(), "canonical_url": draw.choice([None, name()]), "keys": [f"k{draw.randrange(12)}" for _ in range(3)],
+             "aliases": draw.choice([None, [name(), name()]]), "links": [name() for _ in range(draw.randrange(3))]}
+            for i in range(14)
+        ]
+        fold = dedup._Fold()
+        for row in rows:
+            fold.take(dict(row))
+        assert [tuple(r.values()) for b in fold.survivors() for r in b.to_pylist()] == _folded_plainly(rows)
+    fold, began = dedup._Fold(), time.perf_counter()
+    for i in range(20_000):
+        fold.take({"ord": i, "score": i, "url": f"u{i}", "final_url": f"u{i}", "canonical_url": None, "keys": ["all", f"k{i}"], "aliases": None, "links": [f"l{i}"]})
+    assert time.perf_counter() - began < 10 and sum(b.num_rows for b in fold.survivors()) == 1
+
+
+def test_only_shared_keys_make_components(spark):
+    keys = spark.createDataFrame([(0, "a"), (0, "b"), (1, "c"), (2, "b"), (3, "d"), (3, "e"), (4, "e"), (5, "x"), (5, "x")], "ord long, key string")
+    assert sorted(map(tuple, dedup.components(keys).collect())) == [(0, 0), (2, 0), (3, 3), (4, 3)]
+
+
 def test_dedup_of_nothing(spark):
     for mode in ("routes", "components", "sequential"):
         assert dedup.dedupe(records(spark).limit(0), mode).count() == 0
